@@ -19,7 +19,8 @@ def local_session(cores: int | str = 8, app: str = "blocktrace", memory: str = "
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(cores))
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
