@@ -478,10 +478,10 @@ def fn12_pooled(spark, folder):
 
 
 @query("fn13_rule_threshold", f"""WITH {MULTI}, {EARLY}, {RULE}
-SELECT trace_id, round(quantile_cont(mean_interval, 0.3), 3) AS rule_threshold FROM ruled
+SELECT trace_id, round(quantile_cont(mean_interval, 0.3), 1) AS rule_threshold FROM ruled
 WHERE mean_interval IS NOT NULL GROUP BY trace_id""")
 def fn13(spark, folder):
-    return rounded(splits.rule_threshold(trace_multi(spark, folder), MIN_HISTORY), 3, "rule_threshold")
+    return rounded(splits.rule_threshold(trace_multi(spark, folder), MIN_HISTORY), 1, "rule_threshold")
 
 
 @query("fn14_device_segments", f"""WITH {MULTI},

@@ -77,7 +77,7 @@ def live_blocks_at(trace: DataFrame, times: list[int]) -> DataFrame:
     """Distinct blocks written up to each given time."""
     born = write_events(trace).groupBy("trace_id", "lba").agg(F.min("timestamp").alias("_born"))
     counts = born.groupBy("trace_id").agg(F.array(*[
-        F.struct(F.lit(t).cast("long").alias("at"), F.count_if(F.col("_born") <= t).alias("live_blocks"))
+        F.struct(F.lit(t).cast("long").alias("instant"), F.count_if(F.col("_born") <= t).alias("live_blocks"))
         for t in times]).alias("_c"))
     return counts.select("trace_id", F.inline("_c"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blocktrace.schemas import RAW_ORDER
+from blocktrace.sources.raw import read_lines
+
 # Names that are never traces, and unfinished or packed files.
 NOT_TRACES = ["readme.txt", "readme.md", "md5.txt", "disclaimer.txt", ".gitkeep", "download_manifest.json"]
 ARCHIVES = [".tar", ".tar.gz", ".tar.xz", ".tgz", ".zip"]
@@ -46,22 +49,32 @@ def discover(files: DataFrame, dataset: str) -> DataFrame:
         "path", "length").withColumn("file_index", F.row_number().over(order) - 1)
 
 
+def read_checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A published ``md5 *name`` list; the last line of a name counts."""
+    return parse_checksums(read_lines(spark, path))
+
+
 def parse_checksums(lines: DataFrame) -> DataFrame:
-    """``md5 *name`` lines of a published checksum list."""
-    parts = F.split(F.trim("value"), r"\s+")
-    return lines.select(parts.alias("_p")).filter(F.size("_p") >= 2).select(
+    parts = F.split(F.trim("line"), r"\s+")
+    listed = lines.withColumn("_p", parts).filter(F.size("_p") >= 2).select(
         F.regexp_replace(F.element_at("_p", -1), r"^\*+", "").alias("name"),
-        F.lower(F.element_at("_p", 1)).alias("expected"))
+        F.lower(F.element_at("_p", 1)).alias("expected"), *RAW_ORDER)
+    return listed.groupBy("name").agg(F.max_by("expected", F.struct(*RAW_ORDER)).alias("expected"))
+
+
+def file_name(path: Column, depth: int = 1) -> Column:
+    """The last `depth` parts of a path."""
+    return F.substring_index(path, "/", -depth)
 
 
-def verify_checksums(spark: SparkSession, folder: str, published: DataFrame) -> DataFrame:
+def verify_checksums(spark: SparkSession, folder: str, published: DataFrame, depth: int = 1) -> DataFrame:
     """OK, FAILED or UNVERIFIED for each file below `folder`.
 
     Files are hashed where they are read, one task per file; the binary source
-    limits a file to 2 GB.
+    limits a file to 2 GB. `depth` path parts form the published name.
     """
     hashed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.md5("content").alias("actual"))
+        file_name(F.col("path"), depth).alias("name"), "length", F.md5("content").alias("actual"))
     status = (F.when(F.col("expected").isNull(), "UNVERIFIED")
               .when(F.col("expected") == F.col("actual"), "OK").otherwise("FAILED"))
     return hashed.join(published, "name", "left").withColumn("status", status)

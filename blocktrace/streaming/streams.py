@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blocktrace.operators.clean import Limits, accepted, check_requests, expand_blocks
@@ -74,26 +75,30 @@ def rule_temperature_stream(writes: DataFrame, threshold: float, min_history: in
         .applyInPandasWithState(classify, TEMPERATURE, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Event time of timestamp 0: one day after the epoch.
+CLOCK_START_US = 86_400_000_000
 ASSIGNED = ("trace_id string, timestamp long, lba long, seq long, "
             "predicted_rewrite_interval double, temperature string")
 OFFER_STATE = "interval double, label string, offered boolean, served boolean, waiting array<long>"
 
 
-def assign_predictions_stream(writes: DataFrame, predictions: DataFrame,
+def assign_predictions_stream(writes: DataFrame, predictions: DataFrame, order: str,
                               delay: str = "1 hour") -> DataFrame:
     """Writes and predictions joined as both arrive, one prediction per write.
 
     The first prediction of a (trace, time, block) key serves the first write of
-    the key. A write waits for its prediction until the watermark passes its
+    the key; `order` ranks predictions that arrive in one micro-batch. A write waits for its prediction until the watermark passes its
     time; after that it is UNKNOWN, and a later prediction finds nothing.
     """
-    clock = F.timestamp_micros("timestamp").alias("event_time")
+    # A row at the initial watermark (time zero) counts as late, so the clock starts later.
+    clock = F.timestamp_micros(F.col("timestamp") + CLOCK_START_US).alias("event_time")
     none_long, none_double = F.lit(None).cast("long"), F.lit(None).cast("double")
     left = writes.select("trace_id", "timestamp", "lba", "seq", none_double.alias("interval"),
-                         F.lit(None).cast("string").alias("label"), clock)
+                         F.lit(None).cast("string").alias("label"), clock, none_long.alias("place"))
     right = predictions.select("trace_id", "timestamp", "lba", none_long.alias("seq"),
                                F.col("predicted_rewrite_interval").alias("interval"),
-                               F.col("predicted_class").alias("label"), clock)
+                               F.col("predicted_class").alias("label"), clock,
+                               F.col(order).cast("long").alias("place"))
     events = left.unionByName(right).withWatermark("event_time", delay)
 
     def serve(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -110,12 +115,16 @@ def assign_predictions_stream(writes: DataFrame, predictions: DataFrame,
                 emit(seq, None, "UNKNOWN")
             state.remove()
         else:
+            best = None
             for chunk in chunks:
                 offers = chunk[chunk["label"].notna()]
                 if not offered and len(offers):
-                    interval, name = float(offers["interval"].iloc[0]), str(offers["label"].iloc[0])
-                    offered = True
+                    row = offers.loc[offers["place"].astype("int64").idxmin()]
+                    if best is None or row["place"] < best["place"]:
+                        best = row
                 waiting += [int(s) for s in chunk["seq"].dropna()]
+            if best is not None:
+                interval, name, offered = float(best["interval"]), str(best["label"]), True
             waiting.sort()
             if offered and not served and waiting:
                 emit(waiting.pop(0), interval, name)
@@ -125,7 +134,7 @@ def assign_predictions_stream(writes: DataFrame, predictions: DataFrame,
                     emit(seq, None, "UNKNOWN")
                 waiting = []
             state.update((interval, name, offered, served, waiting))
-            due = key[1] // 1000 + 1
+            due = (int(key[1]) + CLOCK_START_US) // 1000 + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[
             "trace_id", "timestamp", "lba", "seq", "predicted_rewrite_interval", "temperature"])
@@ -169,13 +178,13 @@ def disorder_batch(rows: DataFrame, batch: int, folder: str) -> DataFrame:
     return joined.filter(F.col("inside").isNotNull()).select("trace_id", late.alias("out_of_order_rows"))
 
 
-def disorder_stream(trace: DataFrame, folder: str, checkpoint: str):
-    """Start counting out-of-order rows per micro-batch into ``folder/counts``."""
+def disorder_stream(trace: DataFrame, folder: str) -> DataStreamWriter:
+    """Writer that counts out-of-order rows per micro-batch into ``folder/counts``."""
     def count(rows: DataFrame, batch: int) -> None:
         disorder_batch(rows, batch, folder).write.mode("overwrite").parquet(
             f"{folder}/counts/batch={batch}")
 
-    return trace.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    return trace.writeStream.foreachBatch(count)
 
 
 def read_disorder(spark: SparkSession, folder: str) -> DataFrame:
