@@ -206,15 +206,16 @@ def jn5(spark, folder):
 @query("ev13_quality_correlation", f"""WITH {MODEL_SCORES}, {CELLS},
 p AS (SELECT CASE policy WHEN 'LSTM pretrained_finetuned' THEN 'LSTM fine-tuned' ELSE policy END AS policy, workload,
              avg(change_vs_mixed_pct) AS c FROM cells GROUP BY ALL),
-j AS (SELECT workload, rank() OVER (PARTITION BY workload ORDER BY f1) AS a, rank() OVER (PARTITION BY workload ORDER BY c) AS b
+j AS (SELECT workload, rank() OVER (PARTITION BY workload ORDER BY f1) + (count(*) OVER (PARTITION BY workload, f1) - 1) / 2 AS a,
+             rank() OVER (PARTITION BY workload ORDER BY c) + (count(*) OVER (PARTITION BY workload, c) - 1) / 2 AS b
       FROM ms JOIN p USING (policy, workload))
-SELECT workload, round(corr(a, b), 6) AS rho, count(*) AS n FROM j GROUP BY workload""")
+SELECT workload, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN round(corr(a, b), 6) END AS rho, count(*) AS n FROM j GROUP BY workload""")
 def ev13_quality(spark, folder):
     cells = _cells(spark, folder).withColumn("policy", F.when(
         F.col("policy") == "LSTM pretrained_finetuned", "LSTM fine-tuned").otherwise(F.col("policy")))
     joined = settle(compare.quality_by_placement(
         compare.prediction_summary(_model_scores(spark, folder)), cells), "joined")
-    return rounded(evaluate.spearman(joined, ["workload"], "f1", "change_vs_mixed_pct"), 6, "rho")
+    return rounded(evaluate.spearman(rounded(joined, 6, "f1"), ["workload"], "f1", "change_vs_mixed_pct"), 6, "rho")
 
 
 @query("pc6_extreme_changes", f"""WITH {ABLATION}, o AS (SELECT * FROM abl WHERE policy <> 'MIXED' AND waf_vs_mixed_pct IS NOT NULL)

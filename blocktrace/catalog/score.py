@@ -99,8 +99,8 @@ SELECT trace_id AS target_trace, split_part(trace_id, '_', 1) AS dataset, 'basel
        round(mae_log1p - best_mae, 5) AS mae_log1p_delta, 42 AS seed
 FROM reg JOIN cls USING (trace_id, predictor) JOIN sizes USING (trace_id) JOIN best USING (trace_id)""")
 def ev5(spark, folder):
-    table = evaluate.best_baseline_deltas(_comparison(spark, folder))
-    neat = rounded(rounded(rounded(table, 1, "test_mae_us"), 6, "test_mae_log1p", "f1"), 5, "mae_log1p_delta")
+    table = rounded(rounded(_comparison(spark, folder), 1, "test_mae_us"), 6, "test_mae_log1p", "f1")
+    neat = rounded(evaluate.best_baseline_deltas(table), 5, "mae_log1p_delta")
     return neat.select("target_trace", "dataset", "family", "model_type", "sequence_length", "train_samples",
                        "val_samples", "test_samples", "test_mae_us", "test_mae_log1p", "hot_threshold_source",
                        "f1", "best_baseline", "mae_log1p_delta", "seed")
@@ -171,7 +171,7 @@ x AS (SELECT trace_id, predictor, predicted AS a, target AS b FROM lab),
 ranks AS (SELECT trace_id, predictor,
   rank() OVER (PARTITION BY trace_id, predictor ORDER BY a) + (count(*) OVER (PARTITION BY trace_id, predictor, a) - 1) / 2 AS ra,
   rank() OVER (PARTITION BY trace_id, predictor ORDER BY b) + (count(*) OVER (PARTITION BY trace_id, predictor, b) - 1) / 2 AS rb FROM x)
-SELECT trace_id, predictor, round(corr(ra, rb), 6) AS rho, count(*) AS n FROM ranks GROUP BY ALL""")
+SELECT trace_id, predictor, CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS rho, count(*) AS n FROM ranks GROUP BY ALL""")
 def ev13(spark, folder):
     table = _labelled(spark, folder).select("trace_id", "predictor", "predicted", "target")
     return rounded(evaluate.spearman(table, ["trace_id", "predictor"], "predicted", "target"), 6, "rho")

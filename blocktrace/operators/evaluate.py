@@ -187,4 +187,6 @@ def spearman(table: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         ranked = ordered_columns(counts, keys, [column], running={"_before": F.col("_n")})
         ranks = ranked.select(*keys, column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(alias))
         table = table.join(ranks, [*keys, column])
-    return table.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    # Undefined, hence null, when either side is constant.
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    return table.groupBy(*keys).agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))

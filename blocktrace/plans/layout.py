@@ -104,7 +104,7 @@ def _cut(df: DataFrame, column: str, buckets: int) -> tuple[int, Level]:
                           (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     shares = [i / buckets for i in range(1, buckets)]
     row = df.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(column).alias("n"),
         F.min(column).alias("low"),
         F.percentile_approx(column, shares, 4 * MAX_BUCKETS).alias("points"),
     ).first()

@@ -48,9 +48,18 @@ def place_files(lines: DataFrame, spark: SparkSession, files: list[str]) -> Data
     """Replace the path by the place of the file in name order."""
     places = spark.createDataFrame(
         [(path, i) for i, path in enumerate(sorted(files))], "_path string, file_index int")
+    places = places.withColumn("_path", _same_path(F.col("_path")))
     if len(files) <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    return lines.join(places, "_path", "left").drop("_path")
+    joined = lines.withColumn("_path", _same_path(F.col("_path"))).join(places, "_path", "left")
+    unknown = F.raise_error(F.concat(F.lit("file is not in the listing: "), F.col("_path")))
+    return joined.withColumn("file_index", F.when(F.col("file_index").isNull(), unknown.cast("int"))
+                             .otherwise(F.col("file_index"))).drop("_path")
+
+
+def _same_path(path: Column) -> Column:
+    """Local paths are listed with three slashes and reported with one; names may be encoded."""
+    return F.url_decode(F.replace(F.regexp_replace(path, "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
 
 
 def _whole(text: Column) -> Column:
