@@ -73,8 +73,18 @@ def select_device(requests: DataFrame, policy: str = "auto",
     return attach(requests, dominant_devices(counts), KEY, "left")
 
 
+def computed_once(requests: DataFrame) -> DataFrame:
+    """Keep the optimiser from copying parsing expressions into later filters.
+
+    A filter on ``reject_reason`` is otherwise pushed below the projection that
+    parses the line, and every reference to a field parses it again.
+    """
+    return requests.select(F.inline(F.array(F.struct(*requests.columns))))
+
+
 def check_requests(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add the block range and the first reason to reject each request, if any."""
+    requests = computed_once(requests)
     ok_numbers = (F.col("raw_ts").isNotNull() & F.col("offset_bytes").isNotNull()
                   & F.col("size_bytes").isNotNull())
     sane = ok_numbers & F.col("offset_bytes").between(0, limits.max_offset) & (F.col("size_bytes") > 0)

@@ -9,6 +9,7 @@ through the stock codecs; ``.bz2`` stays splittable.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,9 +47,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], header: bool = False
 
 def place_files(lines: DataFrame, spark: SparkSession, files: list[str]) -> DataFrame:
     """Replace the path by the place of the file in name order."""
-    places = spark.createDataFrame(
-        [(path, i) for i, path in enumerate(sorted(files))], "_path string, file_index int")
-    places = places.withColumn("_path", _same_path(F.col("_path")))
+    listing = pa.table({"_path": pa.array(sorted(files), pa.string()),
+                        "file_index": pa.array(range(len(files)), pa.int32())})
+    places = spark.createDataFrame(listing).withColumn("_path", _same_path(F.col("_path")))
     if len(files) <= BROADCAST_ROWS:
         places = F.broadcast(places)
     joined = lines.withColumn("_path", _same_path(F.col("_path"))).join(places, "_path", "left")
