@@ -34,7 +34,7 @@ class FittedModel:
 
 
 def make_estimator(model_type: str, seed: int, **overrides):
-    """Estimators with the reference parameters; boosting is Spark's own GBT.
+    """Estimators with their fixed default parameters; boosting is Spark's own GBT.
 
     GBT has no per-tree column sampling and no patience counter, so boosted
     numbers differ from those of other libraries.

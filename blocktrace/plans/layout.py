@@ -76,7 +76,8 @@ class Layout:
             df = df.withColumn(shifted, value.cast("double"))
             splits = level.splits()
             if len(splits) >= 3:
-                df = Bucketizer(splits=splits, inputCol=shifted, outputCol=cut).transform(df)
+                df = Bucketizer(
+                    splits=splits, inputCol=shifted, outputCol=cut, handleInvalid="keep").transform(df)
             else:
                 df = df.withColumn(cut, F.lit(0.0))
             parts.append(F.when(inside, F.col(cut)).otherwise(F.lit(0.0)).cast("int"))
