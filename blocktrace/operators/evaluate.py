@@ -11,7 +11,7 @@ from blocktrace.functions.labels import is_hot
 from blocktrace.functions.windows import BASELINES, Predictor
 from blocktrace.operators.splits import hot_threshold
 from blocktrace.plans.ordered import ordered_columns, percentiles
-from blocktrace.plans.storage import attach, settle
+from blocktrace.plans.storage import attach, is_small, settle
 
 SCORE_KEYS = ["trace_id", "predictor"]
 
@@ -101,7 +101,8 @@ def roc_auc(labelled: DataFrame, keys: list[str] = SCORE_KEYS) -> DataFrame:
     """
     counts = labelled.groupBy(*keys, "predicted").agg(
         F.count_if("actual_hot").alias("_hot"), F.count_if(~F.col("actual_hot")).alias("_cold"))
-    counts = settle(counts, "scores")
+    if not is_small(counts):
+        counts = settle(counts, "scores")
     ranked = ordered_columns(counts, keys, ["predicted"], running={"_hotter": F.col("_hot")})
     # A cold row is ranked correctly against every hot row with a shorter prediction.
     won = F.col("_cold").cast("double") * (F.col("_hotter") + F.col("_hot") / 2)
