@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import mixing, packing
+from blocktrace.llm import mixing, near_dups, packing
 from blocktrace.llm.common import table
 
 
+def op4_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies of all documents: two-word shingles, similarity of 0.8."""
+    return near_dups.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Three repeating weights share 150 % of all words, two repetitions at most."""
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
@@ -18,5 +23,5 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources, op10_pack)}
+QUERIES = {f.__name__: f for f in (op4_minhash_join, op8_mix_sources, op10_pack)}
 SQL = {"op8_mix_sources": mixing.SQL}
