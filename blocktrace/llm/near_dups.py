@@ -14,9 +14,13 @@ pairs, and a pair of documents is a candidate if it collides `matches` times.
 * Confirmation is exact, on full shingle sets.
 
 Components only need enough links to be connected. Each posting list is first
-linked to two hubs, which is linear in its length and joins most members of a
-group of copies. After that, only members of different components are compared
-with each other. Equal sets are one class from the start.
+linked to two hubs, the member whose values are the most common ones and a
+random one, which is linear in its length and joins most members of a group of
+copies. After that, only members of different components are compared with
+each other, by the same prefix rule on their shingle sets: two sets with an
+overlap of `t` share one among the rarest `n - t + 1` shingles of each, so a
+copy with many edits of its own meets nobody. Equal sets are one class from the
+start.
 
 With the default 64 coordinates and 36 matches, a pair at exactly 0.8 is missed
 with a probability of about 1e-6 (binomial tail), a closer one more rarely.
@@ -35,8 +39,6 @@ from pyspark.sql import functions as F
 from blocktrace.llm.common import hashed_words, mix64, settle, slices
 from blocktrace.llm.graph import components
 
-#: Hubs of a posting list, each the first in another random order.
-HUBS = 2
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature array<long>"
 
 
@@ -136,6 +138,43 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int,
     return alike.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
+def _rarest(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rarest shingles of each node, as many as any partner could need.
+
+    Returns `node`, `_group`, `n` (set size), `shingle` and its `place` (from 1)
+    in the order of rising frequency among all `nodes`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            for node, group, text in zip(*(part.column(c).to_pylist() for c in ("node", "_group", "text"))):
+                values = shingles(text or "", words).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), group)),
+                                       pa.array(values)], names=["node", "_group", "shingle"])
+
+    read = docs.select(docs["doc_id"].cast("long").alias("node"), "text").join(nodes, "node")
+    sets = settle(read.mapInArrow(run, "node long, _group long, shingle long").distinct(), "sets")
+    counts = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("_held"))
+    ordered = (sets.join(counts, "shingle").groupBy("node", "_group")
+               .agg(F.array_sort(F.collect_list(F.struct("_held", "shingle"))).alias("_all"))
+               .withColumn("n", F.size("_all")))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return (ordered.select("node", "_group", "n", F.posexplode(F.slice("_all", F.lit(1), most.cast("int"))))
+            .filter("col._held > 1")
+            .select("node", "_group", "n", (F.col("pos") + 1).alias("place"), F.col("col.shingle").alias("shingle")))
+
+
+def _crossing(ranks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different groups that share a shingle early enough in both orders."""
+    other = ranks.toDF("_node", "_other", "_size", "_place", "shingle")
+    overlap = F.ceil(percent * (F.col("n") + F.col("_size")) / (100 + percent))
+    return (ranks.join(other, "shingle")
+            .filter((F.col("node") < F.col("_node")) & (F.col("_group") != F.col("_other"))
+                    & (F.col("place") <= F.col("n") - overlap + 1)
+                    & (F.col("_place") <= F.col("_size") - overlap + 1))
+            .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
+
+
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -162,12 +201,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
     postings = classes.select("node", F.explode("signature").alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1")
     ranked = (postings.join(shared, "key").groupBy("node")
-              .agg(F.array_sort(F.collect_list(F.struct("_held", "key"))).alias("_keys"))
+              .agg(F.array_sort(F.collect_list(F.struct("_held", "key"))).alias("_keys"),
+                   F.sum("_held").alias("_common"))
               .filter(F.size("_keys") >= matches))
-    prefix = settle(ranked.select("node", F.explode(F.slice(
+    prefix = settle(ranked.select("node", "_common", F.explode(F.slice(
         "_keys.key", F.lit(1), F.size("_keys") - matches + 1)).alias("key")), "prefix")
 
-    orders = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("_order"), "node"))["node"] for i in range(HUBS)]
+    chance = F.xxhash64("node")
+    orders = [F.max(F.struct("_common", chance, "node"))["node"], F.min(F.struct(chance, "node"))["node"]]
     hubs = prefix.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("_hubs"),
                                      F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     spokes = (prefix.join(hubs, "key").select("node", F.explode("_hubs").alias("_hub")).filter("node <> _hub")
@@ -181,9 +222,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
     mixed = grouped.groupBy("key").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high")) \
         .filter("_low < _high").select("key")
     rest = settle(grouped.join(mixed, "key"), "unconnected")
-    other = rest.select("key", F.col("node").alias("_node"), F.col("_group").alias("_other"))
-    crossing = (rest.join(other, "key").filter("node < _node AND _group <> _other")
-                .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
+    ranks = _rarest(rest.select("node", "_group").distinct(), docs, words, percent)
+    crossing = _crossing(settle(ranks, "rarest"), percent)
     late = _confirmed(crossing, signed, docs, words, percent, matches)
     final = components(links.union(settle(late, "late-links")))
 
