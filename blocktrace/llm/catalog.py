@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import mixing, near_dups, packing
+from blocktrace.llm import mixing, near_dups, packing, passages
 from blocktrace.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op4_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), words=2)
 
 
+def op5_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that several documents share."""
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Three repeating weights share 150 % of all words, two repetitions at most."""
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
@@ -23,5 +28,5 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_join, op8_mix_sources, op10_pack)}
+QUERIES = {f.__name__: f for f in (op4_minhash_join, op5_sparse_suffixes, op8_mix_sources, op10_pack)}
 SQL = {"op8_mix_sources": mixing.SQL}
