@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import mixing, near_dups, packing, passages
+from blocktrace.llm import mixing, near_dups, packing, passages, quality
 from blocktrace.llm.common import table
 
 
+def op1_line_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learned from four fifths of the labels."""
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies of all documents: two-word shingles, similarity of 0.8."""
     return near_dups.near_duplicates(table(spark, folder, "documents"), words=2)
@@ -28,5 +33,5 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_join, op5_sparse_suffixes, op8_mix_sources, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_line_field, op4_minhash_join, op5_sparse_suffixes, op8_mix_sources, op10_pack)}
 SQL = {"op8_mix_sources": mixing.SQL}
