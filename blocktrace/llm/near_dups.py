@@ -17,10 +17,11 @@ Components only need enough links to be connected. Each posting list is first
 linked to two hubs, the member whose values are the most common ones and a
 random one, which is linear in its length and joins most members of a group of
 copies. After that, only members of different components are compared with
-each other, by the same prefix rule on their shingle sets: two sets with an
-overlap of `t` share one among the rarest `n - t + 1` shingles of each, so a
-copy with many edits of its own meets nobody. Equal sets are one class from the
-start.
+each other. Lists of up to ``SHORT_LIST`` members give their pairs, which stays
+in proportion to the postings. The members of longer lists meet by the same
+prefix rule on their shingle sets: two sets with an overlap of `t` share one
+among the rarest `n - t + 1` shingles of each, so a copy with many edits of its
+own meets nobody. Equal sets are one class from the start.
 
 With the default 64 coordinates and 36 matches, a pair at exactly 0.8 is missed
 with a probability of about 1e-6 (binomial tail), a closer one more rarely.
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from blocktrace.llm.common import hashed_words, mix64, settle, slices
 from blocktrace.llm.graph import components
 
+#: Members of a posting list whose pairs are compared one by one.
+SHORT_LIST = 40
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature array<long>"
 
 
@@ -172,7 +175,7 @@ def _crossing(ranks: DataFrame, percent: int) -> DataFrame:
             .filter((F.col("node") < F.col("_node")) & (F.col("_group") != F.col("_other"))
                     & (F.col("place") <= F.col("n") - overlap + 1)
                     & (F.col("_place") <= F.col("_size") - overlap + 1))
-            .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
+            .select(F.col("node").alias("a"), F.col("_node").alias("b")))
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -219,11 +222,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
     # What the hubs didn't connect: pairs of different components under one key.
     member = F.coalesce("component", prefix["node"]).alias("_group")
     grouped = prefix.join(joined, prefix["node"] == joined["node"], "left").select(prefix["node"], "key", member)
-    mixed = grouped.groupBy("key").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high")) \
-        .filter("_low < _high").select("key")
+    mixed = (grouped.groupBy("key").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"),
+                                        F.count(F.lit(1)).alias("_n"))
+             .filter("_low < _high").select("key", (F.col("_n") > SHORT_LIST).alias("_long")))
     rest = settle(grouped.join(mixed, "key"), "unconnected")
-    ranks = _rarest(rest.select("node", "_group").distinct(), docs, words, percent)
-    crossing = _crossing(settle(ranks, "rarest"), percent)
+    short = rest.filter(~F.col("_long")).select("key", "node", "_group")
+    ranks = settle(_rarest(rest.filter("_long").select("node", "_group").distinct(), docs, words, percent), "rarest")
+    crossing = (short.join(short.toDF("key", "_node", "_other"), "key")
+                .filter((F.col("node") < F.col("_node")) & (F.col("_group") != F.col("_other")))
+                .select(F.col("node").alias("a"), F.col("_node").alias("b"))
+                .union(_crossing(ranks, percent)).distinct())
     late = _confirmed(crossing, signed, docs, words, percent, matches)
     final = components(links.union(settle(late, "late-links")))
 
