@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import mixing, near_dups, packing, passages, quality
+from blocktrace.llm import audio, fertility, mixing, near_dups, packing, passages, quality
 from blocktrace.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_line_field(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts as Layer III streams, stored and read back."""
+    return audio.audio_features(table(spark, folder, "documents"))
+
+
 def op4_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies of all documents: two-word shingles, similarity of 0.8."""
     return near_dups.near_duplicates(table(spark, folder, "documents"), words=2)
@@ -28,10 +33,16 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
 
 
+def op9_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and fertility bands over all documents."""
+    return fertility.fertility_rules(table(spark, folder, "documents"))
+
+
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_field, op4_minhash_join, op5_sparse_suffixes, op8_mix_sources, op10_pack)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_field, op3_mpeg_audio, op4_minhash_join, op5_sparse_suffixes, op8_mix_sources, op9_fertility, op10_pack)}
 SQL = {"op8_mix_sources": mixing.SQL}
