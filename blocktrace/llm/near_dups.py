@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SKETCH)
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int,
+def _confirmed(pairs: DataFrame, signed: DataFrame, read: DataFrame, words: int, percent: int,
                matches: int) -> DataFrame:
     """The pairs (`a`, `b`) that collide often enough and whose full sets are similar enough."""
     def side(name: str) -> DataFrame:
@@ -111,12 +111,8 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int,
              .filter(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
              .filter(F.size(F.array_intersect("_s_a", "_s_b")) >= matches).select("a", "b"))
     alike = settle(alike, "candidates")
-    wanted = alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct()
-    read = (docs.select(docs["doc_id"].cast("long"), "text").join(wanted, "doc_id", "left_semi")
-            .join(signed.select(F.col("node").alias("doc_id"), F.col("set_key").alias("_key")), "doc_id"))
-    read = settle(read, "texts")
-    first, second = (read.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"),
-                                 F.col("_key").alias(f"key_{name}")) for name in "ab")
+    first, second = (read.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"),
+                                 F.col("set_key").alias(f"key_{name}")) for name in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -141,7 +137,7 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int,
     return alike.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def _rarest(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _rarest(nodes: DataFrame, read: DataFrame, words: int, percent: int) -> DataFrame:
     """The rarest shingles of each node, as many as any partner could need.
 
     Returns `node`, `_group`, `n` (set size), `shingle` and its `place` (from 1)
@@ -155,8 +151,7 @@ def _rarest(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 yield pa.record_batch([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), group)),
                                        pa.array(values)], names=["node", "_group", "shingle"])
 
-    read = docs.select(docs["doc_id"].cast("long").alias("node"), "text").join(nodes, "node")
-    sets = settle(read.mapInArrow(run, "node long, _group long, shingle long").distinct(), "sets")
+    sets = settle(read.select("node", "text").join(nodes, "node").mapInArrow(run, "node long, _group long, shingle long").distinct(), "sets")
     counts = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("_held"))
     ordered = (sets.join(counts, "shingle").groupBy("node", "_group")
                .agg(F.array_sort(F.collect_list(F.struct("_held", "shingle"))).alias("_all"))
@@ -198,17 +193,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
                .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
                     F.first("signature").alias("signature")))
     classes = settle(classes, "classes")
-    signed = classes.groupBy("node").agg(F.min(F.struct("set_key", "n_shingles", "signature")).alias("_")) \
-        .select("node", "_.*")
-
     postings = classes.select("node", F.explode("signature").alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1")
     ranked = (postings.join(shared, "key").groupBy("node")
               .agg(F.array_sort(F.collect_list(F.struct("_held", "key"))).alias("_keys"),
                    F.sum("_held").alias("_common"))
               .filter(F.size("_keys") >= matches))
-    prefix = settle(ranked.select("node", "_common", F.explode(F.slice(
-        "_keys.key", F.lit(1), F.size("_keys") - matches + 1)).alias("key")), "prefix")
+    ranked = settle(ranked.select("node", "_common", F.slice(
+        "_keys.key", F.lit(1), F.size("_keys") - matches + 1).alias("_rare")), "prefixes")
+    prefix = ranked.select("node", "_common", F.explode("_rare").alias("key"))
+    # From here on only documents with enough shared pairs matter: their signatures and texts are read once.
+    signed = (classes.join(ranked.select("node"), "node").groupBy("node")
+              .agg(F.min(F.struct("set_key", "n_shingles", "signature")).alias("_")).select("node", "_.*"))
+    signed = settle(signed, "signatures")
+    read = settle(docs.select(docs["doc_id"].cast("long").alias("node"), "text")
+                  .join(signed.select("node", "set_key"), "node"), "texts")
 
     chance = F.xxhash64("node")
     orders = [F.max(F.struct("_common", chance, "node"))["node"], F.min(F.struct(chance, "node"))["node"]]
@@ -216,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
                                      F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     spokes = (prefix.join(hubs, "key").select("node", F.explode("_hubs").alias("_hub")).filter("node <> _hub")
               .select(*_ordered(F.col("node"), F.col("_hub"))).distinct())
-    links = settle(_confirmed(spokes, signed, docs, words, percent, matches), "links")
+    links = settle(_confirmed(spokes, signed, read, words, percent, matches), "links")
     joined = components(links)
 
     # What the hubs didn't connect: pairs of different components under one key.
@@ -227,12 +226,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
              .filter("_low < _high").select("key", (F.col("_n") > SHORT_LIST).alias("_long")))
     rest = settle(grouped.join(mixed, "key"), "unconnected")
     short = rest.filter(~F.col("_long")).select("key", "node", "_group")
-    ranks = settle(_rarest(rest.filter("_long").select("node", "_group").distinct(), docs, words, percent), "rarest")
+    ranks = settle(_rarest(rest.filter("_long").select("node", "_group").distinct(), read, words, percent), "rarest")
     crossing = (short.join(short.toDF("key", "_node", "_other"), "key")
                 .filter((F.col("node") < F.col("_node")) & (F.col("_group") != F.col("_other")))
                 .select(F.col("node").alias("a"), F.col("_node").alias("b"))
                 .union(_crossing(ranks, percent)).distinct())
-    late = _confirmed(crossing, signed, docs, words, percent, matches)
+    late = _confirmed(crossing, signed, read, words, percent, matches)
     final = components(links.union(settle(late, "late-links")))
 
     found = (classes.join(final, "node", "left")
@@ -241,3 +240,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
         "doc_id", "n_shingles",
         F.coalesce("_component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("_component", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """Rows of `docs` that ``near_duplicates`` keeps; all rows with a null id stay."""
+    kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
+    chosen = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    return chosen.union(docs.filter("doc_id IS NULL"))

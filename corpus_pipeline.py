@@ -10,12 +10,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import mixing, packing
+from blocktrace.llm import mixing, near_dups, packing, passages, quality
 from blocktrace.llm.common import settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field doesn't reject."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity of 0.8."""
+    return near_dups.representatives(docs)
+
+
+def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words that a document with a smaller id has."""
+    return passages.without_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin out documents so that sources reach their target weights."""
     return mixing.mixed_documents(docs)
@@ -27,6 +42,9 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", good),
+    ("near-duplicates", one_of_each),
+    ("passages", first_passages),
     ("mixing", mix),
     ("packing", sequences),
 ]
