@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import audio, fertility, mixing, near_dups, packing, passages, quality
+from blocktrace.llm import addresses, audio, fertility, languages, mixing, near_dups, packing, passages, quality
+from blocktrace.llm import pages as web
 from blocktrace.llm.common import table
 
 
@@ -13,6 +14,11 @@ def op1_line_field(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the addresses of all pages."""
+    return addresses.judge_urls(table(spark, folder, "pages"))
+
+
 def op3_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
     """All texts as Layer III streams, stored and read back."""
     return audio.audio_features(table(spark, folder, "documents"))
@@ -28,6 +34,16 @@ def op5_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+def op6_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from two thirds of them."""
+    return languages.detect_languages(table(spark, folder, "documents"))
+
+
+def op7_block_network(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return web.extract_text(table(spark, folder, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Three repeating weights share 150 % of all words, two repetitions at most."""
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
@@ -44,5 +60,6 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_field, op3_mpeg_audio, op4_minhash_join, op5_sparse_suffixes, op8_mix_sources, op9_fertility, op10_pack)}
+    op1_line_field, op2_path_templates, op3_mpeg_audio, op4_minhash_join, op5_sparse_suffixes, op6_byte_network,
+    op7_block_network, op8_mix_sources, op9_fertility, op10_pack)}
 SQL = {"op8_mix_sources": mixing.SQL}
