@@ -101,14 +101,19 @@ def judged_templates(shapes: DataFrame) -> DataFrame:
     base = total["b"] / total["l"] if total["l"] else 0.0
     hosts = (branches.groupBy("host").agg(F.sum("blocked").alias("_hb"), F.sum(F.col("allowed") + F.col("blocked")).alias("_hl"))
              .select("host", ((F.col("_hb") + PRIOR_WEIGHT * base) / (F.col("_hl") + PRIOR_WEIGHT)).alias("_prior")))
+    labelled = F.col("allowed") + F.col("blocked")
     rated = branches.join(hosts, "host").withColumns({
         "_labelled": labelled.cast("double"),
         "_rate": (F.col("blocked") + PRIOR_WEIGHT * F.col("_prior")) / (labelled + PRIOR_WEIGHT)})
     order = Window.partitionBy("host", "_signature").orderBy("_rate", "_head")
-    size, last_size = F.col("_labelled") + PRIOR_WEIGHT, F.lag("_labelled").over(order) + PRIOR_WEIGHT
-    middle = (F.col("_rate") + F.lag("_rate").over(order)) / 2
-    apart = F.col("_rate") - F.lag("_rate").over(order) > DEVIATIONS * F.sqrt(middle * (1 - middle) * (1 / size + 1 / last_size))
-    merged = rated.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+    # A branch without labels has nothing to differ by, and separates nobody.
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("_labelled") > 0
+    last_rate, last_count = (F.last(F.when(known, F.col(c)), ignorenulls=True).over(earlier) for c in ("_rate", "_labelled"))
+    middle = (F.col("_rate") + last_rate) / 2
+    spread = F.sqrt(middle * (1 - middle) * (1 / (F.col("_labelled") + PRIOR_WEIGHT) + 1 / (last_count + PRIOR_WEIGHT)))
+    apart = known & (F.col("_rate") - last_rate > DEVIATIONS * spread)
+    merged = rated.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn(
         "_branch", F.sum("_new").over(order))
     purity = merged.groupBy("host", "_signature", "_branch").agg(
         F.array_sort(F.collect_list("_head")).alias("_heads"),
