@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocktrace.operators.intervals import rule_statistic
-from blocktrace.plans.layout import measure
 from blocktrace.plans.ordered import ordered_columns, ordered_prefix, percentiles
 from blocktrace.plans.storage import attach, settle
 from blocktrace.schemas import KEY, SAMPLE_ORDER
@@ -30,22 +29,15 @@ def chronological_split(samples: DataFrame, train: float = 0.70, val: float = 0.
     _check_shares(train, val)
     n = F.col("_total")
     first, second = F.bround(F.lit(train) * n), F.bround(F.lit(train + val) * n)
-    layout = measure(samples, keys, [time])
-    if not layout.split:
-        whole = Window.partitionBy(*keys)
-        ranked = samples.withColumns({
-            "_earlier": F.rank().over(whole.orderBy(time)) - 1,
-            "_total": F.count(F.lit(1)).over(whole)})
-        named = F.when(F.col("_earlier") < first, "train").when(F.col("_earlier") < second, "val")
-        return ranked.withColumn("split", named.otherwise("test")).drop("_earlier", "_total")
-    counts = settle(samples.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("_n")), "instants")
+    rows = settle(samples, "samples")
+    counts = settle(rows.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("_n")), "instants")
     earlier = ordered_columns(counts, keys, [time], running={"_earlier": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ends = attach(earlier, totals, keys).groupBy(*keys).agg(
         F.max(F.when(F.col("_earlier") < first, F.col(time))).alias("_t1"),
         F.max(F.when(F.col("_earlier") < second, F.col(time))).alias("_t2"))
     named = F.when(F.col(time) <= F.col("_t1"), "train").when(F.col(time) <= F.col("_t2"), "val")
-    return attach(samples, ends, keys).withColumn("split", named.otherwise("test")) \
+    return attach(rows, ends, keys).withColumn("split", named.otherwise("test")) \
         .drop("_t1", "_t2").select(*samples.columns, "split")
 
 

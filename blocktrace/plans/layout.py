@@ -1,163 +1,48 @@
-"""Order-preserving buckets that keep one hot key from becoming one task.
+"""Ordered chunks that keep one hot key from becoming one task.
 
 A window over ``(trace, lba)`` or over a whole trace puts a key's rows into one
-task. When a key holds a third of a large table that task never ends. A
-:class:`Layout` gives every row of a hot key a bucket number that never
-decreases in the row order, so the key can be cut into balanced pieces whose
-results are stitched together afterwards (see ``ordered.py``).
-
-The layout only decides where rows are computed. Results are the same for any
-layout, so the measurements behind it may be approximate.
+task. When a key holds a third of a large table that task never ends. So rows
+are range partitioned by keys and order, and each row keeps the number of its
+partition: a chunk is a run of neighbouring rows, whatever the weight of a key
+or of a tied value, and chunk numbers never decrease in the row order. Chunks
+are computed separately and stitched together afterwards (see ``ordered.py``).
+
+Every input takes this plan. Spark compares the columns in their own types, so
+neighbouring large numbers stay apart.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from blocktrace.plans.storage import is_small
+from blocktrace.plans.storage import settle
 
-#: Session setting: rows one task may order by itself. Setting it also forces
-#: the measurement, which tests use to run every operator on split keys.
+#: Session setting: rows one task may order by itself.
 TASK_ROWS_CONF = "spark.blocktrace.taskRows"
-DEFAULT_TASK_ROWS = 4_000_000
-MAX_BUCKETS = 4096
-#: A key is hot above this multiple of the average bucket.
-HOT_FACTOR = 4
-SAMPLE_ROWS = 1_000_000
+DEFAULT_TASK_ROWS = 8_000_000
 
-BUCKET = "_layout_bucket"
 CHUNK = "_layout_chunk"
-HOT = "_layout_hot"
-
-
-@dataclass(frozen=True)
-class Level:
-    """Cut points of one order column, plus the values too frequent to cut."""
-
-    column: str
-    base: int | float
-    integral: bool
-    points: tuple[float, ...]
-    heavy: tuple[float, ...]
-
-    def splits(self) -> list[float]:
-        edges = set(self.points)
-        for value in self.heavy:
-            edges.add(value + 1 if self.integral else math.nextafter(value, math.inf))
-        return [-math.inf, *sorted(edges), math.inf]
-
-
-@dataclass(frozen=True)
-class Layout:
-    """How to spread rows: no levels means every key fits one task."""
 
-    keys: tuple[str, ...]
-    levels: tuple[Level, ...] = ()
-    hot: DataFrame | None = None
 
-    @property
-    def split(self) -> bool:
-        return bool(self.levels) and self.hot is not None
+def task_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(TASK_ROWS_CONF, str(DEFAULT_TASK_ROWS)))
 
-    def with_bucket(self, df: DataFrame) -> DataFrame:
-        """Add a bucket array that sorts like the row order."""
-        parts: list[Column] = []
-        inside = F.lit(True)
-        for depth, level in enumerate(self.levels):
-            shifted = f"_layout_shift{depth}"
-            cut = f"_layout_cut{depth}"
-            value = F.col(level.column) - F.lit(level.base) if level.integral else F.col(level.column)
-            df = df.withColumn(shifted, value.cast("double"))
-            splits = level.splits()
-            if len(splits) >= 3:
-                df = Bucketizer(
-                    splits=splits, inputCol=shifted, outputCol=cut, handleInvalid="keep").transform(df)
-            else:
-                df = df.withColumn(cut, F.lit(0.0))
-            parts.append(F.when(inside, F.col(cut)).otherwise(F.lit(0.0)).cast("int"))
-            inside = inside & F.col(shifted).isin([float(v) for v in level.heavy])
-        df = df.withColumn(BUCKET, F.array(*parts))
-        return df.drop(*[f"_layout_shift{i}" for i in range(len(self.levels))],
-                       *[f"_layout_cut{i}" for i in range(len(self.levels))])
 
-    def with_chunk(self, df: DataFrame) -> DataFrame:
-        """Bucket for rows of hot keys, null for all others (kept whole)."""
-        marked = self.hot.withColumn(HOT, F.lit(True))
-        df = self.with_bucket(df).join(F.broadcast(marked), list(self.keys), "left")
-        return (df.withColumn(CHUNK, F.when(F.col(HOT), F.col(BUCKET)))
-                .drop(HOT, BUCKET))
+def chunk_count(spark: SparkSession, rows: int) -> int:
+    """Chunks are half full on average, since their bounds come from a sample."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(2 * rows / task_rows(spark)))
 
 
-def task_rows(df: DataFrame) -> tuple[int, bool]:
-    forced = df.sparkSession.conf.get(TASK_ROWS_CONF, None)
-    return (int(forced), True) if forced else (DEFAULT_TASK_ROWS, False)
+def with_chunk(settled: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add the chunk number of each row to a settled table.
 
-
-def _cut(df: DataFrame, column: str, buckets: int) -> tuple[int, Level]:
-    """Row count and evenly filled cut points of one column, in one pass."""
-    integral = isinstance(df.schema[column].dataType,
-                          (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        F.count(column).alias("n"),
-        F.min(column).alias("low"),
-        F.percentile_approx(column, shares, 4 * MAX_BUCKETS).alias("points"),
-    ).first()
-    if not row["n"]:
-        return 0, Level(column, 0, integral, (), ())
-    base = int(row["low"]) if integral else 0.0
-    values = [float(v - base) for v in row["points"]]
-    heavy = tuple(sorted({a for a, b in zip(values, values[1:]) if a == b}))
-    return row["n"], Level(column, base, integral, tuple(sorted(set(values))), heavy)
-
-
-def measure(df: DataFrame, keys: list[str], order: list[str]) -> Layout:
-    """Choose a layout for ordering `df` by `order` within `keys`.
-
-    Small plans need no job at all. Otherwise one narrow pass counts rows and
-    finds cut points, and a row sample of bounded size finds the hot keys: at
-    most ``MAX_BUCKETS / 3`` keys can pass the threshold, whatever the data, so
-    the list is safe to broadcast.
+    The number is written down with the rows: bounds are sampled anew whenever
+    a range partitioning is planned, and all readers must see the same chunks.
     """
-    limit, forced = task_rows(df)
-    if not forced and is_small(df):
-        return Layout(tuple(keys))
-    narrow = df.select(*dict.fromkeys([*keys, *order]))
-    n, first = _cut(narrow, order[0], MAX_BUCKETS)
-    if n <= limit:
-        return Layout(tuple(keys))
-    buckets = min(MAX_BUCKETS, max(4, math.ceil(2 * n / limit)))
-    first = _thin(first, buckets)
-    levels = [first]
-    rest = narrow
-    for column in order[1:]:
-        last = levels[-1]
-        if not last.heavy:
-            break
-        shift = F.col(last.column) - F.lit(last.base) if last.integral else F.col(last.column)
-        rest = rest.filter(shift.cast("double").isin(list(last.heavy)))
-        _, level = _cut(rest, column, max(8, buckets // len(last.heavy)))
-        levels.append(level)
-    share = min(1.0, SAMPLE_ROWS / n)
-    sampled = narrow.select(*keys)
-    sampled = sampled.sample(share, seed=17) if share < 1.0 else sampled
-    bar = (HOT_FACTOR - 1) * share * n / buckets
-    hot = sampled.groupBy(*keys).count().filter(F.col("count") > bar).select(*keys)
-    found = hot.toArrow()
-    if not found.num_rows:
-        return Layout(tuple(keys))
-    return Layout(tuple(keys), tuple(levels), df.sparkSession.createDataFrame(found, hot.schema))
-
-
-def _thin(level: Level, buckets: int) -> Level:
-    """Keep about `buckets` of the measured cut points; heavy values stay cut out."""
-    points = sorted(level.points)
-    step = max(1, len(points) // buckets)
-    kept = set(points[::step]) | set(level.heavy)
-    return Level(level.column, level.base, level.integral, tuple(sorted(kept)), level.heavy)
+    spark = settled.sparkSession
+    chunks = chunk_count(spark, settled.count())
+    spread = settled.repartitionByRange(chunks, *dict.fromkeys([*keys, *order]))
+    return settle(spread.withColumn(CHUNK, F.spark_partition_id()), "chunks")

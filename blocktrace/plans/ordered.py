@@ -2,9 +2,9 @@
 
 ``ordered_columns`` answers, for each row, questions about the rows before and
 after it in its key: running sums, the last few values, the first value, the
-next value. Keys that fit a task use one window. Hot keys are cut into ordered
-chunks; each chunk is windowed by itself and then completed from a summary with
-one row per chunk, so no task ever holds a whole hot key.
+next value. Rows are cut into ordered chunks; each part of a key in a chunk is
+windowed by itself and then completed from a summary with one row per part, so
+no task ever holds a whole hot key.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktrace.plans.layout import CHUNK, Layout, measure
+from blocktrace.plans.layout import CHUNK, with_chunk
 from blocktrace.plans.storage import attach, settle
 
 
@@ -28,8 +28,7 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
                     running: Mapping[str, Column] | None = None,
                     past: Mapping[str, tuple[str, int]] | None = None,
                     first: Mapping[str, str] | None = None,
-                    following: Mapping[str, str] | None = None,
-                    layout: Layout | None = None) -> DataFrame:
+                    following: Mapping[str, str] | None = None) -> DataFrame:
     """Add columns that depend on a row's place in its key.
 
     running
@@ -41,18 +40,26 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
     following
         ``{alias: column}`` value at the next row, null on the last.
 
-    `order` must be a total order within a key, of numeric columns.
+    `order` must be a total order within a key, of orderable columns; keys are
+    not null. The input is computed once.
     """
+    return _ordered(settle(df, "rows"), keys, order, running=running, past=past,
+                    first=first, following=following)
+
+
+def _ordered(settled: DataFrame, keys: list[str], order: list[str], *,
+             running: Mapping[str, Column] | None = None,
+             past: Mapping[str, tuple[str, int]] | None = None,
+             first: Mapping[str, str] | None = None,
+             following: Mapping[str, str] | None = None) -> DataFrame:
+    """``ordered_columns`` of a table that is already settled."""
     running, past = dict(running or {}), dict(past or {})
     first, following = dict(first or {}), dict(following or {})
-    layout = layout or measure(df, keys, order)
-    parts = list(keys)
+    df = with_chunk(settled, keys, order)
+    parts = [*keys, CHUNK]
     weights = {alias: f"_w_{alias}" for alias in running}
     for alias, weight in running.items():
         df = df.withColumn(weights[alias], weight)
-    if layout.split:
-        df = layout.with_chunk(df)
-        parts = [*keys, CHUNK]
 
     ahead = Window.partitionBy(*parts).orderBy(*order)
     before = ahead.rowsBetween(Window.unboundedPreceding, -1)
@@ -69,14 +76,11 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
     for alias, column in first.items():
         columns[alias] = F.first(column).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
     for alias, column in following.items():
-        columns[alias] = F.lead(column).over(ahead)
+        columns[alias] = F.lead(F.struct(F.col(column).alias("v"))).over(ahead)
     out = df.withColumns(columns)
-    if not layout.split:
-        return out.drop(*weights.values())
-
-    carry = _carry(df.filter(F.col(CHUNK).isNotNull()), keys, order, weights, past, first, following)
+    carry = _carry(df, keys, order, weights, past, first, following)
     # The windowed side is already partitioned by (keys, chunk), so this join
-    # moves only the summary: one row per piece of a hot key.
+    # moves only the summary: one row per part of a key.
     matched = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     matched.append(F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}"))
     condition = matched[0]
@@ -94,9 +98,10 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
             kept = F.coalesce(F.col(f"r._c_{name}"), F.array().cast(f"array<{_type(df, past[name][0])}>"))
             column = _last(F.concat(kept, column), past[name][1])
         elif name in first:
-            column = F.coalesce(F.col(f"r._c_{name}"), column)
+            head = F.col(f"r._c_{name}")
+            column = F.when(head.isNotNull(), head["v"]).otherwise(column)
         elif name in following:
-            column = F.coalesce(column, F.col(f"r._c_{name}"))
+            column = F.coalesce(column, F.col(f"r._c_{name}"))["v"]
         result.append(column.alias(name))
     return joined.select(*result)
 
@@ -105,24 +110,25 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _carry(hot: DataFrame, keys: list[str], order: list[str], weights: Mapping[str, str],
+def _carry(rows: DataFrame, keys: list[str], order: list[str], weights: Mapping[str, str],
            past: Mapping[str, tuple[str, int]], first: Mapping[str, str],
            following: Mapping[str, str]) -> DataFrame:
-    """What each chunk of a hot key needs from its neighbours."""
+    """What each part of a key needs from its neighbours."""
     parts = [*keys, CHUNK]
     place = F.struct(*order)
     heads = {**{a: c for a, c in first.items()}, **{a: c for a, c in following.items()}}
-    summary = hot.groupBy(*parts).agg(
+    summary = rows.groupBy(*parts).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(w).alias(f"_s_{alias}") for alias, w in weights.items()],
-        *[F.min_by(c, place).alias(f"_h_{alias}") for alias, c in heads.items()],
+        # In a struct, a null value differs from no row at all.
+        *[F.min_by(F.struct(F.col(c).alias("v")), place).alias(f"_h_{alias}") for alias, c in heads.items()],
     )
     if past:
         depth = max(d for _, d in past.values())
         newest = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
         # Spark limits ranked groups before the shuffle, so only `depth` rows
         # per chunk and input partition travel.
-        tails = (hot.withColumn("_rn", F.row_number().over(newest))
+        tails = (rows.withColumn("_rn", F.row_number().over(newest))
                  .filter(F.col("_rn") <= depth)
                  .groupBy(*parts)
                  .agg(*[F.transform(
@@ -156,14 +162,9 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
     """
     if (n is None) == (fraction is None):
         raise ValueError("give exactly one of n and fraction")
-    layout = measure(df, keys, order)
-    if n is not None and not layout.split:
-        place = Window.partitionBy(*keys).orderBy(*order)
-        return (df.withColumn("_rn", F.row_number().over(place))
-                .filter(F.col("_rn") <= n).drop("_rn"))
-    narrow = df.select(*dict.fromkeys([*keys, *order]))
-    ranked = ordered_columns(narrow, keys, order, layout=layout,
-                             running={"_rank": F.lit(1).cast("long")})
+    rows = settle(df, "rows")
+    narrow = rows.select(*dict.fromkeys([*keys, *order]))
+    ranked = _ordered(narrow, keys, order, running={"_rank": F.lit(1).cast("long")})
     totals = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     wanted = F.lit(n).cast("long") if n is not None \
         else F.bround(F.lit(fraction) * F.col("_n")).cast("long")
@@ -171,26 +172,19 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
         .filter(F.col("_want") > 0)
     cut = (attach(ranked, totals, keys).filter(F.col("_rank") == F.col("_want") - 1)
            .select(*keys, F.struct(*order).alias("_last")))
-    return (attach(df, cut, keys).filter(F.struct(*order) <= F.col("_last"))
+    return (attach(rows, cut, keys).filter(F.struct(*order) <= F.col("_last"))
             .drop("_last").select(*df.columns))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key.
 
-    Fits-in-a-task keys use the built-in exact aggregate. Otherwise values are
-    first reduced to a histogram, ranked across balanced buckets, and only the
-    two neighbours of each wanted rank are kept.
+    Values are first reduced to a histogram, ranked across balanced chunks, and
+    only the two neighbours of each wanted rank are kept.
     """
-    df = df.filter(F.col(value).isNotNull())
-    layout = measure(df, keys, [value])
-    if not layout.split:
-        names = list(shares)
-        points = F.percentile(F.col(value), [float(shares[a]) for a in names])
-        return (df.groupBy(*keys).agg(points.alias("_p"))
-                .select(*keys, *[F.col("_p")[i].alias(a) for i, a in enumerate(names)]))
-    counts = settle(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "histogram")
-    ranked = ordered_columns(counts, keys, [value], running={"_start": F.col("_n")})
+    counts = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
+                    .agg(F.count(F.lit(1)).alias("_n")), "histogram")
+    ranked = _ordered(counts, keys, [value], running={"_start": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = attach(ranked, totals, keys)
     picks = []
@@ -204,6 +198,6 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: Mapping[str,
     for alias, share in shares.items():
         spot = (F.col("_total") - 1) * F.lit(float(share))
         low, high = F.col(f"_lo_{alias}"), F.col(f"_hi_{alias}")
-        weight = spot - F.floor(spot)
-        result.append(((F.lit(1.0) - weight) * low + weight * high).alias(alias))
+        between = (F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high
+        result.append(F.when(low == high, low).otherwise(between).alias(alias))
     return found.select(*keys, *result)

@@ -1,24 +1,20 @@
-"""Where intermediate tables live, and how small tables are proven small."""
+"""Where intermediate tables live, and how small tables are joined."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest input that is still ordinary work for a single task.
-SMALL_BYTES = 256 << 20
-#: Row limit below which a per-trace table may be handed to every executor.
-BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder. A cluster
-    without it is refused: a machine-local folder would lose the data together
+    A local session without the setting gets a temporary folder that is removed
+    when the process ends. A cluster without it is refused: a machine-local folder would lose the data together
     with the executor that wrote it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="blocktrace-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -34,25 +31,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of everything the plan reads; runs no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_BYTES
-
-
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Compute `df` once for several later uses.
 
-    Small plans are cached. Larger ones become a Parquet table in the shared
-    folder, which cuts the lineage, survives executor loss and keeps column
-    pruning for the readers.
+    The table is Parquet in the shared folder, which cuts the lineage, survives
+    executor loss and keeps column pruning for the readers.
     """
-    if is_small(df):
-        return df.cache()
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -61,12 +45,8 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
 def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a table that should hold a few rows per trace.
 
-    The side is computed now. Up to ``BROADCAST_ROWS`` rows it is broadcast;
-    beyond that it is written out and joined by shuffle, where adaptive
-    execution splits skewed partitions.
+    The side is settled, so Spark knows its size when it plans the join: it is
+    broadcast up to ``spark.sql.autoBroadcastJoinThreshold``; beyond that the
+    join shuffles, and adaptive execution splits skewed partitions.
     """
-    rows = side.limit(BROADCAST_ROWS + 1).toArrow()
-    if rows.num_rows <= BROADCAST_ROWS:
-        local = df.sparkSession.createDataFrame(rows, side.schema)
-        return df.join(F.broadcast(local), on, how)
     return df.join(settle(side, "side"), on, how)

@@ -20,7 +20,6 @@ from blocktrace.functions.labels import (
     SYSTOR_OPERATIONS,
     map_operation,
 )
-from blocktrace.plans.storage import BROADCAST_ROWS
 
 # Units of the source formats.
 TICKS_PER_MICROSECOND = 10
@@ -50,8 +49,6 @@ def place_files(lines: DataFrame, spark: SparkSession, files: list[str]) -> Data
     listing = pa.table({"_path": pa.array(sorted(files), pa.string()),
                         "file_index": pa.array(range(len(files)), pa.int32())})
     places = spark.createDataFrame(listing).withColumn("_path", _same_path(F.col("_path")))
-    if len(files) <= BROADCAST_ROWS:
-        places = F.broadcast(places)
     joined = lines.withColumn("_path", _same_path(F.col("_path"))).join(places, "_path", "left")
     unknown = F.raise_error(F.concat(F.lit("file is not in the listing: "), F.col("_path")))
     return joined.withColumn("file_index", F.when(F.col("file_index").isNull(), unknown.cast("int"))

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocktrace.operators.splits import chronological_split
-from blocktrace.plans.layout import measure
-from blocktrace.plans.ordered import ordered_columns, ordered_prefix, percentiles
+from blocktrace.plans.layout import CHUNK, TASK_ROWS_CONF, with_chunk
+from blocktrace.plans.ordered import ordered_columns, ordered_prefix, percentiles, with_ordinal
+from blocktrace.plans.storage import settle
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +37,6 @@ def by_key(rows):
 
 def test_ordered_columns(spark, layout, rows):
     table = frame(spark, rows)
-    assert measure(table, ["k"], ["t", "i"]).split == (layout == "split")
     got = ordered_columns(table, ["k"], ["t", "i"], running={"before": F.col("w")},
                           past={"last": ("w", 3)}, first={"head": "w"}, following={"next": "w"}).collect()
     want = {}
@@ -48,6 +48,39 @@ def test_ordered_columns(spark, layout, rows):
     assert {r["i"]: (r["before"], r["last"], r["head"], r["next"]) for r in got} == want
 
 
+@pytest.fixture()
+def small_tasks(spark):
+    spark.conf.set(TASK_ROWS_CONF, "20")
+    yield 20
+    spark.conf.unset(TASK_ROWS_CONF)
+
+
+def test_neighbouring_instants_past_double_precision(spark, small_tasks):
+    """Two tied instants that are one apart and equal as doubles, beside a row at time 0."""
+    instant = 12_816_637_200_306_164
+    made = [("a", 0, 0)] + [("a", instant + (i > 400), i) for i in range(1, 801)]
+    got = with_ordinal(spark.createDataFrame(made, "k string, t long, i long").repartition(7),
+                       ["k"], ["t", "i"], "place").collect()
+    assert len(got) == 801 and all(r["place"] == r["i"] for r in got)
+
+
+def test_no_chunk_exceeds_the_limit_on_uneven_ties(spark, small_tasks):
+    """Half of the rows share one instant, beside 500 lighter ties."""
+    table = spark.range(8000).select(
+        F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 1001).alias("t"),
+        F.col("id").alias("i"))
+    sizes = with_chunk(settle(table), ["k"], ["t", "i"]).groupBy(CHUNK).count().agg(F.max("count")).first()[0]
+    assert sizes <= small_tasks
+
+
+def test_null_values_are_neither_skipped_nor_taken_for_missing(spark, layout):
+    made = [("a", i, None if i % 3 == 0 else i) for i in range(60)]
+    got = ordered_columns(spark.createDataFrame(made, "k string, t long, v long"), ["k"], ["t"],
+                          first={"head": "v"}, following={"next": "v"}).collect()
+    assert all(r["head"] is None for r in got)
+    assert {r["t"]: r["next"] for r in got} == {i: made[i + 1][2] if i < 59 else None for i in range(60)}
+
+
 @pytest.mark.parametrize("n, fraction", [(7, None), (None, 0.3)])
 def test_ordered_prefix(spark, layout, rows, n, fraction):
     got = ordered_prefix(frame(spark, rows), ["k"], ["t", "i"], n=n, fraction=fraction)
