@@ -17,7 +17,7 @@ HEADLINE = [
     "win3_build_sequences", "win5_chronological_split", "win10_rule_statistic", "agg1_parse_counters",
     "agg3_disorder_counts", "agg7_rewrite_profile", "agg8_top_share", "agg9_interval_summary", "agg14_write_rate",
     "agg15_interval_ecdf", "cln5_expand_blocks", "cln7_normalize", "src1_read_msr", "jn1_assign_predictions",
-    "jn2_prediction_audit", "pl3_placement_counters", "pl8_segment_profile", "pc1_ablation", "pc3_policy_summary",
+    "jn2_prediction_audit", "pl3_placement_counters", "pc1_ablation", "pc3_policy_summary",
     "ev6_linear_regression",
 ]
 

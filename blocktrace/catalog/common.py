@@ -196,9 +196,9 @@ def split_samples(spark: SparkSession, folder: str, multi: bool = False) -> Data
 
 # -- predictions over the events trace --------------------------------------
 
-def predictions(spark: SparkSession, folder: str, duplicates: bool = True) -> DataFrame:
+def predictions(spark: SparkSession, folder: str, duplicates: bool = True, multi: bool = False) -> DataFrame:
     """Median-of-window predictions; every tenth block repeats its rows with the class flipped."""
-    samples = settle(split_samples(spark, folder), "samples")
+    samples = settle(split_samples(spark, folder, multi), "samples")
     guessed = predict_all(samples, {"median_interval": median_interval})
     made = attach(guessed, hot_threshold(samples, PERCENTILE), ["trace_id"]).select(
         "trace_id", "timestamp", "lba", F.col("predicted").alias("predicted_rewrite_interval"),

@@ -17,8 +17,8 @@ from blocktrace.catalog.common import (
     trace_events,
     trace_multi,
 )
-from blocktrace.catalog.trace import ALL_WRITES, MULTI_SAMPLES, RULE, RULE_CUT
-from blocktrace.operators import intervals, joins, placement
+from blocktrace.catalog.trace import ALL_WRITES, EARLY, MULTI_SAMPLES, RULE
+from blocktrace.operators import intervals, joins, placement, splits
 from blocktrace.plans.storage import settle
 
 KEY = "trace_id, timestamp, lba"
@@ -109,19 +109,26 @@ def set3(spark, folder):
 
 # -- placement ----------------------------------------------------------------
 
-POLICIES = f"""{SAMPLES}, {PREDICTIONS}, {ASSIGNED}, {ALL_WRITES}, {RULE},
+#: The rule's cut-off of each trace, from its early writes.
+RULE_CUTS = f"""{EARLY.replace("pre AS", "early AS")}, {RULE.replace("ruled AS", "known AS").replace("FROM pre", "FROM early")},
+cuts AS (SELECT trace_id, quantile_cont(mean_interval, 0.3) AS rule_threshold FROM known
+         WHERE mean_interval IS NOT NULL GROUP BY trace_id)"""
+
+POLICIES = f"""{MULTI_SAMPLES}, {PREDICTIONS}, {ASSIGNED}, {RULE_CUTS}, {ALL_WRITES}, {RULE},
 placed AS (
   SELECT 'MIXED' AS policy, trace_id, timestamp, lba, seq, 'UNKNOWN' AS temperature FROM writes
   UNION ALL SELECT 'RULE_BASED', trace_id, timestamp, lba, seq, CASE WHEN mean_interval IS NULL THEN 'UNKNOWN'
-       WHEN mean_interval <= {RULE_CUT} THEN 'HOT' ELSE 'COLD' END FROM ruled
+       WHEN mean_interval <= rule_threshold THEN 'HOT' ELSE 'COLD' END FROM ruled JOIN cuts USING (trace_id)
   UNION ALL SELECT 'PREDICTED', trace_id, timestamp, lba, seq, temperature FROM assigned),
 routed AS (SELECT *, CASE WHEN policy <> 'MIXED' AND temperature = 'COLD' THEN 'COLD' ELSE 'MAIN' END AS stream FROM placed)"""
 
 
 def _placed(spark, folder):
-    trace = settle(trace_events(spark, folder), "trace")
-    return placement.policy_temperatures(trace, predictions(spark, folder), ["occ"],
-                                         rule_threshold=RULE_CUT, min_history=MIN_HISTORY)
+    """Three traces, each with its own predictions and its own rule threshold."""
+    trace = settle(trace_multi(spark, folder), "trace")
+    return placement.policy_temperatures(trace, predictions(spark, folder, multi=True), ["occ"],
+                                         rule_threshold=splits.rule_threshold(trace, MIN_HISTORY),
+                                         min_history=MIN_HISTORY)
 
 
 def _routed(spark, folder):
@@ -133,9 +140,9 @@ def pl1(spark, folder):
     return _placed(spark, folder)
 
 
-@query("pl2_route_streams", f"WITH {POLICIES} SELECT policy, seq, temperature, stream FROM routed")
+@query("pl2_route_streams", f"WITH {POLICIES} SELECT trace_id, policy, seq, temperature, stream FROM routed")
 def pl2(spark, folder):
-    return _routed(spark, folder).select("policy", "seq", "temperature", "stream")
+    return _routed(spark, folder).select("trace_id", "policy", "seq", "temperature", "stream")
 
 
 COUNTERS = """cnt AS (
@@ -197,44 +204,6 @@ def pl7_after(spark, folder):
     return placement.live_blocks_after(trace_multi(spark, folder), AFTER)
 
 
-SEGMENTS = f"""{POLICIES},
-ver AS (SELECT *, lead(seq) OVER (PARTITION BY trace_id, policy, lba ORDER BY timestamp, seq) AS next_seq,
-        row_number() OVER (PARTITION BY trace_id, policy, stream ORDER BY timestamp, seq) - 1 AS nth FROM routed),
-seg AS (SELECT trace_id, policy, stream, nth // 64 AS segment, count(*) FILTER (next_seq IS NULL) AS valid_blocks,
-               count(*) FILTER (next_seq IS NOT NULL) AS invalid_blocks, 64 - count(*) AS free_blocks,
-               count(*) < 64 AS is_open FROM ver GROUP BY ALL)"""
-
-
-@query("pl8_segment_profile", f"""WITH {SEGMENTS}
-SELECT trace_id, policy, stream, segment, valid_blocks, invalid_blocks, free_blocks, is_open FROM seg""")
-def pl8(spark, folder):
-    return placement.segment_profile(_routed(spark, folder)).drop("valid_ratio", "invalid_ratio")
-
-
-@query("pl8_segment_profile_until", f"""WITH {SEGMENTS.replace('FROM routed),', 'FROM routed WHERE timestamp <= 864000000000),')}
-SELECT trace_id, policy, stream, segment, valid_blocks, invalid_blocks, free_blocks, is_open FROM seg""")
-def pl8_until(spark, folder):
-    profile = placement.segment_profile(_routed(spark, folder), until=864_000_000_000)
-    return profile.drop("valid_ratio", "invalid_ratio")
-
-
-@query("pl9_cleaning_candidates", f"""WITH {SEGMENTS}
-SELECT trace_id, policy, stream, segment, valid_blocks, invalid_blocks,
-       row_number() OVER (PARTITION BY trace_id, policy ORDER BY valid_blocks, invalid_blocks DESC, stream, segment) AS rank
-FROM seg WHERE NOT is_open AND NOT (invalid_blocks = 0 AND free_blocks = 0) QUALIFY rank <= 10""")
-def pl9(spark, folder):
-    return placement.cleaning_candidates(placement.segment_profile(_routed(spark, folder)), 10)
-
-
-@query("pl10_segment_ratios", f"""WITH {SEGMENTS}
-SELECT trace_id, policy, stream, segment, round(valid_blocks / 64::DOUBLE, 6) AS valid_ratio,
-       round(invalid_blocks / 64::DOUBLE, 6) AS invalid_ratio FROM seg""")
-def pl10(spark, folder):
-    table = placement.segment_profile(_routed(spark, folder))
-    return rounded(table.select("trace_id", "policy", "stream", "segment", "valid_ratio", "invalid_ratio"), 6,
-                   "valid_ratio", "invalid_ratio")
-
-
 @query("e3_predictions_to_placement", f"""WITH {POLICIES}, {COUNTERS},
 sp0 AS (SELECT trace_id, count(DISTINCT lba) AS distinct_lbas FROM writes GROUP BY trace_id)
 SELECT trace_id, policy, total_write_requests, cold_stream_writes, unpredicted_writes, distinct_lbas,
@@ -244,7 +213,7 @@ def e3(spark, folder):
     from blocktrace.functions.capacity import device_segments
     from blocktrace.operators.stats import replay_footprint
     counters = placement.placement_counters(_routed(spark, folder))
-    size = replay_footprint(trace_events(spark, folder), None).select("trace_id", "distinct_lbas")
+    size = replay_footprint(trace_multi(spark, folder), None).select("trace_id", "distinct_lbas")
     return counters.join(size, "trace_id").select(
         "trace_id", "policy", "total_write_requests", "cold_stream_writes", "unpredicted_writes", "distinct_lbas",
         device_segments(F.col("distinct_lbas"), F.lit(0.70), 64).alias("segments"))

@@ -28,7 +28,7 @@ from blocktrace.catalog.common import (
 from blocktrace.functions.labels import MSR_OPERATIONS, map_operation
 from blocktrace.operators import clean, selection, stats
 from blocktrace.plans.storage import new_folder, settle
-from blocktrace.sources import raw, synthetic, tables, workloads
+from blocktrace.sources import raw, tables, workloads
 
 # -- lineitem written in the source formats and read back ---------------------
 
@@ -206,10 +206,11 @@ def src7(spark, folder):
 
 
 @query("src7_typed_trace", f"""WITH {TRACE}
-SELECT trace_id, timestamp, lba, size, operation FROM trace WHERE seq % 50 NOT BETWEEN 1 AND 5""")
+SELECT trace_id, timestamp, lba, size, operation, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS seq
+FROM trace WHERE seq % 50 NOT BETWEEN 1 AND 5""")
 def src7_typed(spark, folder):
-    rows = _round_trip(_dirty_trace_text(spark, folder), tables.TRACE_TEXT)
-    return tables.typed_trace(tables.check_trace(rows)).drop("seq")
+    rows = _round_trip(_dirty_trace_text(spark, folder).orderBy("seq"), tables.TRACE_TEXT)
+    return tables.typed_trace(tables.check_trace(rows))
 
 
 @query("src8_check_predictions", f"""WITH {TRACE},
@@ -234,17 +235,6 @@ def src8(spark, folder):
     return good.unionByName(bad).groupBy("trace_id", "outcome").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("src9_synthetic_trace")
-def src9(spark, folder):
-    """As many synthetic writes over as many blocks as the events table has."""
-    size = table(spark, folder, "events").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("lbas")).first()
-    skewed = synthetic.skewed_writes(spark, size["n"], size["lbas"], 0.25, 0.80, seed=42, trace_id="skewed")
-    uniform = synthetic.uniform_writes(spark, size["n"], size["lbas"], seed=42, trace_id="uniform")
-    profile = stats.lba_profile(skewed.unionByName(uniform))
-    return stats.rewrite_profile(profile)
-
-
 @query("src10_verify_checksums", """SELECT CASE user_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'FAILED' ELSE 'UNVERIFIED' END AS status,
        count(DISTINCT user_id) AS files FROM events GROUP BY 1""")
 def src10(spark, folder):

@@ -93,17 +93,26 @@ def window_features(inputs: Column) -> Column:
     return _summaries(logged(inputs))
 
 
+def moments(values: Column, finish: Callable[[Column], Column] | None = None) -> Column:
+    """Count, mean and sum of squared deviations of an array, in one walk without cancellation."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("dev"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"),
+                        (acc["dev"] + (x - acc["mean"]) * (x - mean)).alias("dev"))
+
+    return F.aggregate(values, start, add, finish)
+
+
 def _summaries(values: Column) -> Column:
     mean = _mean(values)
-    variance = F.aggregate(
-        values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(
-            (acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q"), (acc["n"] + 1).alias("n")),
-        lambda acc: F.greatest(
-            acc["q"] / acc["n"] - (acc["s"] / acc["n"]) * (acc["s"] / acc["n"]), F.lit(0.0)))
+    deviation = moments(values, lambda m: F.sqrt(m["dev"] / m["n"]))
     return F.concat(values, F.array(
         mean,
-        F.sqrt(variance),
+        deviation,
         F.array_min(values),
         F.array_max(values),
         _median(values),

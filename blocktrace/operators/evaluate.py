@@ -26,10 +26,17 @@ def predict_all(samples: DataFrame, predictors: Mapping[str, Predictor] = BASELI
             .select(*kept, "_g.predictor", "_g.predicted"))
 
 
+def with_threshold(rows: DataFrame, thresholds: DataFrame, column: str = "hot_threshold") -> DataFrame:
+    """Add the threshold of each trace; a trace without one fails instead of losing its rows."""
+    missing = F.raise_error(F.concat(F.lit("no threshold for trace "), F.col("trace_id"))).cast("double")
+    return attach(rows, thresholds.select("trace_id", column), ["trace_id"], "left").withColumn(
+        column, F.when(F.col(column).isNull(), missing).otherwise(F.col(column)))
+
+
 def label(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Actual and predicted HOT flags from each trace's training threshold."""
     cut = F.col("hot_threshold")
-    return attach(scored, thresholds, ["trace_id"]).withColumns({
+    return with_threshold(scored, thresholds).withColumns({
         "actual_hot": is_hot(F.col("target"), cut),
         "predicted_hot": is_hot(F.col("predicted"), cut)})
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocktrace.plans.ordered import ordered_columns, ordered_prefix
+from blocktrace.plans.storage import attach
 from blocktrace.schemas import KEY, LBA_KEY, TRACE_ORDER
 
 
@@ -87,11 +88,21 @@ def rule_statistic(trace: DataFrame, min_history: int, *, fraction: float | None
                          F.when(history >= min_history, mean).alias("mean_interval"))
 
 
-def rule_temperature(trace: DataFrame, threshold: float, min_history: int, *,
+def rule_temperature(trace: DataFrame, threshold: float | DataFrame, min_history: int, *,
                      max_writes: int | None = None) -> DataFrame:
-    """HOT / COLD from the running mean, UNKNOWN with too little history."""
+    """HOT / COLD from the running mean, UNKNOWN with too little history.
+
+    `threshold` is one number, or a table of ``rule_threshold`` per trace; with a
+    table, a write with enough history in a trace without a threshold fails.
+    """
     known = rule_statistic(trace, min_history, max_writes=max_writes)
+    kept = [*known.columns, "temperature"]
+    cut = F.lit(threshold) if not isinstance(threshold, DataFrame) else F.col("rule_threshold")
+    if isinstance(threshold, DataFrame):
+        missing = F.raise_error(F.concat(F.lit("no rule threshold for trace "), F.col("trace_id"))).cast("double")
+        known = attach(known, threshold.select("trace_id", "rule_threshold"), KEY, "left").withColumn(
+            "rule_threshold", F.when(cut.isNull() & F.col("mean_interval").isNotNull(), missing).otherwise(cut))
     return known.withColumn(
         "temperature",
         F.when(F.col("mean_interval").isNull(), "UNKNOWN")
-        .when(F.col("mean_interval") <= threshold, "HOT").otherwise("COLD"))
+        .when(F.col("mean_interval") <= cut, "HOT").otherwise("COLD")).select(*kept)

@@ -36,7 +36,9 @@ def prediction_audit(writes: DataFrame, checked: DataFrame) -> DataFrame:
 
     `checked` is a prediction table with ``reject_reason``. A repeated key is a
     duplicate only at an instant some write asked for; elsewhere it is unmatched.
+    A trace known from any of the two tables has a row.
     """
+    writes = settle(writes.select(*WRITE_KEY, "seq"), "writes")
     valid = checked.filter(F.col("reject_reason").isNull())
     offered = settle(valid.groupBy(*WRITE_KEY).agg(F.count(F.lit(1)).alias("_p")), "offered")
     asked = writes.groupBy(*WRITE_KEY).agg(F.count(F.lit(1)).alias("_w"))
@@ -57,10 +59,12 @@ def prediction_audit(writes: DataFrame, checked: DataFrame) -> DataFrame:
     disorder = late.groupBy("trace_id").agg(F.coalesce(F.bool_or(
         F.col("timestamp") < F.try_element_at("_before", F.lit(1))), F.lit(False))
         .alias("out_of_order_input"))
-    table = both
-    for part in (repeats, rows, disorder):
+    # Both cover writes and usable predictions; rows also covers traces with rejects only.
+    table = both.join(rows, "trace_id", "full")
+    for part in (repeats, disorder):
         table = table.join(part, "trace_id", "left")
     zero = F.lit(0).cast("long")
+    table = table.fillna(0, ["lookups", "_valid", "rows_matched"])
     duplicates = F.coalesce("duplicate_key_rows", zero)
     return table.select(
         "trace_id", F.coalesce("rows_read", zero).alias("rows_read"), "rows_matched", "lookups",

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from blocktrace.functions.labels import temperature
 from blocktrace.functions.scaling import from_log
 from blocktrace.functions.windows import window_features
-from blocktrace.operators.evaluate import label, regression_metrics, score
+from blocktrace.operators.evaluate import label, regression_metrics, score, with_threshold
 from blocktrace.operators.intervals import build_sequences, write_events
 from blocktrace.operators.splits import chronological_split, hot_threshold
-from blocktrace.plans.storage import attach, settle
+from blocktrace.plans.storage import settle
 
 MODEL_TYPES = ("linear_regression", "random_forest", "boosted_trees")
 #: Spellings accepted for the boosted model.
@@ -90,7 +90,7 @@ def export_predictions(scored: DataFrame, thresholds: DataFrame | None,
     """Scored samples as the prediction contract; thresholds come from training."""
     if thresholds is None:
         raise ValueError("the hot threshold must come from training data")
-    return attach(scored, thresholds, ["trace_id"]).select(
+    return with_threshold(scored, thresholds).select(
         "timestamp", "lba", F.bround("predicted", 3).alias("predicted_rewrite_interval"),
         temperature(F.col("predicted"), F.col("hot_threshold")).alias("predicted_class"),
         F.lit(model_version).alias("model_version"), "trace_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocktrace.functions.labels import write_stream
@@ -14,9 +14,12 @@ from blocktrace.schemas import KEY, LBA_KEY, TRACE_ORDER
 
 
 def policy_temperatures(trace: DataFrame, predictions: DataFrame, prediction_order: list[str], *,
-                        rule_threshold: float, min_history: int,
+                        rule_threshold: float | DataFrame, min_history: int,
                         max_writes: int | None = None) -> DataFrame:
-    """The same writes under the MIXED, RULE_BASED and PREDICTED policies."""
+    """The same writes under the MIXED, RULE_BASED and PREDICTED policies.
+
+    `rule_threshold` is one number or a table of one threshold per trace.
+    """
     writes = write_prefix(trace, max_writes).select("trace_id", "timestamp", "lba", "seq")
     ruled = rule_temperature(trace, rule_threshold, min_history, max_writes=max_writes)
     predicted = assign_predictions(writes, predictions, prediction_order)
@@ -90,49 +93,3 @@ def live_blocks_after(trace: DataFrame, counts: list[int]) -> DataFrame:
         F.struct(F.lit(n).cast("long").alias("after_writes"), F.count_if(F.col("_born") < n).alias("live_blocks"))
         for n in counts]).alias("_c"))
     return table.select("trace_id", F.inline("_c"))
-
-
-STREAM_KEY = ["trace_id", "policy", "stream"]
-
-
-def segment_profile(routed: DataFrame, blocks_per_segment: int = 64,
-                    until: int | None = None) -> DataFrame:
-    """Fill of each append-log segment, without cleaning.
-
-    The i-th write of a stream lands in segment ``i div blocks_per_segment``; its
-    block is invalid once the same block is written again under that policy.
-    Writes after time `until` are ignored.
-    """
-    if blocks_per_segment < 1:
-        raise ValueError("blocks_per_segment must be >= 1")
-    writes = routed.select(*STREAM_KEY, "lba", *TRACE_ORDER)
-    if until is not None:
-        writes = writes.filter(F.col("timestamp") <= until)
-    versions = ordered_columns(writes, ["trace_id", "policy", "lba"], TRACE_ORDER,
-                               following={"_next": "seq"})
-    placed = with_ordinal(versions, STREAM_KEY, TRACE_ORDER, "_nth")
-    segments = placed.groupBy(*STREAM_KEY, F.expr(f"_nth div {blocks_per_segment}").alias("segment")).agg(
-        F.count_if(F.col("_next").isNull()).alias("valid_blocks"),
-        F.count_if(F.col("_next").isNotNull()).alias("invalid_blocks"))
-    used = F.col("valid_blocks") + F.col("invalid_blocks")
-    return segments.withColumns({
-        "free_blocks": F.lit(blocks_per_segment) - used,
-        "is_open": used < blocks_per_segment,
-        "valid_ratio": F.col("valid_blocks") / blocks_per_segment,
-        "invalid_ratio": F.col("invalid_blocks") / blocks_per_segment})
-
-
-def cleaning_candidates(segments: DataFrame, k: int) -> DataFrame:
-    """Best `k` segments to clean per trace and policy.
-
-    Open, empty and fully valid segments are skipped; fewest valid blocks come
-    first, then most invalid, then the lowest segment. Ranks are limited before
-    the shuffle, so at most `k` rows per input partition are compared.
-    """
-    full = (F.col("invalid_blocks") == 0) & (F.col("free_blocks") == 0)
-    usable = segments.filter(~F.col("is_open") & (F.col("valid_blocks") + F.col("invalid_blocks") > 0) & ~full)
-    best = Window.partitionBy("trace_id", "policy").orderBy(
-        "valid_blocks", F.col("invalid_blocks").desc(), "stream", "segment")
-    return usable.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
-        .select("trace_id", "policy", "rank", "stream", "segment", "valid_blocks", "invalid_blocks")
-

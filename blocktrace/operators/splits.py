@@ -11,6 +11,10 @@ from blocktrace.plans.storage import attach, settle
 from blocktrace.schemas import KEY, SAMPLE_ORDER
 
 
+#: Traces an error message names at most.
+NAMED_IN_ERRORS = 10
+
+
 def _check_shares(train: float, val: float) -> None:
     if not 0.0 < train < 1.0 or not 0.0 < val < 1.0:
         raise ValueError("split shares must be in (0, 1)")
@@ -88,10 +92,16 @@ def hot_threshold(split_samples: DataFrame, percentile: float = 30.0,
 
 def rule_threshold(trace: DataFrame, min_history: int, fraction: float = 0.70,
                    percentile: float = 30.0, max_writes: int | None = None) -> DataFrame:
-    """Cut-off for the running-mean rule, from its own statistic in training time."""
+    """Cut-off for the running-mean rule, from its own statistic in training time.
+
+    A trace whose training period never reaches `min_history` has no cut-off;
+    the call fails and names such traces.
+    """
     _check_percentile(percentile)
-    observed = (rule_statistic(trace, min_history, fraction=fraction, max_writes=max_writes)
-                .filter(F.col("mean_interval").isNotNull()).select("trace_id", "mean_interval"))
-    if observed.isEmpty():
-        raise ValueError("no block has enough rewrites in the training period")
+    observed = settle(rule_statistic(trace, min_history, fraction=fraction, max_writes=max_writes)
+                      .filter(F.col("mean_interval").isNotNull()).select("trace_id", "mean_interval"), "rule")
+    silent = trace.select("trace_id").distinct().join(observed, KEY, "left_anti").orderBy("trace_id")
+    named = [row["trace_id"] for row in silent.limit(NAMED_IN_ERRORS).collect()]
+    if named:
+        raise ValueError(f"no block has enough rewrites in the training period of {', '.join(map(str, named))}")
     return percentiles(observed, KEY, "mean_interval", {"rule_threshold": percentile / 100.0})

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blocktrace.schemas import NORMALIZED, OPERATIONS, PREDICTION, RUN
+from blocktrace.plans.ordered import with_ordinal
+from blocktrace.schemas import KEY, NORMALIZED, OPERATIONS, PREDICTION, RAW_ORDER, RUN
+from blocktrace.sources.raw import place_files
 
 
 def _text_schema(columns: list[str]) -> T.StructType:
@@ -20,10 +22,13 @@ PREDICTION_TEXT = _text_schema([f.name for f in PREDICTION.fields])
 def read_text_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header that must name the contract's columns; all values text.
 
-    ``line_id`` keeps the row order of the file.
+    File, split of the file and ``line_id`` keep the order of the rows.
     """
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .csv(path).withColumn("line_id", F.monotonically_increasing_id()))
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_path"),
+                         F.col("_metadata.file_block_start").alias("block_start"),
+                         F.monotonically_increasing_id().alias("line_id"))
+    return place_files(placed, spark, rows.inputFiles())
 
 
 def _whole(name: str) -> Column:
@@ -42,11 +47,11 @@ def check_trace(rows: DataFrame) -> DataFrame:
 
 
 def typed_trace(checked: DataFrame) -> DataFrame:
-    """Rows that passed, in the types of the contract; `line_id` becomes `seq`."""
-    good = checked.filter(F.col("reject_reason").isNull())
+    """Rows that passed, in the types of the contract; `seq` numbers them in file order."""
+    good = with_ordinal(checked.filter(F.col("reject_reason").isNull()), KEY, RAW_ORDER, "seq")
     return good.select(_whole("timestamp").alias("timestamp"), _whole("lba").alias("lba"),
                        F.lit(1).alias("size"), F.trim("operation").alias("operation"),
-                       F.col("line_id").alias("seq"), "trace_id")
+                       "seq", "trace_id")
 
 
 def check_predictions(rows: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ CHOSEN = ["src1_read_msr", "src8_check_predictions", "src10_verify_checksums", "
           "agg1_parse_counters", "agg3_disorder_counts", "agg9_interval_summary", "agg14_write_rate",
           "agg15_interval_ecdf", "agg17_lorenz_curve", "win1_intervals_with_ties", "win3_build_sequences",
           "win5_split_with_ties", "win10_rule_statistic", "fn4_window_features", "fn14_device_segments",
-          "ev4_score_predictors", "ev13_spearman", "jn1_repeated_keys", "jn2_prediction_audit", "pl8_segment_profile",
-          "pl9_cleaning_candidates", "pc1_ablation", "pc3_policy_summary", "au2_broken_accounting",
+          "ev4_score_predictors", "ev13_spearman", "jn1_repeated_keys", "jn2_prediction_audit", "pl3_placement_counters",
+          "src7_typed_trace", "pc1_ablation", "pc3_policy_summary", "au2_broken_accounting",
           "au5_unfair_comparison", "au8_bad_model_records", "sel2_assign_roles", "st2_rule_temperature_stream",
           "st3_assign_predictions_stream", "st5_disorder_stream"]
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,48 @@ def test_scaler_and_threshold(spark):
         splits.hot_threshold(targets, 100)
 
 
+@pytest.mark.parametrize("value", [7.0, 1000.0, 12345.0])
+def test_constant_intervals_have_unit_deviation(spark, value):
+    train = spark.createDataFrame([("t", [value] * 20, value)] * 400 + [("t", [value] * 9, value)] * 30,
+                                  "trace_id string, inputs array<double>, target double").repartition(5)
+    assert scaling.fit_scaler(train, ["trace_id"]).first()["std"] == 1.0
+    assert train.select(windows.window_features(F.col("inputs")).alias("f"), F.size("inputs").alias("n")) \
+        .filter(F.col("f")[F.col("n") + 1] != 0.0).isEmpty()
+
+
+def test_scaler_matches_a_plain_pool_of_unequal_windows(spark):
+    rng = random.Random(3)
+    made = [("t", [rng.uniform(0, 1e6) for _ in range(rng.choice([1, 4, 9]))], rng.uniform(0, 1e6)) for _ in range(200)]
+    pool = np.log1p([x for _, inputs, target in made for x in [*inputs, target]])
+    row = scaling.fit_scaler(spark.createDataFrame(
+        made, "trace_id string, inputs array<double>, target double"), ["trace_id"]).first()
+    assert (row["mean"], row["std"]) == pytest.approx((pool.mean(), pool.std()), rel=1e-12)
+
+
+def test_a_trace_without_history_is_named(spark, make_trace):
+    rows = make_trace([(n * 5, 1) for n in range(40)]).unionByName(make_trace([(0, 1), (9, 2)], "quiet"))
+    with pytest.raises(ValueError, match="quiet"):
+        splits.rule_threshold(rows, 2)
+    scored = spark.createDataFrame([("quiet", "p", 1.0, 2.0)], "trace_id string, predictor string, target double, predicted double")
+    cuts = spark.createDataFrame([("demo", 1.0)], "trace_id string, hot_threshold double")
+    with pytest.raises(Exception, match="no threshold for trace quiet"):
+        evaluate.label(scored, cuts).collect()
+
+
+def test_each_trace_has_its_own_rule_threshold(spark, make_trace):
+    rows = make_trace([(t, 1) for t in (0, 10, 20, 30)]).unionByName(make_trace([(t, 1) for t in (0, 10, 20, 30)], "b"))
+    cuts = spark.createDataFrame([("demo", 15.0), ("b", 5.0)], "trace_id string, rule_threshold double")
+    found = intervals.rule_temperature(rows, cuts, 2).filter("temperature <> 'UNKNOWN'").collect()
+    assert {r["trace_id"]: r["temperature"] for r in found} == {"demo": "HOT", "b": "COLD"}
+
+
+def test_audit_keeps_traces_with_rejects_only(spark, make_trace):
+    checked = _predictions(spark, [(1, 10, "oops", "HOT")]).withColumn("trace_id", F.lit("other"))
+    rows = {r["trace_id"]: r for r in joins.prediction_audit(make_trace([(1, 10)]), checked).collect()}
+    assert (rows["other"]["rows_read"], rows["other"]["malformed_rows"], rows["other"]["lookups"]) == (1, 1, 0)
+    assert rows["demo"]["lookup_misses"] == 1
+
+
 def test_rule_classifier(make_trace, layout):
     rows = intervals.rule_temperature(make_trace([(t, 10) for t in (0, 10, 20, 30)]), 15.0, 2).orderBy("seq").collect()
     assert [r["temperature"] for r in rows] == ["UNKNOWN", "UNKNOWN", "UNKNOWN", "HOT"]
@@ -141,10 +185,6 @@ def test_policies_see_one_workload(spark, make_trace, layout):
     assert {r["total_write_requests"] for r in rows.values()} == {6}
     assert (rows["MIXED"]["unpredicted_writes"], rows["MIXED"]["cold_stream_writes"]) == (6, 0)
     assert rows["PREDICTED"]["unpredicted_writes"] == 3 and rows["PREDICTED"]["cold_stream_writes"] == 1
-    profile = placement.segment_profile(routed.filter("policy = 'MIXED'"), 2).orderBy("segment").collect()
-    assert [(r["valid_blocks"], r["invalid_blocks"]) for r in profile] == [(0, 2), (1, 1), (2, 0)]
-    best = placement.cleaning_candidates(placement.segment_profile(routed, 2).filter("policy = 'MIXED'"), 5)
-    assert [r["segment"] for r in best.orderBy("rank").collect()] == [0, 1]
 
 
 def test_live_blocks_and_replay(make_trace):

@@ -172,6 +172,18 @@ def test_header_of_a_trace_table_is_verified(spark, tmp_path):
         tables.read_text_table(spark, str(bad), tables.TRACE_TEXT).collect()
 
 
+def test_rows_of_several_files_are_numbered_in_file_order(spark, tmp_path):
+    """The last file is the largest, which a reader would take first."""
+    start, sizes = 0, (3, 1, 900)
+    for name, size in zip("abc", sizes):
+        lines = [f"{t},{t},1,W,t" for t in range(start, start + size)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["timestamp,lba,size,operation,trace_id", *lines]) + "\n")
+        start += size
+    rows = tables.typed_trace(tables.check_trace(
+        tables.read_text_table(spark, str(tmp_path), tables.TRACE_TEXT))).collect()
+    assert len(rows) == sum(sizes) and all(r["seq"] == r["timestamp"] for r in rows)
+
+
 def test_synthetic_traffic_is_skewed(spark):
     made = synthetic.skewed_writes(spark, 24_000, 60, 0.25, 0.80)
     hot = made.filter(F.col("lba") < 15).count() / 24_000
