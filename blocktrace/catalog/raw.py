@@ -10,6 +10,9 @@ from blocktrace.catalog.common import (
     CHECKED,
     MULTI,
     ORDER_SQL,
+    PREDICTIONS,
+    RUNS,
+    SAMPLES,
     SOURCE_ORDER,
     TRACE,
     checked,
@@ -263,7 +266,9 @@ def snk1(spark, folder):
     return tables.read_trace(spark, path)
 
 
-@query("snk2_write_predictions")
+@query("snk2_write_predictions", f"""WITH {SAMPLES}, {PREDICTIONS}
+SELECT timestamp, lba, round_even(predicted_rewrite_interval, 3) AS predicted_rewrite_interval, predicted_class,
+       'median_interval' AS model_version, trace_id FROM pred""")
 def snk2(spark, folder):
     path = new_folder(spark, "predictions")
     made = predictions(spark, folder).withColumn("model_version", F.lit("median_interval"))
@@ -272,7 +277,11 @@ def snk2(spark, folder):
     return spark.read.schema(PREDICTION).parquet(path)
 
 
-@query("snk3_append_runs")
+@query("snk3_append_runs", f"""WITH {RUNS}
+SELECT dataset, trace, policy, model_type, total_segments, blocks_per_segment, block_size_bytes, gc_reserved_segments,
+       gc_separate_stream, target_utilization, seed, total_write_requests, logical_bytes_written, physical_bytes_written,
+       gc_bytes_copied, valid_blocks_migrated, gc_count, main_stream_writes, cold_stream_writes, unpredicted_writes, waf
+FROM runs""")
 def snk3(spark, folder):
     path = new_folder(spark, "runs")
     table_ = settle(runs(spark, folder), "runs")

@@ -63,9 +63,19 @@ def agg5(spark, folder):
     return stats.footprint(stats.lba_profile(trace_multi(spark, folder)))
 
 
-@query("agg5_approximate_footprint")
+#: Relative deviation of the sketch, and how many of them an estimate may be off.
+SKETCH_ERROR, SKETCH_DEVIATIONS = 0.02, 5
+
+
+@query("agg5_approximate_footprint", f"""WITH {MULTI}
+SELECT trace_id, count(DISTINCT lba) AS unique_lbas, TRUE AS within_error FROM trace GROUP BY trace_id""")
 def agg5_approximate(spark, folder):
-    return stats.approximate_footprint(trace_multi(spark, folder))
+    """Whether the sketch is close to the exact count of each trace."""
+    trace = settle(trace_multi(spark, folder), "trace")
+    exact = stats.footprint(stats.lba_profile(trace)).select("trace_id", "unique_lbas")
+    gap = F.abs(F.col("approx_unique_lbas") / F.col("unique_lbas") - 1)
+    return exact.join(stats.approximate_footprint(trace, SKETCH_ERROR), "trace_id").select(
+        "trace_id", "unique_lbas", (gap <= SKETCH_DEVIATIONS * SKETCH_ERROR).alias("within_error"))
 
 
 @query("agg6_duration_and_size", f"""WITH {CHECKED},
