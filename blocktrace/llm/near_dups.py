@@ -100,17 +100,21 @@ def sketch(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SKETCH)
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, read: DataFrame, words: int, percent: int,
-               matches: int) -> DataFrame:
-    """The pairs (`a`, `b`) that collide often enough and whose full sets are similar enough."""
+def _candidates(pairs: DataFrame, signed: DataFrame, percent: int, matches: int) -> DataFrame:
+    """The pairs (`a`, `b`) that collide often enough, with their count of collisions, settled."""
     def side(name: str) -> DataFrame:
         return signed.select(F.col("node").alias(name), F.col("n_shingles").alias(f"_n_{name}"),
                              F.col("signature").alias(f"_s_{name}"))
 
     alike = (pairs.join(side("a"), "a").join(side("b"), "b")
              .filter(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
-             .filter(F.size(F.array_intersect("_s_a", "_s_b")) >= matches).select("a", "b"))
-    alike = settle(alike, "candidates")
+             .withColumn("collisions", F.size(F.array_intersect("_s_a", "_s_b")))
+             .filter(F.col("collisions") >= matches).select("a", "b", "collisions"))
+    return settle(alike, "candidates")
+
+
+def _confirmed(alike: DataFrame, read: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (`a`, `b`) whose full sets are similar enough."""
     first, second = (read.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"),
                                  F.col("set_key").alias(f"key_{name}")) for name in "ab")
 
@@ -134,7 +138,7 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, read: DataFrame, words: int,
                     kept.append((a, b))
             yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return alike.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
+    return alike.select("a", "b").join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
 def _rarest(nodes: DataFrame, read: DataFrame, words: int, percent: int) -> DataFrame:
@@ -173,6 +177,13 @@ def _crossing(ranks: DataFrame, percent: int) -> DataFrame:
             .select(F.col("node").alias("a"), F.col("_node").alias("b")))
 
 
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose members are in different components."""
+    first, second = (joined.select(F.col("node").alias(c), F.col("component").alias(f"_c_{c}")) for c in "ab")
+    return (pairs.join(first, "a", "left").join(second, "b", "left")
+            .filter(F.coalesce("_c_a", "a") != F.coalesce("_c_b", "b")).select("a", "b"))
+
+
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -215,7 +226,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
                                      F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     spokes = (prefix.join(hubs, "key").select("node", F.explode("_hubs").alias("_hub")).filter("node <> _hub")
               .select(*_ordered(F.col("node"), F.col("_hub"))).distinct())
-    links = settle(_confirmed(spokes, signed, read, words, percent, matches), "links")
+    alike = _candidates(spokes, signed, percent, matches)
+    # Texts are read for the best pair of each member first, then for pairs that this left apart.
+    best = (alike.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "collisions").groupBy("node")
+            .agg(F.max(F.struct("collisions", "a", "b")).alias("_")).select("_.a", "_.b").distinct())
+    links = settle(_confirmed(best, read, words, percent), "links")
+    joined = components(links)
+    apart = settle(_apart(alike.join(best, ["a", "b"], "left_anti"), joined), "apart")
+    links = settle(links.union(_confirmed(apart, read, words, percent)), "links")
     joined = components(links)
 
     # What the hubs didn't connect: pairs of different components under one key.
@@ -231,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
                 .filter((F.col("node") < F.col("_node")) & (F.col("_group") != F.col("_other")))
                 .select(F.col("node").alias("a"), F.col("_node").alias("b"))
                 .union(_crossing(ranks, percent)).distinct())
-    late = _confirmed(crossing, signed, read, words, percent, matches)
+    late = _confirmed(_candidates(crossing, signed, percent, matches), read, words, percent)
     final = components(links.union(settle(late, "late-links")))
 
     found = (classes.join(final, "node", "left")
