@@ -100,19 +100,29 @@ def sketch(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SKETCH)
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, read: DataFrame, words: int, percent: int,
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts of the rows whose id is among `nodes`, which hold each `node` once."""
+    # As a table of its own the side has a known size: small, it is broadcast, and no text moves.
+    return settle(docs.select(docs["doc_id"].cast("long").alias("node"), "text")
+                  .join(settle(nodes, "nodes"), "node"), "texts")
+
+
+def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int,
                matches: int) -> DataFrame:
-    """The pairs (`a`, `b`) that collide often enough and whose full sets are similar enough."""
+    """The pairs (`a`, `b`) that collide often enough and whose full sets are similar enough.
+
+    Only texts of pairs that collide often enough are read.
+    """
     def side(name: str) -> DataFrame:
         return signed.select(F.col("node").alias(name), F.col("n_shingles").alias(f"_n_{name}"),
-                             F.col("signature").alias(f"_s_{name}"))
+                             F.col("set_key").alias(f"key_{name}"), F.col("signature").alias(f"_s_{name}"))
 
     alike = (pairs.join(side("a"), "a").join(side("b"), "b")
              .filter(100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
-             .filter(F.size(F.array_intersect("_s_a", "_s_b")) >= matches).select("a", "b"))
+             .filter(F.size(F.array_intersect("_s_a", "_s_b")) >= matches).select("a", "b", "key_a", "key_b"))
     alike = settle(alike, "candidates")
-    first, second = (read.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"),
-                                 F.col("set_key").alias(f"key_{name}")) for name in "ab")
+    read = _texts(docs, alike.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    first, second = (read.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}")) for name in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -137,21 +147,28 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, read: DataFrame, words: int,
     return alike.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def _rarest(nodes: DataFrame, read: DataFrame, words: int, percent: int) -> DataFrame:
+def _rarest(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rarest shingles of each node, as many as any partner could need.
 
-    Returns `node`, `_group`, `n` (set size), `shingle` and its `place` (from 1)
-    in the order of rising frequency among all `nodes`.
+    Takes `node`, `_group` and `set_key`. Returns `node`, `_group`, `n` (set
+    size), `shingle` and its `place` (from 1) in the order of rising frequency
+    among all `nodes`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for part in slices(batches):
-            for node, group, text in zip(*(part.column(c).to_pylist() for c in ("node", "_group", "text"))):
-                values = shingles(text or "", words).view(np.int64)
+            columns = [part.column(c).to_pylist() for c in ("node", "_group", "set_key", "text")]
+            for node, group, key, text in zip(*columns):
+                values = shingles(text or "", words)
+                # Of rows that share an id only the one with the sketched set speaks.
+                if xxhash.xxh3_128_digest(values.tobytes()) != key:
+                    continue
                 yield pa.record_batch([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), group)),
-                                       pa.array(values)], names=["node", "_group", "shingle"])
+                                       pa.array(values.view(np.int64))], names=["node", "_group", "shingle"])
 
-    sets = settle(read.select("node", "text").join(nodes, "node").mapInArrow(run, "node long, _group long, shingle long").distinct(), "sets")
+    sets = settle(_texts(docs, nodes).mapInArrow(run, "node long, _group long, shingle long").distinct(), "sets")
     counts = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("_held"))
     ordered = (sets.join(counts, "shingle").groupBy("node", "_group")
                .agg(F.array_sort(F.collect_list(F.struct("_held", "shingle"))).alias("_all"))
@@ -202,12 +219,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
     ranked = settle(ranked.select("node", "_common", F.slice(
         "_keys.key", F.lit(1), F.size("_keys") - matches + 1).alias("_rare")), "prefixes")
     prefix = ranked.select("node", "_common", F.explode("_rare").alias("key"))
-    # From here on only documents with enough shared pairs matter: their signatures and texts are read once.
+    # From here on only documents with enough shared pairs matter: their signatures are read once.
     signed = (classes.join(ranked.select("node"), "node").groupBy("node")
               .agg(F.min(F.struct("set_key", "n_shingles", "signature")).alias("_")).select("node", "_.*"))
     signed = settle(signed, "signatures")
-    read = settle(docs.select(docs["doc_id"].cast("long").alias("node"), "text")
-                  .join(signed.select("node", "set_key"), "node"), "texts")
 
     chance = F.xxhash64("node")
     orders = [F.max(F.struct("_common", chance, "node"))["node"], F.min(F.struct(chance, "node"))["node"]]
@@ -215,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
                                      F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     spokes = (prefix.join(hubs, "key").select("node", F.explode("_hubs").alias("_hub")).filter("node <> _hub")
               .select(*_ordered(F.col("node"), F.col("_hub"))).distinct())
-    links = settle(_confirmed(spokes, signed, read, words, percent, matches), "links")
+    links = settle(_confirmed(spokes, signed, docs, words, percent, matches), "links")
     joined = components(links)
 
     # What the hubs didn't connect: pairs of different components under one key.
@@ -226,12 +241,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
              .filter("_low < _high").select("key", (F.col("_n") > SHORT_LIST).alias("_long")))
     rest = settle(grouped.join(mixed, "key"), "unconnected")
     short = rest.filter(~F.col("_long")).select("key", "node", "_group")
-    ranks = settle(_rarest(rest.filter("_long").select("node", "_group").distinct(), read, words, percent), "rarest")
+    long = rest.filter("_long").select("node", "_group").distinct().join(signed.select("node", "set_key"), "node")
+    ranks = settle(_rarest(long, docs, words, percent), "rarest")
     crossing = (short.join(short.toDF("key", "_node", "_other"), "key")
                 .filter((F.col("node") < F.col("_node")) & (F.col("_group") != F.col("_other")))
                 .select(F.col("node").alias("a"), F.col("_node").alias("b"))
                 .union(_crossing(ranks, percent)).distinct())
-    late = _confirmed(crossing, signed, read, words, percent, matches)
+    late = _confirmed(crossing, signed, docs, words, percent, matches)
     final = components(links.union(settle(late, "late-links")))
 
     found = (classes.join(final, "node", "left")
