@@ -106,16 +106,11 @@ def ev5(spark, folder):
                        "f1", "best_baseline", "mae_log1p_delta", "seed")
 
 
-#: Smaller forests than the library defaults, so that the queries stay quick.
-FAST = {"linear_regression": {}, "random_forest": {"numTrees": 20, "maxDepth": 8},
-        "boosted_trees": {"maxIter": 10, "maxDepth": 4}}
-
-
 def _model_query(name: str, model_type: str):
     @query(name)
     def run(spark, folder):
         samples = split_samples(spark, folder)
-        return _neat(models.score_models(samples, [model_type], overrides=FAST))
+        return _neat(models.score_models(samples, [model_type]))
     return run
 
 
@@ -161,8 +156,8 @@ def ev11(spark, folder):
 
 @query("ev12_grid_search")
 def ev12(spark, folder):
-    grid = models.grid_search(trace_multi(spark, folder), "random_forest", [4, 6],
-                              {"numTrees": [4, 8], "maxDepth": [5]})
+    grid = models.grid_search(trace_multi(spark, folder), "random_forest", [10, 20],
+                              {"numTrees": [50, 100]})
     return rounded(compare.rank_search(grid), 6, "val_mae_log1p")
 
 

@@ -17,7 +17,7 @@ from blocktrace.functions.scaling import from_log
 from blocktrace.functions.windows import window_features
 from blocktrace.operators.evaluate import label, regression_metrics, score, with_threshold
 from blocktrace.operators.intervals import build_sequences, write_events
-from blocktrace.operators.splits import chronological_split, hot_threshold
+from blocktrace.operators.splits import chronological_prefix, chronological_split, hot_threshold
 from blocktrace.plans.storage import settle
 
 MODEL_TYPES = ("linear_regression", "random_forest", "boosted_trees")
@@ -63,18 +63,22 @@ def with_features(samples: DataFrame) -> DataFrame:
 
 def fit(model_type: str, split_samples: DataFrame, seed: int = 42, **overrides) -> FittedModel:
     """Fit on the training split; validation is used for early stopping only."""
+    return fit_features(model_type, settle(with_features(split_samples), "features"), seed, **overrides)
+
+
+def fit_features(model_type: str, features: DataFrame, seed: int = 42, **overrides) -> FittedModel:
+    """The same on a settled table of ``with_features``, which several fits may share."""
     model_type = ALIASES.get(model_type, model_type)
     parts = ["train", "val"] if model_type == "boosted_trees" else ["train"]
-    used = split_samples.filter(F.col("split").isin(parts)) \
-        .select("inputs", "target", (F.col("split") == "val").alias("is_val"))
-    data = settle(with_features(used), "features")
+    data = features.filter(F.col("split").isin(parts)) \
+        .select("features", "label", "inputs", (F.col("split") == "val").alias("is_val"))
     sizes = data.agg(F.count_if(~F.col("is_val")).alias("train"), F.count_if("is_val").alias("val"),
                      F.max(F.size("inputs")).alias("length")).first()
     if not sizes["train"]:
         raise ValueError("training split is empty")
     if model_type == "boosted_trees" and not sizes["val"]:
         raise ValueError("validation split is empty; early stopping needs it")
-    model = make_estimator(model_type, seed, **overrides).fit(data)
+    model = make_estimator(model_type, seed, **overrides).fit(data.drop("inputs"))
     return FittedModel(model_type, model, sizes["length"], sizes["train"])
 
 
@@ -125,12 +129,14 @@ def score_models(split_samples: DataFrame, model_types: Iterable[str], seed: int
 
 
 def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str,
-                     seed: int = 42, percentile: float = 30.0, **overrides) -> DataFrame:
+                     seed: int = 42, percentile: float = 30.0, early: float = 0.2, **overrides) -> DataFrame:
     """Training on other workloads against training on the target alone.
 
-    Both variants are scored on each target's test split, each with the hot
-    threshold of its own training data. A target among the pretraining
-    workloads is refused.
+    Three variants are scored on each target's test split: `pretrained` (other
+    workloads), `adapted` (those and the earliest fraction `early` of the
+    target's training split) and `scratch` (the target alone). The hot threshold
+    comes from the training rows of the pool, of that fraction, and of the
+    target. A target among the pretraining workloads is refused.
     """
     leaks = roles.filter(F.col("role") == "pretrain").select("trace_id").intersect(
         roles.filter(F.col("role") == "target").select("trace_id"))
@@ -139,7 +145,7 @@ def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str
     samples = settle(split_samples, "samples")
     targets = [r["trace_id"] for r in roles.filter(F.col("role") == "target")
                .select("trace_id").distinct().orderBy("trace_id").collect()]
-    pool = samples.join(F.broadcast(roles.filter(F.col("role") == "pretrain").select("trace_id")),
+    pool = samples.join(settle(roles.filter(F.col("role") == "pretrain").select("trace_id"), "roles"),
                         "trace_id", "left_semi")
     pooled = fit(model_type, pool, seed, **overrides)
     pooled_cut = hot_threshold(pool.withColumn("pool", F.lit(1)), percentile, ["pool"]) \
@@ -150,7 +156,11 @@ def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str
         test = own.filter(F.col("split") == "test")
         alone = fit(model_type, own, seed, **overrides)
         cut = hot_threshold(own, percentile).first()["hot_threshold"]
-        for name, fitted, value in (("pretrained", pooled, pooled_cut), ("scratch", alone, cut)):
+        prefix = settle(chronological_prefix(own.filter(F.col("split") == "train"), early), "prefix")
+        adapted = fit(model_type, pool.unionByName(prefix.select(*pool.columns)), seed, **overrides)
+        early_cut = hot_threshold(prefix, percentile).first()["hot_threshold"]
+        for name, fitted, value in (("pretrained", pooled, pooled_cut), ("adapted", adapted, early_cut),
+                                    ("scratch", alone, cut)):
             tables.append(predict(fitted, test).select(
                 "trace_id", "target", "predicted", F.lit(name).alias("predictor"),
                 F.lit(value).alias("hot_threshold"),
@@ -163,24 +173,28 @@ def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str
 
 
 def grid_search(trace: DataFrame, model_type: str, lengths: list[int],
-                settings: Mapping[str, list], seed: int = 42) -> DataFrame:
+                settings: Mapping[str, list], seed: int = 42, size: str | None = None) -> DataFrame:
     """Validation error for every window length and setting, best first.
 
-    Samples are built once per length. Splits stay chronological, so the usual
-    random cross-validation does not apply.
+    Samples and features are built once per length. Splits stay chronological,
+    so the usual random cross-validation does not apply. `size` names the
+    setting that orders models of equal error, by default the first one; a
+    length without validation samples is refused.
     """
+    size = size or next(iter(settings), None)
     rows = []
     for length in lengths:
-        samples = settle(chronological_split(build_sequences(trace, length)), "samples")
-        val = samples.filter(F.col("split") == "val")
+        samples = chronological_split(build_sequences(trace, length))
+        features = settle(with_features(samples), "features")
+        val = features.filter(F.col("split") == "val").drop("features", "label")
         for values in itertools.product(*settings.values()):
             chosen = dict(zip(settings, values))
-            fitted = fit(model_type, samples, seed, **chosen)
+            fitted = fit_features(model_type, features, seed, **chosen)
             scored = predict(fitted, val).withColumn("predictor", F.lit(model_type))
             pooled = regression_metrics(scored, ["predictor"]).first()
             if pooled is None:
-                continue
-            rows.append((length, str(chosen), float(values[0]) if values else 0.0,
+                raise ValueError(f"no validation samples for windows of {length}")
+            rows.append((length, str(chosen), float(chosen.get(size, 0.0)),
                          fitted.train_samples, pooled["mae_us"], pooled["rmse_us"], pooled["mae_log1p"]))
     if not rows:
         raise ValueError("the search produced no result; check the input traces")
