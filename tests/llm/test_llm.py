@@ -228,3 +228,8 @@ def test_empty_tables(spark, corpus):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score_quality(empty, labels).count() == 0
     assert quality.score_quality(corpus, labels).count() == corpus.count()
+
+
+def test_unclosed_tags_take_no_long_search():
+    assert pages.blocks("<p>a</p>" + "<div " * 400 + "x" * 50_000)[0][1] == "a"
+    assert pages.blocks("<p title='>' id=\"b>\">a<br/>b</p>")[0][1] == "a b"
