@@ -55,8 +55,8 @@ def op9_fertility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in sequences of at most 1024 ids."""
-    return packing.pack(table(spark, folder, "documents"))
+    """All documents in sequences of at most 1024 ids, as `tokenizers` encodes them by default."""
+    return packing.pack(table(spark, folder, "documents"), added_tokens=True)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from blocktrace.llm.common import slices
-from blocktrace.llm.vocabularies import byte_vocabulary, default_path
+from blocktrace.llm.vocabularies import default_path, json_vocabulary
 
 #: Open windows that a packer keeps; beyond it they are closed early. Bounds its memory to 4 * capacity bytes each.
 OPEN_WINDOWS = 8192
@@ -138,7 +138,8 @@ class Packer:
         return pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=ARROW)
 
 
-def pack(docs: DataFrame, *, capacity: int = 1024, closing_id: int = 0, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = 1024, closing_id: int = 0, path: str | None = None,
+         added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents and their places.
 
     Returns one row per piece: `doc_id`, `start` (ids of the document before
@@ -147,16 +148,21 @@ def pack(docs: DataFrame, *, capacity: int = 1024, closing_id: int = 0, path: st
     `sequence_length`. A null or empty text has the closing id alone. Equal
     rows are packed each by itself, a null id stays null. An empty table gives
     no pieces. The same input partitions give the same sequences.
+
+    `path` is a JSON file of the library `tokenizers`, with the rank file of
+    the same name beside it. With `added_tokens` the strings of its added
+    tokens become their ids, as that library reads them by default; without,
+    they are ordinary text.
     """
-    path = path or default_path("byte_bpe_50k.tiktoken")
+    path = path or default_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = byte_vocabulary(path)
+        vocabulary = json_vocabulary(path, added_tokens)
         closing = np.array([closing_id], dtype="<u4").tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         for part in slices(batches):
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.array(vocabulary.encode_ordinary(text or ""), dtype="<u4").tobytes()
+                ids = np.array(vocabulary.encode(text or ""), dtype="<u4").tobytes()
                 packer.document(doc_id, ids + closing)
             yield packer.take()
         packer.close()
