@@ -4,8 +4,10 @@ A text's words are encoded with a vocabulary that falls back to bytes. Three
 figures describe how well it fits: characters of words per token, the share of
 byte tokens, and the entropy of the tokens as a share of the largest possible
 one. Each is held against a band of its language (or script, where the language
-is unknown) and length class, taken from the quartiles over all documents.
-Short texts scatter more, so they have bands of their own.
+is unknown) and length class, taken from the quartiles over all distinct texts.
+Short texts scatter more, so they have bands of their own. A text with too few
+others in its band is held against two, then four neighbouring length classes of
+its language, then all its lengths, its script in all languages, and the corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocktrace.llm.common import hashed_words, settle, slices, texts
@@ -29,8 +31,10 @@ FIGURES = ("chars_per_token", "fallback_share", "token_entropy")
 #: A band reaches this many quartile distances beyond the quartiles, and at least so far.
 REACH = 3.0
 LEAST = {"chars_per_token": 0.25, "fallback_share": 0.1, "token_entropy": 0.15}
+#: Other distinct texts that a band must hold to judge a text; the band of the whole corpus judges with any number.
+LEAST_OTHERS = 20
 MEASURES = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-            "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string")
+            "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, words_hash binary")
 
 
 def script(text: str) -> str:
@@ -63,6 +67,8 @@ def repeated_words(hashes: np.ndarray, width: int = 5) -> int:
 
 def measures(text: str, vocabulary, is_byte: np.ndarray) -> tuple:
     """All figures of a text, in the order of ``MEASURES`` after the id."""
+    import xxhash
+
     raw = text.encode()
     words = raw.split()
     joined = b" ".join(words).decode()
@@ -80,16 +86,29 @@ def measures(text: str, vocabulary, is_byte: np.ndarray) -> tuple:
     # The largest minus the sum keeps equal texts at equal values, whatever the order of tokens.
     entropy = (np.log2(tokens) - (counts * np.log2(counts)).sum() / tokens) / most if tokens > 1 else 0.0
     return (len(words), chars, sum(map(text.count, "#*$%&|<>")), again, repeated_words(hashed_words(raw)), tokens,
-            chars / tokens if tokens else 0.0, float(is_byte[ids].mean()) if tokens else 0.0, float(entropy), script(text))
+            chars / tokens if tokens else 0.0, float(is_byte[ids].mean()) if tokens else 0.0, float(entropy), script(text),
+            xxhash.xxh3_128_digest(joined.encode()))
+
+
+def _by_length(own: Column) -> list[Column]:
+    """Names of the bands of a language or script for one, two and four length classes."""
+    first = F.col("length_class")
+    return [F.concat(own, F.lit("/"), first.cast("string")), *[
+        F.concat(own, F.lit("/"), (first - first % n).cast("string"), F.lit("-"), (first - first % n + n - 1).cast("string"))
+        for n in (2, 4)]]
 
 
-def fertility_rules(docs: DataFrame, *, path: str | None = None) -> DataFrame:
+def fertility_rules(docs: DataFrame, *, path: str | None = None, least_others: int = LEAST_OTHERS) -> DataFrame:
     """Base rules and fertility bands for every document.
 
     Returns one row per row of `docs`: `doc_id`, `n_words`, `word_chars`,
     `n_symbols`, `n_dup_lines`, `n_repeat_words`, `base_failed`, `kept`, the
     three figures and the `band` they were held against. Null text has no
     words, so it fails the base rules. Texts without tokens are in no band.
+    Quartiles are taken over distinct texts, apart from white space. The band
+    is the first with `least_others` other texts of: language (or script) and
+    length class, two classes, four classes; language; script; corpus. The
+    corpus judges with any number.
     Extra columns don't matter; equal rows get equal values; an empty table
     gives no rows.
     """
@@ -106,12 +125,24 @@ def fertility_rules(docs: DataFrame, *, path: str | None = None) -> DataFrame:
 
     measured = docs.select(docs["doc_id"].cast("long"), "text", docs["lang"].cast("string")).mapInArrow(
         run, f"{MEASURES}, lang string")
-    length_class = F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
-    measured = settle(measured.withColumn("band", F.when(F.col("n_tokens") > 0, F.concat(
-        F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script")), F.lit("/"), length_class))),
-        "fertility")
-    quartiles = measured.filter("band IS NOT NULL").groupBy("band").agg(*[
-        F.percentile_approx(name, [0.25, 0.5, 0.75], 10000).alias(f"_{name}") for name in FIGURES])
+    own = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))
+    length_class = F.floor(F.log2("n_tokens")).cast("int")
+    measured = settle(measured.withColumn("own", F.when(F.col("n_tokens") > 0, own)).withColumn(
+        "length_class", F.when(F.col("n_tokens") > 0, length_class)), "fertility")
+    # Copies count once, in each language that they are given.
+    distinct = measured.filter("own IS NOT NULL").groupBy("words_hash").agg(
+        F.collect_set("own").alias("owns"), *[F.max(name).alias(name) for name in ("script", "length_class", *FIGURES)])
+    of_script, corpus = F.concat(F.lit("script:"), "script"), F.lit("all")
+    quartiles = distinct.select(*FIGURES, F.explode(F.array_distinct(F.concat(
+        F.flatten(F.transform("owns", lambda own: F.array(*_by_length(own), own))),
+        F.array(of_script, corpus)))).alias("band")).groupBy("band").agg(F.count("*").alias("_texts"), *[
+            F.percentile_approx(name, [0.25, 0.5, 0.75], 10000).alias(f"_{name}") for name in FIGURES])
+    keys = ["own", "script", "length_class"]
+    ladder = measured.filter("own IS NOT NULL").select(*keys).distinct().select(*keys, F.posexplode(F.array(
+        *_by_length(F.col("own")), F.col("own"), of_script, corpus)).alias("_step", "band"))
+    held = F.struct("band", *[f"_{name}" for name in FIGURES])
+    chosen = ladder.join(quartiles, "band").filter((F.col("_texts") > least_others) | (F.col("band") == corpus)).groupBy(
+        *keys).agg(F.min_by(held, "_step").alias("_held")).select(*keys, "_held.*")
     inside = F.lit(True)
     for name in FIGURES:
         low, middle, high = (F.col(f"_{name}")[i] for i in range(3))
@@ -119,6 +150,6 @@ def fertility_rules(docs: DataFrame, *, path: str | None = None) -> DataFrame:
         reach = F.greatest(REACH * (high - low), least)
         inside = inside & F.col(name).between(low - reach, high + reach)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measured.join(quartiles, "band", "left").select(
+    return measured.join(chosen, keys, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         (~base & F.coalesce(inside, F.lit(False))).alias("kept"), *FIGURES, "band")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 
-from blocktrace.llm import catalog, packing
+from blocktrace.llm import catalog, fertility, packing
 from blocktrace.llm.vocabularies import default_path, json_vocabulary
 
 
@@ -25,3 +26,32 @@ def test_packed_ids_are_those_of_tokenizers_by_default(spark, tmp_path):
         assert sum(r.length for r in held) == len(ids) == held[0].doc_tokens
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in held)
     assert packing.pack(spark.createDataFrame([(0, texts[0])], "doc_id long, text string")).first().doc_tokens == 10
+
+
+def test_fertility_judges_lone_and_copied_junk(spark):
+    draw = random.Random(1)
+    words = "the cat and a dog went out in rain while old people were reading long letters near every house".split()
+    texts = [(" ".join(draw.choices(words, k=40)), "en") for _ in range(120)]
+    junk = " ".join("".join(chr(draw.randrange(0x2800, 0x28FF)) for _ in range(6)) for _ in range(40))
+    texts += [(junk.replace(" ", " " * (1 + i % 2)), "en") for i in range(60)]
+    texts += [(" ".join("".join(chr(draw.randrange(0x2800, 0x28FF)) for _ in range(6)) for _ in range(20_000)), "en"),
+              (junk[::-1], "xx"), (" ".join(draw.choices(words, k=40)), "yy")]
+    table = spark.createDataFrame([(i, *row) for i, row in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in fertility.fertility_rules(table).collect()}
+    assert len(rows) == len(texts) and all(rows[i].kept for i in range(120))
+    # A third of the rows are one junk text; one junk text is alone in its length, one in its language.
+    assert not any(rows[i].kept or rows[i].base_failed for i in range(120, 182))
+    assert rows[180].band == "lang:en" and rows[181].band.startswith(("script:", "all"))
+    assert rows[182].kept and rows[182].band == "script:latin"
+
+
+def test_fertility_copies_count_once_and_neighbours_come_first(spark):
+    draw = random.Random(2)
+    words = "rain wind sun snow cloud storm river field stone bridge garden window".split()
+    short = [" ".join(draw.choices(words, k=12)) for _ in range(20)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(short + [short[0]] * 100)],
+                                  "doc_id long, text string, lang string")
+    bands = {r.band for r in fertility.fertility_rules(table).collect()}
+    assert not any(band.startswith("lang:") for band in bands)  # 20 texts, whatever the number of copies
+    bands = {r.band for r in fertility.fertility_rules(table, least_others=1).collect()}
+    assert all(band.startswith("lang:en/") for band in bands)
