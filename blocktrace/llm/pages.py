@@ -40,20 +40,61 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 #: Elements without visible text, and elements that don't end a block.
-SILENT = frozenset("script style noscript template svg math head title iframe object select textarea button".split())
+SILENT = frozenset("script style noscript template svg math title iframe object select textarea button".split())
+#: Silent elements whose content is not markup, and the tag that ends them or shows that they were never closed.
+RAW = {tag: re.compile(rf"<(/{'' if tag in ('script', 'style') else '?'}){tag}(?=[\s/>])[^>]*>?", re.I)
+       for tag in "script style title textarea iframe".split()}
+#: Silent elements that may hold each other.
+NESTED = frozenset("template svg math object".split())
+#: A silent element without an end tag ends at one of these.
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
+                   "footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th "
+                   "thead tr ul".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 Block = tuple[tuple[str, ...], str, int]
 
 
+def _tokens(page: str) -> list[list]:
+    """Tags and comments: start, end, name, whether it closes, attributes, index of the tag that ends a silent element.
+
+    The end of an element whose content is not markup is behind its end tag. The index is -1 for other tags and None
+    for a silent element that is never closed.
+    """
+    found: list[list] = []
+    opened: dict[str, list[int]] = {}
+    lost: set[str] = set()
+    at = 0
+    while token := TOKEN.search(page, at):
+        at = token.end()
+        tag, closing, rest = (token[2] or "").lower(), bool(token[1]), token[3] or ""
+        last: int | None = -1
+        if tag in SILENT and closing:
+            if opened.get(tag):
+                found[opened[tag].pop()][5] = len(found)
+        elif tag in SILENT and rest.rstrip()[-1:] != "/":
+            last = None
+            if tag in RAW:
+                stop = None if tag in lost else RAW[tag].search(page, at)
+                if stop is None:
+                    lost.add(tag)
+                elif stop[1]:
+                    at, last = stop.end(), len(found)
+            elif tag in NESTED:
+                opened.setdefault(tag, []).append(len(found))
+            else:
+                opened[tag] = [len(found)]
+        found.append([token.start(), at, tag, closing, rest, last])
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page: tag path with class words, text, and characters inside links."""
     found: list[Block] = []
     path: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = at = 0
-    silent = ""
 
     def end_block() -> None:
         nonlocal linked
@@ -64,30 +105,30 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     links = 0
-    for token in TOKEN.finditer(page):
-        if token.start() < at:
-            continue
-        if not silent and token.start() > at:
-            piece = page[at:token.start()]
+    tokens = _tokens(page)
+    final = max((k for k, token in enumerate(tokens) if token[2] in BLOCKS), default=-1)
+    i = 0
+    while i < len(tokens):
+        start, stop, tag, closing, rest, last = tokens[i]
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             linked += len(piece) * (links > 0)
-        at = token.end()
-        tag = (token[2] or "").lower()
+        at = stop
+        i += 1
         if not tag:
             continue
-        closing = bool(token[1])
-        if silent:
-            if closing and tag == silent:
-                silent = ""
-            continue
         if tag in SILENT and not closing:
             end_block()
-            if token[3].rstrip()[-1:] != "/":
-                silent = tag
-                if tag in ("script", "style"):
-                    # Their content is not markup.
-                    stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at, silent = (stop.end() if stop else len(page)), ""
+            if last is None:
+                # Never closed: up to the next block, or the tag alone.
+                if i <= final:
+                    i = next(k for k in range(i, len(tokens)) if tokens[k][2] in BLOCKS)
+                    at = tokens[i][0]
+                elif tag in ("script", "style"):
+                    i, at = len(tokens), len(page)
+            elif last >= i:
+                i, at = last + 1, tokens[last][1]
             continue
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
@@ -101,12 +142,13 @@ def blocks(page: str) -> list[Block]:
             place = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag), None)
             if place is not None:
                 del path[place:]
-        elif tag not in VOID:
+        elif tag not in VOID and tag != "head":
+            # The end tag of a head may be left out; what it holds is silent by itself.
             if tag in ("p", "li") and path and path[-1][0] == tag:
                 path.pop()
-            names = [w.lower() for m in NAMES.finditer(token[3]) for w in PART.findall(m[1] or m[2] or m[3] or "")]
+            names = [w.lower() for m in NAMES.finditer(rest) for w in PART.findall(m[1] or m[2] or m[3] or "")]
             path.append((tag, tuple("." + name for name in names)))
-    if not silent and at < len(page):
+    if at < len(page):
         parts.append(page[at:])
     end_block()
     return found
@@ -278,7 +320,8 @@ def extract_text(pages: DataFrame, *, training: int = TRAINING_PAGES) -> DataFra
     in page order, joined by two line feeds; empty if there are none),
     `n_chars`, `n_blocks` and `n_main`. Null html is empty. Character
     references are decoded and white space inside a block is one space. Nested
-    or unclosed tags and unfinished comments are read as far as they go.
+    or unclosed tags and unfinished comments are read as far as they go; an
+    element without visible text that is never closed ends at the next block.
     Without sample pages with an article element nothing is learned and
     the labels are those of an untrained network. An empty table gives no rows.
     """

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from blocktrace.llm import catalog, fertility, packing
+from blocktrace.llm import catalog, fertility, packing, pages
 from blocktrace.llm.vocabularies import default_path, json_vocabulary
 
 
@@ -55,3 +55,22 @@ def test_fertility_copies_count_once_and_neighbours_come_first(spark):
     assert not any(band.startswith("lang:") for band in bands)  # 20 texts, whatever the number of copies
     bands = {r.band for r in fertility.fertility_rules(table, least_others=1).collect()}
     assert all(band.startswith("lang:en/") for band in bands)
+
+
+def test_unclosed_silent_elements_cost_no_article():
+    def found(page):
+        return [text for _, text, _ in pages.blocks(page)]
+
+    page = "<html><head><title>T</title><meta x><style>s</style><body><article><p>one<p>two</article>"
+    assert found(page) == ["one", "two"] and pages.blocks(page)[0][0] == ("html", "body", "article", "p")
+    for tag in ("title", "button", "textarea", "select", "noscript", "svg", "object", "iframe", "script", "style"):
+        assert found(f"<p>a</p><div><{tag}>x <b>y</b><p>one</p></div><p>two") == ["a", "one", "two"], tag
+        closed = f"<{tag}>z</{tag}>"
+        assert found(f"{closed}<p>one{closed}</p>{closed}two<{tag}/>") == ["one", "two"], tag
+    # A later element of the name with an end tag doesn't close an earlier one.
+    for tag in ("title", "button", "textarea", "svg"):
+        assert found(f"<{tag}>x<p>one</p><{tag}>y</{tag}><p>two") == ["one", "two"]
+    assert found("<svg>a<svg>b</svg>c</svg><p>one") == ["one"] and found("<p>a<button>b") == ["a", "b"]
+    assert found("<script><!-- x</script><p>one") == ["one"] and found("<p>one<script>x") == ["one"]
+    assert found("<button>" * 20_000 + "<title>" * 20_000 + "<p>one" + "<script>" * 20_000) == ["one"]
+    assert found("<p>one" + "<button>" * 50_000 + "two") == ["one", "two"]
