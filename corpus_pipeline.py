@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", sequences),
 ]
 
-#: Learned scores and minimiser positions have no SQL; the tests hold the stages against brute force.
+#: Learned scores and minimiser positions have no SQL; tests/llm/test_pipeline.py holds run() and each stage against plain Python.
 ORACLE_SQL = None
 
 
