@@ -6,7 +6,10 @@ information says that they hold no sound, so that their main data is free for
 ancillary data. A player finds silence; nothing of the payload is lost.
 ``read_audio`` reads any such column, also after damage: it finds frame headers
 again by their pattern and by the header that must follow, checks each frame's
-CRC, and gives exact durations in samples and the offset of every frame.
+CRC, and gives exact durations in samples and the offset of every frame. It
+knows MPEG-1 Layer III and the Xing table, whose fields are read by their flags
+and whose seek points are held against the exact offsets. MPEG-2, MPEG-2.5,
+Layers I and II are skipped as junk, and a VBRI table is read as a frame.
 """
 
 from __future__ import annotations
@@ -111,7 +114,11 @@ class Stream:
     checked: int = 0
     failed: int = 0
     skipped: int = 0
-    table: tuple[int, int] | None = None
+    #: Frames and bytes as the variable-bitrate table gives them; None for what it leaves out.
+    table: tuple[int | None, int | None] | None = None
+    #: Its 100 seek points (256ths of the bytes), and how many of them name another place than the frames do.
+    points: bytes = b""
+    points_off: int = 0
     data: bytes = b""
 
     @property
@@ -137,12 +144,31 @@ def _tags(data: bytes) -> tuple[dict[str, str], int]:
     return found, end
 
 
+def info_table(body: bytes) -> tuple[tuple[int | None, int | None], bytes]:
+    """Frames, bytes and seek points of a Xing table; its flags tell which of them it has."""
+    flags, at = int.from_bytes(body[4:8], "big"), 8
+    counts: list[int | None] = []
+    for bit in (1, 2):
+        present = flags & bit and at + 4 <= len(body)
+        counts.append(int.from_bytes(body[at:at + 4], "big") if present else None)
+        at += 4 * bool(flags & bit)
+    return (counts[0], counts[1]), body[at:at + 100] if flags & 4 and at + 100 <= len(body) else b""
+
+
+def points_off(points: bytes, starts: list[int], size: int) -> int:
+    """Seek points that don't name the 256th of the bytes in which their frame starts; `starts` has the table's own first."""
+    if not points or not size:
+        return 0
+    right = (min((starts[k * len(starts) // 100] - starts[0]) * 256 // size, 255) for k in range(100))
+    return sum(a != b for a, b in zip(points, right))
+
+
 def decode(data: bytes) -> Stream:
     """Read a stream; damage costs the frames it hits and no others."""
     stream = Stream()
     stream.tags, at = _tags(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= 128 else len(data)
-    pieces, known = [], False
+    pieces, known, first = [], False, 0
     while at < end:
         found = header_at(data, at)
         follows = found and at + found[0] <= end and (
@@ -162,13 +188,17 @@ def decode(data: bytes) -> Stream:
             stream.failed += not right
         body = at + head + side
         if not stream.offsets and stream.table is None and data[body:body + 4] in (b"Xing", b"Info"):
-            stream.table = struct.unpack(">II", data[body + 8:body + 16])
+            stream.table, stream.points = info_table(data[body:at + length])
+            first = at
         else:
             stream.offsets.append(at)
             stream.lengths.append(length)
             pieces.append(data[body:at + length])
         stream.rate = rate
         at += length
+    if stream.table is not None:
+        last = stream.offsets[-1] + stream.lengths[-1] if stream.offsets else at
+        stream.points_off = points_off(stream.points, [first, *stream.offsets], stream.table[1] or last - first)
     stream.data = b"".join(pieces)
     size = stream.tags.get("payload", "").split()
     if len(size) == 2:

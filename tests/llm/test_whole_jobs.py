@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from blocktrace.llm import catalog, fertility, packing, pages
+from blocktrace.llm import audio, catalog, fertility, packing, pages
 from blocktrace.llm.vocabularies import default_path, json_vocabulary
 
 
@@ -74,3 +74,22 @@ def test_unclosed_silent_elements_cost_no_article():
     assert found("<script><!-- x</script><p>one") == ["one"] and found("<p>one<script>x") == ["one"]
     assert found("<button>" * 20_000 + "<title>" * 20_000 + "<p>one" + "<script>" * 20_000) == ["one"]
     assert found("<p>one" + "<button>" * 50_000 + "two") == ["one", "two"]
+
+
+def test_audio_table_is_read_by_its_flags():
+    whole = audio.encode(audio.payload("word " * 20_000))
+    at = whole.index(b"Xing")
+    stream = audio.decode(whole)
+    size = len(whole) - (at - audio.DATA)
+    assert stream.table == (len(stream.offsets), size) and len(stream.points) == 100 and stream.points_off == 0
+
+    def changed(flags, fields):
+        return audio.decode((whole[:at + 4] + flags.to_bytes(4, "big") + fields + bytes(120))[:at + 128] + whole[at + 128:])
+
+    count, points = stream.table[0].to_bytes(4, "big"), stream.points
+    assert changed(1, count).table == (stream.table[0], None) and changed(1, count).points == b""
+    assert changed(2, size.to_bytes(4, "big")).table == (None, size) and changed(0, b"").table == (None, None)
+    only = changed(4, points)
+    assert only.table == (None, None) and only.points == points and only.points_off == 0
+    assert changed(5, count + bytes(100)).points_off > 50
+    assert only.data == stream.data and only.offsets == stream.offsets
