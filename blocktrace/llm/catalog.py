@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import addresses, audio, fertility, languages, mixing, near_dups, packing, passages, quality
+from blocktrace.llm import addresses, audio, fertility, languages, mixing, near_dups, packing, passages, prefixes, quality
 from blocktrace.llm import pages as web
 from blocktrace.llm.common import table
 
@@ -59,7 +59,12 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), added_tokens=True)
 
 
+def op11_z_fast_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Shared prefixes of all conversations, rebuilt on the heads of every twentieth."""
+    return prefixes.prefix_tree(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_field, op2_path_templates, op3_mpeg_audio, op4_minhash_join, op5_sparse_suffixes, op6_byte_network,
-    op7_block_network, op8_mix_sources, op9_fertility, op10_pack)}
-SQL = {"op8_mix_sources": mixing.SQL}
+    op7_block_network, op8_mix_sources, op9_fertility, op10_pack, op11_z_fast_trie)}
+SQL = {"op8_mix_sources": mixing.SQL, "op11_z_fast_trie": prefixes.SQL}

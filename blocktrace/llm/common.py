@@ -46,6 +46,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
         yield batch.slice(start)
 
 
+def join_uneven(rows: DataFrame, side: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join with a side of one row per key, whose column `weight` says how many rows have the key.
+
+    A key that holds more than a thousandth of all weighed rows is hot. There
+    are less than a thousand of those, so they are broadcast; the others are
+    shuffled. The column is dropped.
+    """
+    side = settle(side, "side")
+    heavy = F.col(weight) * 1000 > (side.agg(F.sum(weight)).first()[0] or 0)
+    hot, cold = side.filter(heavy).drop(weight), side.filter(~heavy).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The strings of a column; null is empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
