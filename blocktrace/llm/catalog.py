@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocktrace.llm import addresses, audio, fertility, languages, mixing, near_dups, packing, passages, prefixes, quality
+from blocktrace.llm import (addresses, audio, fertility, languages, mixing, near_dups, packing, passages, prefixes,
+                            quality, vectors, whitening)
 from blocktrace.llm import pages as web
 from blocktrace.llm.common import table
 
@@ -64,7 +65,18 @@ def op11_z_fast_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.prefix_tree(table(spark, folder, "conversations"))
 
 
+def op12_qd_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors on their 32 leading principal directions, with unit variance."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_tiled_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies of all vectors within their labels: a cosine of 0.93."""
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_field, op2_path_templates, op3_mpeg_audio, op4_minhash_join, op5_sparse_suffixes, op6_byte_network,
-    op7_block_network, op8_mix_sources, op9_fertility, op10_pack, op11_z_fast_trie)}
-SQL = {"op8_mix_sources": mixing.SQL, "op11_z_fast_trie": prefixes.SQL}
+    op7_block_network, op8_mix_sources, op9_fertility, op10_pack, op11_z_fast_trie,
+    op12_qd_whitening, op13_tiled_cosine)}
+SQL = {"op8_mix_sources": mixing.SQL, "op11_z_fast_trie": prefixes.SQL, "op13_tiled_cosine": vectors.SQL}
