@@ -150,7 +150,9 @@ lab AS (
 
 # -- exact metrics in SQL, over `lab` ---------------------------------------
 
-REGRESSION_COLUMNS = """round(avg(abs(predicted - target)), 1) AS mae_us,
+#: Millionths as whole numbers: sums are exact, and a half of a tenth is rounded up like Spark does.
+MILLIONTHS = "sum((abs(predicted - target)::VARCHAR::DECIMAL(30, 6) * 1000000)::HUGEINT)"
+REGRESSION_COLUMNS = f"""((20 * {MILLIONTHS} + 1000000 * count(*)) // (2000000 * count(*)))::DOUBLE / 10 AS mae_us,
        round(sqrt(avg((predicted - target) * (predicted - target))), 1) AS rmse_us,
        round(quantile_cont(abs(predicted - target), 0.5), 1) AS median_abs_error_us,
        round(avg(abs(ln(1 + greatest(predicted, 0)) - ln(1 + greatest(target, 0)))), 6) AS mae_log1p"""
