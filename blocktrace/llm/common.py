@@ -15,8 +15,9 @@ from blocktrace.plans.storage import new_folder
 
 #: A word, everywhere in this package; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that a Python worker handles at once.
+#: Bytes of text that a Python worker handles at once, and that Spark hands to it in one batch.
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,13 +31,25 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
-           limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that `column` holds about `limit` bytes; a longer row comes alone."""
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, whose rows now reach Python in batches of bounded bytes, not only of a number of rows.
+
+    The setting holds for the session; a smaller one that is set already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(name, None) or 2 ** 31) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the `columns` (`text`) hold about `limit` bytes; a longer row comes alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for c in columns or ("text",))
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if i > start and held + size > limit:
@@ -65,6 +78,24 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id is not among `ids` (`doc_id`); a null id stays.
+
+    The ids are settled, so Spark knows their size: a small table of them is
+    broadcast and no text moves, a large one is joined by a shuffle.
+    """
+    gone = settle(ids.dropna().distinct().withColumnRenamed("doc_id", "_gone_id"), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo `modulus`; a null id gives null."""
     return F.crc32(F.col(column).cast("string")) % modulus
@@ -83,17 +114,18 @@ def mix64(values: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a number of words."""
+    """64-bit hashes of words, remembered up to a number of words of ordinary length."""
 
-    LIMIT = 500_000
+    LIMIT, LONGEST = 200_000, 48
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= self.LIMIT:
-            self.clear()
         value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktrace.llm.common import WORD, settle
+from blocktrace.llm.common import WORD, fresh, settle
 
 #: Leading hex digits of the seeded order that cut a source into 16 ** 3 parts.
 BUCKET_DIGITS = 3
@@ -27,6 +27,16 @@ def word_count(column: str | Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded_order(seed: str) -> Column:
+    """Place of a document in the seeded order of its source."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def source_key() -> Column:
+    """The source as a value that is never null."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget_percent: int, max_epochs: int) -> DataFrame:
     """One row per source: `source`, `source_size` and the `target` in words.
 
@@ -72,11 +82,11 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), budget
     like an empty one; equal rows follow each other. Documents without words
     take 0. An empty table gives an empty result.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = seeded_order(seed)
     sized = settle(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
     keyed = sized.select(
         "*", order.alias("_order"),
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_key"),
+        source_key().alias("_key"),
     ).withColumn("_part", F.substring("_order", 1, BUCKET_DIGITS))
     # A part of a source is one group: the seeded order deals a hot source out evenly.
     parts = settle(keyed.groupBy("_key", "_part").agg(F.first("source").alias("source"), F.sum("size").alias("_words")),
@@ -99,27 +109,46 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), budget
         (F.col("_epochs") * F.col("size") + extra).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it is taken.
 
+    In the seeded order of a source, the rows before one place take a
+    repetition more than those after it, and the row at that place gives a part
+    of its words. So one row per source says it all, and no text is shuffled.
     A whole repetition is the row as it is. A part is its first words with the
     white space before them, with `n_chars` counted anew. Rows that the mix
-    doesn't take are left out. Rows of one id share its words in equal parts;
-    ids are expected to be unique, as in the table of documents.
+    doesn't take and rows without words are left out. Equal rows at the place
+    of the part share it equally, rounded down.
     """
-    taken = mix_sources(docs, **options).groupBy("doc_id").agg(
-        F.first("size").alias("_size"), (F.sum("taken") / F.count(F.lit(1))).cast("long").alias("_taken"))
-    matched = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    rest = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.array_repeat(rest, F.when(rest > 0, 1).otherwise(0)))
-    repeated = matched.select("*", F.explode(copies).alias("_words"))
+    order = seeded_order(seed)
+    repetitions = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rows = settle(mix_sources(docs, seed=seed, **options).select(
+        source_key().alias("_key"), F.struct(order.alias("o"), F.col("size").alias("s")).alias("_place"),
+        repetitions.cast("int").alias("_whole"), (F.col("taken") - repetitions.cast("long") * F.col("size")).alias("_extra")),
+        "mix-rows")
+    cuts = rows.groupBy("_key").agg(F.first("_whole").alias("whole"), F.max(F.when(F.col("_extra") > 0, F.col("_place"))).alias("cut"))
+    parts = (rows.join(settle(cuts, "mix-cuts"), "_key").filter("_place = cut").groupBy("_key")
+             .agg(F.floor(F.sum("_extra") / F.count(F.lit(1))).alias("part")))
+    plan = fresh(docs, "_plan")
+    cut = settle(cuts.join(parts, "_key", "left").select(
+        F.col("_key").alias(f"{plan}k"), F.struct("whole", "cut", F.coalesce("part", F.lit(0)).alias("part")).alias(plan)), "mix-cuts")
+    marked = docs.join(cut, source_key() == F.col(f"{plan}k")).filter(F.col("text").rlike(WORD))
+
+    whole, at, part = (F.col(plan)[name] for name in ("whole", "cut", "part"))
+    # The words of a row are counted only where its order is that of the cut.
+    size = F.when(order == at["o"], word_count("text"))
+    before = F.coalesce(order < at["o"], F.lit(False)) | F.coalesce(size < at["s"], F.lit(False))
+    inside = F.coalesce(size == at["s"], F.lit(False))
+    full = before | (inside & (part >= at["s"]))
+    rest = F.when(inside & ~full, part).otherwise(0).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(-1), whole + full.cast("int")), F.array_repeat(rest, (rest > 0).cast("int")))
+    words = F.col(f"{plan}w")
     pieces = F.expr(r"regexp_extract_all(text, r'([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)', 1)")
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_words"), F.lit(1))), "")
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(cut)
-    out = repeated.withColumn("text", text)
+    cut_text = F.array_join(F.slice(pieces, F.lit(1), F.greatest(words, F.lit(1))), "")
+    out = marked.select("*", F.explode(copies).alias(f"{plan}w")).withColumn(
+        "text", F.when(words < 0, F.col("text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(words < 0, F.col("n_chars")).otherwise(
             F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 

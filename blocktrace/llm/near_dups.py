@@ -37,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocktrace.llm.common import hashed_words, mix64, settle, slices
+from blocktrace.llm.common import bounded, hashed_words, mix64, settle, slices, without
 from blocktrace.llm.graph import components
 
 #: Members of a posting list whose pairs are compared one by one.
 SHORT_LIST = 40
+#: Longest text in characters whose shingles a task remembers for its next pairs.
+REMEMBERED = 50_000
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature array<long>"
 
 
@@ -97,7 +99,7 @@ def sketch(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                  pa.array(signatures, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_key", "signature"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SKETCH)
+    return bounded(docs).select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SKETCH)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,11 +129,13 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        @lru_cache(maxsize=64)
+        short = lru_cache(maxsize=64)(lambda text: shingles(text, words))
+
         def values(text: str) -> np.ndarray:
-            return shingles(text, words)
+            # Remembered for hubs, but not beyond a bounded size.
+            return short(text) if len(text) <= REMEMBERED else shingles(text, words)
 
-        for part in slices(batches, "text_a"):
+        for part in slices(batches, "text_a", "text_b"):
             kept = []
             columns = [part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b", "key_a", "key_b")]
             for a, b, text_a, text_b, key_a, key_b in zip(*columns):
@@ -144,7 +148,7 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int,
                     kept.append((a, b))
             yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return alike.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
+    return bounded(alike.join(first, "a").join(second, "b")).mapInArrow(run, "a long, b long")
 
 
 def _rarest(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -260,6 +264,4 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, coord
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs` that ``near_duplicates`` keeps; all rows with a null id stay."""
-    kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
-    chosen = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    return chosen.union(docs.filter("doc_id IS NULL"))
+    return without(docs, near_duplicates(docs, **options).filter("NOT kept").select("doc_id"))

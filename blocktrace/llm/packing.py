@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from blocktrace.llm.common import slices
+from blocktrace.llm.common import bounded, slices
 from blocktrace.llm.vocabularies import default_path, json_vocabulary
 
 #: Open windows that a packer keeps; beyond it they are closed early. Bounds its memory to 4 * capacity bytes each.
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, *, capacity: int = 1024, closing_id: int = 0, path: st
         packer.close()
         yield packer.take()
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blocktrace.llm.common import hashed_words, mix64, settle, slices
+from blocktrace.llm.common import WORD, bounded, fresh, hashed_words, mix64, settle, slices, without
 
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -75,7 +75,7 @@ def _minimisers(docs: DataFrame, passage: int, gram: int) -> DataFrame:
                                   names=["doc_id", "text_id", "words", "grams"])
 
     text_id = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id")
-    return docs.select(docs["doc_id"].cast("long"), text_id, "text").mapInArrow(
+    return bounded(docs).select(docs["doc_id"].cast("long"), text_id, "text").mapInArrow(
         run, "doc_id long, text_id long, words long, grams array<long>")
 
 
@@ -177,18 +177,19 @@ def without_repeats(docs: DataFrame, *, passage: int = 50, gram: int = 20) -> Da
     Returns the columns of `docs`. Words that a passage covers which a document
     with a smaller id has too are cut out, `n_chars` is counted anew, and a
     document that loses all its words goes, like a later copy of a whole text.
-    Other rows stay as they are.
+    Other rows stay as they are, and their texts aren't shuffled as long as the
+    ids of those that change are few enough to be broadcast.
     """
     found, written = matched_starts(docs, passage, gram)
-    later = (found.filter("first_id < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("_starts"))
-             .withColumnRenamed("doc_id", "_id"))
-    copied = (written.filter((F.col("doc_id") > F.col("speaker")) & (F.col("words") >= passage))
-              .select(F.col("doc_id").alias("_id")).distinct())
-    marked = docs.join(copied, docs["doc_id"] == copied["_id"], "left_anti").join(
-        later, docs["doc_id"] == later["_id"], "left")
-    text = _without("text", "_starts", F.lit(passage))
-    out = marked.withColumn("text", text).filter(F.col("_starts").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    starts, changed = fresh(docs, "_starts"), fresh(docs, "_changed")
+    later = settle(found.filter("first_id < doc_id").groupBy(F.col("doc_id").alias(changed))
+                   .agg(F.collect_set("start").alias(starts)), "later")
+    copied = (written.filter((F.col("doc_id") > F.col("speaker")) & (F.col("words") >= passage)).select("doc_id"))
+    rest = without(docs, copied)
+    same = without(rest, later.select(F.col(changed).alias("doc_id")))
+    text = _without("text", starts, F.lit(passage))
+    cut = bounded(rest.join(later, rest["doc_id"] == later[changed])).withColumn("text", text) \
+        .filter(F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return same.union(cut.select(*docs.columns))

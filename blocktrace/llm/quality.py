@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocktrace.llm.common import remainder, slices, texts
+from blocktrace.llm.common import bounded, remainder, slices, texts
 
 #: Labelled documents that the field is fitted on, chosen by a hash of their id.
 TRAINING_DOCUMENTS = 2500
@@ -239,13 +239,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, documents: int = TRAINI
                 names=["doc_id", "held_out", "score", "predicted", "good_share", "n_lines"])
 
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held_out, "text").mapInArrow(
+    return bounded(docs).select("doc_id", held_out, "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, "
              "good_share double, n_lines long")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Rows of `docs` that the field doesn't reject; rows with a null id are judged together by the best of them."""
-    judged = score_quality(docs, labels, **options).groupBy("doc_id").agg(F.max("predicted").alias("_good"))
-    kept = judged.filter("_good = 1").withColumnRenamed("doc_id", "_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+def good_documents(docs: DataFrame, labels: DataFrame, *, documents: int = TRAINING_DOCUMENTS,
+                   threshold: float = 0.3) -> DataFrame:
+    """Rows of `docs` that the field doesn't reject, each judged by its own text; nothing is shuffled."""
+    field = fit(*training_sample(docs, labels, documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            score = field.score(Chains.of([line_features(text) for text in texts(part)]))
+            yield part.filter(pa.array(score >= threshold))
+
+    return bounded(docs).mapInArrow(run, docs.schema)

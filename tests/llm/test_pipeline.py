@@ -118,3 +118,52 @@ def test_run_matches_plain_python(spark, tmp_path, monkeypatch):
     for i, held in ids.items():
         want[i] += sum(map(len, held))
     assert got == want and all(n == 1024 or n & (n - 1) == 0 and n < 1024 for n in lengths.values())
+
+
+def odd_table(spark, rows):
+    """Documents with nulls, repeated ids, and columns named like the stages' own."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, _id string, _starts string, _words int, "
+              "_gone_id long, _plan string, _size int")
+    return spark.createDataFrame([(*r, "a", "b", 1, 2, "c", 3) for r in rows], schema)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(300)]
+    texts = [" ".join(draw.choices(words, k=90)) for _ in range(12)]
+    shared = " ".join(draw.choices(words, k=70))
+    rows = [(i, t, "en", "s" if i % 2 else None, len(t)) for i, t in enumerate(texts)]
+    rows += [(20, f"{texts[10]} {shared}", "en", "s", 9), (21, f"{shared} {' '.join(draw.choices(words, k=90))}", None, None, None),
+             (22, texts[3], "en", "s", 5), (None, "no id at all", None, None, None), (None, None, None, None, None),
+             (23, None, "en", "s", 0), (24, "", None, "", 0), (25, " \n", "en", "s", 2),
+             # One id with two texts, and one row twice.
+             (30, texts[5] + " more words", "en", "s", 1), (30, " ".join(draw.choices(words, k=80)), "en", "s", 1),
+             (31, " ".join(draw.choices(words, k=60)), "en", "s", 1), (32, "z " * 40_000, "en", "s", 1)]
+    rows.append(rows[-2])
+    docs = odd_table(spark, rows)
+    spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(None, 0, 0), (40, None, 0)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = kept.columns
+        kept = corpus_pipeline.settle(stage(spark, kept, str(tmp_path)), f"odd-{name}")
+        assert kept.columns == before
+        ids = [r.doc_id for r in kept.collect()]
+        if name == "quality":
+            assert len(ids) == len(rows)  # all labels say good
+        if name == "near-duplicates":
+            assert ids.count(None) == 2 and ids.count(30) in (0, 2) and ids.count(31) == 2 and 22 not in ids and 3 in ids
+        if name == "passages":
+            found = {r.doc_id: r.text for r in kept.collect()}
+            assert shared in found[20] and shared not in found[21] and ids.count(31) in (1, 2) and 23 in found
+    packed = corpus_pipeline.STAGES[4][1](spark, kept, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) > 0
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_table(spark, []), str(tmp_path))
+        assert out.collect() == [], name
+    # Documents, but no labels: nothing can be rejected.
+    assert corpus_pipeline.good(spark, odd_table(spark, [(1, "some words", None, None, 1)]), str(tmp_path)).count() == 1
