@@ -162,7 +162,7 @@ SELECT 'systor' AS dataset, 'systor_lun' || lun AS trace_id, count(*) AS files,
        min(stamp) || '-LUN' || lun || '.csv' AS first_file FROM hours GROUP BY lun
 UNION ALL SELECT 'msr', 'msr_vol_' || (user_id % 5), 1, 'vol_' || (user_id % 5) || '.csv.gz' FROM events GROUP BY user_id % 5""")
 def src6(spark, folder):
-    """File names made from the events: one SYSTOR file per hour and LUN, one MSR file per volume."""
+    """Files written from the events: one SYSTOR file per hour and LUN, one MSR file per volume, and noise."""
     events = table(spark, folder, "events")
     hour = F.date_format(F.col("ts").cast("timestamp"), "yyyyMMddHH")
     hourly = events.select(F.concat(hour, F.lit("-LUN"), (F.col("user_id") % 3).cast("string"),
@@ -170,11 +170,12 @@ def src6(spark, folder):
     volumes = events.select(F.concat(F.lit("vol_"), (F.col("user_id") % 5).cast("string"),
                                      F.lit(".csv.gz")).alias("name")).distinct()
     noise = volumes.select(F.explode(F.array(
-        F.lit("README.txt"), F.lit("MD5.txt"), F.lit("all.tar.gz"), F.concat("name", F.lit(".part")))).alias("name"))
+        F.lit("README.txt"), F.lit("MD5.txt"), F.lit("all.tar.gz"), F.concat("name", F.lit(".part")))).alias("name")).distinct()
 
     def listed(names: DataFrame, dataset: str) -> DataFrame:
-        return names.select(F.concat(F.lit(f"/raw/{dataset}/"), "name").alias("path"),
-                            F.lit(0).cast("long").alias("length"), "name")
+        path = new_folder(spark, dataset)
+        workloads.write_files(names, path)
+        return workloads.list_files(spark, path)
 
     found = workloads.discover(listed(hourly.unionByName(noise), "systor"), "systor").unionByName(
         workloads.discover(listed(volumes.unionByName(noise), "msr"), "msr"))
@@ -241,7 +242,7 @@ def src8(spark, folder):
 @query("src10_verify_checksums", """SELECT CASE user_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'FAILED' ELSE 'UNVERIFIED' END AS status,
        count(DISTINCT user_id) AS files FROM events GROUP BY 1""")
 def src10(spark, folder):
-    """One file per user; a third published correctly, a third wrongly, a third not at all."""
+    """One file per user; a third published correctly, half of them as SHA-256, a third wrongly, a third not at all."""
     events = table(spark, folder, "events")
     path = new_folder(spark, "raw")
     body = events.groupBy("user_id").agg(F.sum("event_id").cast("string").alias("value"))
@@ -249,7 +250,7 @@ def src10(spark, folder):
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     user = F.regexp_extract("path", "user_id=(\\d+)", 1).cast("int")
     name = workloads.file_name(F.col("path"), 2)
-    digest = F.when(user % 3 == 0, F.md5("content")).otherwise(F.lit("0" * 32))
+    digest = F.when(user % 6 == 0, F.sha2("content", 256)).when(user % 3 == 0, F.md5("content")).otherwise(F.lit("0" * 32))
     published = listed.filter(user % 3 < 2).select(F.concat(digest, F.lit("  *"), name).alias("value"))
     checksums = workloads.read_checksums(spark, _written(published))
     done = workloads.verify_checksums(spark, path, checksums, depth=2)

@@ -41,6 +41,7 @@ class Replay:
         self.spark = next(iter(tables.values())).sparkSession
         self.paths = {name: new_folder(self.spark, name) for name in tables}
         self.log = new_folder(self.spark, "log")
+        self.dropped = 0
         for name, table in tables.items():
             table.limit(0).write.parquet(self.paths[name])
 
@@ -61,8 +62,15 @@ class Replay:
                 if stop is not None:
                     table = table.filter(F.col(self.order) < stop)
                 table.write.mode("append").parquet(self.paths[name])
-            running = writer.option("checkpointLocation", self.log).trigger(availableNow=True).start()
-            running.awaitTermination()
+            self.once(writer)
+
+    def once(self, writer) -> None:
+        """Process what has arrived."""
+        running = writer.option("checkpointLocation", self.log).trigger(availableNow=True).start()
+        running.awaitTermination()
+        # Rows that came after the watermark had passed them.
+        self.dropped += sum(state["numRowsDroppedByWatermark"] for progress in running.recentProgress
+                            for state in progress["stateOperators"])
 
     def collect_append(self, stream: DataFrame) -> DataFrame:
         path = new_folder(self.spark, "sink")
@@ -85,21 +93,22 @@ SELECT trace_id, lba, timestamp, seq, history, round(mean_interval, 1) AS mean_i
 FROM ruled""")
 def st2(spark: SparkSession, folder: str) -> DataFrame:
     writes = trace_events(spark, folder).filter(F.col("operation") == "W")
-    source = Replay("seq", writes=writes)
-    labelled = streams.rule_temperature_stream(source.stream("writes"), RULE_CUT, MIN_HISTORY)
-    return rounded(source.collect_append(labelled), 1, "mean_interval")
+    source, out = Replay("seq", writes=writes), new_folder(spark, "temperature")
+    source.run(streams.rule_temperature_stream(source.stream("writes"), out, RULE_CUT, MIN_HISTORY))
+    return rounded(streams.read_temperature(spark, out), 1, "mean_interval")
 
 
 @query("st3_assign_predictions_stream", f"""WITH {SAMPLES}, {PREDICTIONS}, {ASSIGNED}
 SELECT trace_id, timestamp, lba, seq, round(predicted_rewrite_interval, 3) AS predicted_rewrite_interval, temperature
 FROM assigned WHERE seq >= 0""")
 def st3(spark: SparkSession, folder: str) -> DataFrame:
-    """Both sides arrive slice by slice; a far later write closes all waits."""
+    """Both sides arrive slice by slice; a far later row on either side closes all waits."""
     writes = trace_events(spark, folder).filter(F.col("operation") == "W").select("trace_id", "timestamp", "lba", "seq")
+    made = predictions(spark, folder).withColumn("order", F.col("occ"))
     closing = writes.groupBy("trace_id").agg((F.max("timestamp") + 10**11).alias("timestamp")).select(
         "trace_id", "timestamp", F.lit(-1).cast("long").alias("lba"), F.lit(-1).cast("long").alias("seq"))
-    made = predictions(spark, folder).withColumn("order", F.col("occ"))
-    source = Replay("timestamp", writes=writes.unionByName(closing), predictions=made)
+    source = Replay("timestamp", writes=writes.unionByName(closing),
+                    predictions=made.unionByName(closing.drop("seq"), allowMissingColumns=True))
     joined = streams.assign_predictions_stream(source.stream("writes"), source.stream("predictions"), order="order")
     return rounded(source.collect_append(joined), 3, "predicted_rewrite_interval").filter(F.col("seq") >= 0)
 
@@ -108,12 +117,12 @@ def st3(spark: SparkSession, folder: str) -> DataFrame:
 SELECT trace_id, (timestamp // 3600000000) * 3600000000 AS window_start, count(*) AS writes
 FROM writes GROUP BY ALL""")
 def st4(spark: SparkSession, folder: str) -> DataFrame:
-    source = Replay("seq", trace=trace_events(spark, folder))
-    stream = streams.write_rate_stream(source.stream("trace"), "1 hour", "1 day")
-    path = new_folder(spark, "sink")
-    source.run(stream.writeStream.outputMode("complete").foreachBatch(
-        lambda rows, _: rows.write.mode("overwrite").parquet(path)))
-    return spark.read.schema(stream.schema).parquet(path)
+    """A write far later than all others closes the last windows; its own stays open."""
+    trace = trace_events(spark, folder)
+    closing = trace.groupBy("trace_id").agg((F.max("timestamp") + 10**12).alias("timestamp"), F.max("seq").alias("seq")).select(
+        "timestamp", F.lit(-1).cast("long").alias("lba"), F.lit(1).alias("size"), F.lit("W").alias("operation"), "trace_id", "seq")
+    source = Replay("seq", trace=trace.unionByName(closing))
+    return source.collect_append(streams.write_rate_stream(source.stream("trace"), "1 hour", "1 day"))
 
 
 @query("st5_disorder_stream", """WITH e AS (

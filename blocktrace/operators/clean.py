@@ -231,7 +231,8 @@ def normalize(checked: DataFrame, order: list[str] = RAW_ORDER) -> DataFrame:
 
 def request_prefix(requests: DataFrame, max_records: int, order: list[str] = RAW_ORDER) -> DataFrame:
     """The first `max_records` raw records of each trace, in file order."""
-    return ordered_prefix(requests, KEY, order, n=max_records)
+    # Lines of one split of a file are counted together; other sources have a number in front.
+    return ordered_prefix(requests, KEY, order, n=max_records, coarse=2 if order == RAW_ORDER else 0)
 
 
 def structural_check(requests: DataFrame, limits: Limits = Limits(),

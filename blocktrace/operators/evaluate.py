@@ -11,7 +11,7 @@ from blocktrace.functions.labels import is_hot
 from blocktrace.functions.windows import BASELINES, Predictor
 from blocktrace.operators.splits import hot_threshold
 from blocktrace.plans.ordered import ordered_columns, percentiles
-from blocktrace.plans.storage import attach, settle
+from blocktrace.plans.storage import attach, join_weighted, settle
 
 SCORE_KEYS = ["trace_id", "predictor"]
 
@@ -192,13 +192,15 @@ def spearman(table: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation within each key, tied values sharing their mean rank.
 
     Ranks come from a histogram per column, and each row looks its rank up by
-    value, so heavy ties cost nothing.
+    value. The rank of a value that many rows share is broadcast, so its rows
+    stay where they are.
     """
+    table = table.select(*keys, x, y)
     for column, alias in ((x, "_rx"), (y, "_ry")):
         counts = settle(table.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n")), "ranks")
         ranked = ordered_columns(counts, keys, [column], running={"_before": F.col("_n")})
-        ranks = ranked.select(*keys, column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(alias))
-        table = table.join(ranks, [*keys, column])
+        ranks = ranked.select(*keys, column, "_n", (F.col("_before") + (F.col("_n") + 1) / 2).alias(alias))
+        table = join_weighted(table, ranks, [*keys, column], "_n").drop("_n")
     # Undefined, hence null, when either side is constant.
     rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
     return table.groupBy(*keys).agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))

@@ -18,8 +18,6 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocktrace.plans.storage import settle
-
 #: Session setting: rows one task may order by itself.
 TASK_ROWS_CONF = "spark.blocktrace.taskRows"
 DEFAULT_TASK_ROWS = 8_000_000
@@ -36,13 +34,13 @@ def chunk_count(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(2 * rows / task_rows(spark)))
 
 
-def with_chunk(settled: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add the chunk number of each row to a settled table.
+def with_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """Add the chunk number to each of the `rows` rows.
 
-    The number is written down with the rows: bounds are sampled anew whenever
-    a range partitioning is planned, and all readers must see the same chunks.
+    Bounds are sampled anew whenever a range partitioning is planned. So the
+    number has to be written down with whatever is computed per chunk, by the
+    same query, before anything else may read it.
     """
-    spark = settled.sparkSession
-    chunks = chunk_count(spark, settled.count())
-    spread = settled.repartitionByRange(chunks, *dict.fromkeys([*keys, *order]))
-    return settle(spread.withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    chunks = chunk_count(df.sparkSession, rows)
+    spread = df.repartitionByRange(chunks, *dict.fromkeys([*keys, *order]))
+    return spread.withColumn(CHUNK, F.spark_partition_id())

@@ -3,8 +3,9 @@
 ``ordered_columns`` answers, for each row, questions about the rows before and
 after it in its key: running sums, the last few values, the first value, the
 next value. Rows are cut into ordered chunks; each part of a key in a chunk is
-windowed by itself and then completed from a summary with one row per part, so
-no task ever holds a whole hot key.
+windowed by itself and written. Only keys that go over the edge of a chunk are
+completed, from a summary with at most two rows per chunk that is broadcast, so
+no task ever holds a whole hot key and no summary of all keys is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocktrace.plans.layout import CHUNK, with_chunk
-from blocktrace.plans.storage import attach, settle
+from blocktrace.plans.storage import attach, counted, scanned, settle
 
 
 def _last(values: Column, depth: int) -> Column:
@@ -41,21 +42,13 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
         ``{alias: column}`` value at the next row, null on the last.
 
     `order` must be a total order within a key, of orderable columns; keys are
-    not null. The input is computed once.
+    not null. The input is computed once, and written only if it is not stored
+    rows already.
     """
-    return _ordered(settle(df, "rows"), keys, order, running=running, past=past,
-                    first=first, following=following)
-
-
-def _ordered(settled: DataFrame, keys: list[str], order: list[str], *,
-             running: Mapping[str, Column] | None = None,
-             past: Mapping[str, tuple[str, int]] | None = None,
-             first: Mapping[str, str] | None = None,
-             following: Mapping[str, str] | None = None) -> DataFrame:
-    """``ordered_columns`` of a table that is already settled."""
     running, past = dict(running or {}), dict(past or {})
     first, following = dict(first or {}), dict(following or {})
-    df = with_chunk(settled, keys, order)
+    stored, rows = counted(df)
+    df = with_chunk(stored, keys, order, rows)
     parts = [*keys, CHUNK]
     weights = {alias: f"_w_{alias}" for alias in running}
     for alias, weight in running.items():
@@ -77,10 +70,9 @@ def _ordered(settled: DataFrame, keys: list[str], order: list[str], *,
         columns[alias] = F.first(column).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
     for alias, column in following.items():
         columns[alias] = F.lead(F.struct(F.col(column).alias("v"))).over(ahead)
-    out = df.withColumns(columns)
-    carry = _carry(df, keys, order, weights, past, first, following)
-    # The windowed side is already partitioned by (keys, chunk), so this join
-    # moves only the summary: one row per part of a key.
+    out = settle(df.withColumns(columns), "ordered")
+    # At most two rows a chunk, whatever the number of keys.
+    carry = F.broadcast(settle(_carry(out, keys, order, weights, past, first, following), "carry"))
     matched = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     matched.append(F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}"))
     condition = matched[0]
@@ -113,29 +105,39 @@ def _type(df: DataFrame, column: str) -> str:
 def _carry(rows: DataFrame, keys: list[str], order: list[str], weights: Mapping[str, str],
            past: Mapping[str, tuple[str, int]], first: Mapping[str, str],
            following: Mapping[str, str]) -> DataFrame:
-    """What each part of a key needs from its neighbours."""
-    parts = [*keys, CHUNK]
-    place = F.struct(*order)
-    heads = {**{a: c for a, c in first.items()}, **{a: c for a, c in following.items()}}
-    summary = rows.groupBy(*parts).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(w).alias(f"_s_{alias}") for alias, w in weights.items()],
-        # In a struct, a null value differs from no row at all.
-        *[F.min_by(F.struct(F.col(c).alias("v")), place).alias(f"_h_{alias}") for alias, c in heads.items()],
-    )
-    if past:
-        depth = max(d for _, d in past.values())
-        newest = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
-        # Spark limits ranked groups before the shuffle, so only `depth` rows
-        # per chunk and input partition travel.
-        tails = (rows.withColumn("_rn", F.row_number().over(newest))
-                 .filter(F.col("_rn") <= depth)
-                 .groupBy(*parts)
-                 .agg(*[F.transform(
-                     F.sort_array(F.collect_list(F.struct(-F.col("_rn"), F.col(c).alias("v")))),
-                     lambda item: item["v"]).alias(f"_t_{alias}")
-                     for alias, (c, _) in past.items()]))
-        summary = summary.join(tails, parts)
+    """What the parts of a key that goes over a chunk's edge need from the parts before and after.
+
+    Chunks are ranges of (keys, order): a key that goes on in another chunk is
+    the first or the last one of its chunk. The last row of a chunk knows the
+    sums and the newest values of its key, the first row the value at its head.
+    """
+    place = F.struct(*[F.col(c) for c in dict.fromkeys([*keys, *order])])
+    own = [F.col(k) for k in keys]
+    # In a struct, a null value differs from no row at all.
+    heads = {**first, **following}
+    low = F.struct(*own, *[F.struct(F.col(c).alias("v")).alias(f"_h_{alias}") for alias, c in heads.items()])
+    newest = {alias: _last(F.when(F.col(c).isNull(), F.col(alias)).otherwise(F.concat(alias, F.array(c))), depth)
+              for alias, (c, depth) in past.items()}
+    high = F.struct(
+        *own, *[(F.col(alias) + F.coalesce(w, F.lit(0))).alias(f"_s_{alias}") for alias, w in weights.items()],
+        *[values.alias(f"_t_{alias}") for alias, values in newest.items()],
+        *[F.struct(F.col(alias).alias("v")).alias(f"_h_{alias}") for alias in first])
+    edges = rows.groupBy(CHUNK).agg(F.min_by(low, place).alias("_low"), F.max_by(high, place).alias("_high"))
+    one_key = F.lit(True)
+    for k in keys:
+        one_key = one_key & (F.col(f"_low.{k}") == F.col(f"_high.{k}"))
+    edges = edges.withColumn("_one", one_key)
+
+    def part(side: str, inside: Column, head: Mapping[str, str]) -> DataFrame:
+        columns = [F.when(inside, F.col(f"_high.{name}")).alias(name)
+                   for name in [*(f"_s_{a}" for a in weights), *(f"_t_{a}" for a in past)]]
+        columns += [F.col(f"{side}.{n}").alias(n) if a in head else F.lit(None).alias(n)
+                    for a, n in ((a, f"_h_{a}") for a in heads)]
+        return edges.select(*[F.col(f"{side}.{k}").alias(k) for k in keys], CHUNK, "_one", *columns)
+
+    # A key that is first and last in its chunk is one part with all of it.
+    summary = part("_low", F.col("_one"), heads).unionByName(
+        part("_high", F.lit(True), first).filter(~F.col("_one")))
     along = Window.partitionBy(*keys).orderBy(CHUNK)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     columns = [F.sum(f"_s_{alias}").over(earlier).alias(f"_c_{alias}") for alias in weights]
@@ -145,7 +147,7 @@ def _carry(rows: DataFrame, keys: list[str], order: list[str], weights: Mapping[
             .alias(f"_c_{alias}"))
     columns += [F.first(f"_h_{alias}").over(earlier).alias(f"_c_{alias}") for alias in first]
     columns += [F.lead(f"_h_{alias}").over(along).alias(f"_c_{alias}") for alias in following]
-    return summary.select(*parts, *columns)
+    return summary.select(*keys, CHUNK, *columns)
 
 
 def with_ordinal(df: DataFrame, keys: list[str], order: list[str], alias: str) -> DataFrame:
@@ -153,24 +155,44 @@ def with_ordinal(df: DataFrame, keys: list[str], order: list[str], alias: str) -
     return ordered_columns(df, keys, order, running={alias: F.lit(1).cast("long")})
 
 
+#: Slots per key that a prefix is searched in.
+SLOTS = 256
+
+
 def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
-                   n: int | None = None, fraction: float | None = None) -> DataFrame:
+                   n: int | None = None, fraction: float | None = None, coarse: int = 0) -> DataFrame:
     """The first `n` rows, or the earliest share, of each key in `order`.
 
-    Only the key and order columns are ranked, to find one cut-off row per key;
-    the rows themselves are then filtered in place without a shuffle.
+    This selects instead of ranking. Rows are counted in slots, which are
+    ranges of the first order column between approximate percentiles, or the
+    values of the first `coarse` order columns where those are few. The counts
+    name the slot with the last wanted row; only that slot is put in order, to
+    find the row. All rows are then filtered in place without a shuffle. The
+    first order column is a number or a time unless `coarse` is given.
     """
     if (n is None) == (fraction is None):
         raise ValueError("give exactly one of n and fraction")
-    rows = settle(df, "rows")
+    rows = df if scanned(df) else settle(df, "rows")
     narrow = rows.select(*dict.fromkeys([*keys, *order]))
-    ranked = _ordered(narrow, keys, order, running={"_rank": F.lit(1).cast("long")})
-    totals = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = F.lit(n).cast("long") if n is not None \
-        else F.bround(F.lit(fraction) * F.col("_n")).cast("long")
-    totals = totals.select(*keys, F.least(wanted, F.col("_n")).alias("_want")) \
-        .filter(F.col("_want") > 0)
-    cut = (attach(ranked, totals, keys).filter(F.col("_rank") == F.col("_want") - 1)
+    if coarse:
+        slot = F.struct(*order[:coarse])
+    else:
+        shares = [i / SLOTS for i in range(1, SLOTS)]
+        cuts = narrow.groupBy(*keys).agg(F.percentile_approx(order[0], shares).alias("_cuts"))
+        narrow = attach(narrow, cuts, keys)
+        slot = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut < F.col(order[0])))
+    narrow = narrow.withColumn("_slot", slot).drop("_cuts")
+    counts = settle(narrow.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_held")), "slots")
+    whole, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
+    total = F.sum("_held").over(whole)
+    wanted = F.lit(n).cast("long") if n is not None else F.bround(F.lit(fraction) * total).cast("long")
+    placed = counts.select(
+        *keys, "_slot", "_held", F.least(wanted, total).alias("_want"),
+        F.coalesce(F.sum("_held").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    target = placed.filter((F.col("_ahead") < F.col("_want")) & (F.col("_want") <= F.col("_ahead") + F.col("_held"))) \
+        .select(*keys, F.col("_slot").alias("_target"), (F.col("_want") - F.col("_ahead") - 1).alias("_place"))
+    inside = attach(narrow, target, keys).filter(F.col("_slot") == F.col("_target")).drop("_slot", "_target")
+    cut = (with_ordinal(inside, keys, order, "_rank").filter(F.col("_rank") == F.col("_place"))
            .select(*keys, F.struct(*order).alias("_last")))
     return (attach(rows, cut, keys).filter(F.struct(*order) <= F.col("_last"))
             .drop("_last").select(*df.columns))
@@ -184,7 +206,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: Mapping[str,
     """
     counts = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                     .agg(F.count(F.lit(1)).alias("_n")), "histogram")
-    ranked = _ordered(counts, keys, [value], running={"_start": F.col("_n")})
+    ranked = ordered_columns(counts, keys, [value], running={"_start": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = attach(ranked, totals, keys)
     picks = []

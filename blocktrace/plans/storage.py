@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,47 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """``settle``, with the number of rows, which is counted while they are written."""
+    seen = Observation()
+    settled = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return settled.select(*df.columns), int(seen.get["rows"])
+
+
+#: Plans that cost no more than reading a table again.
+SCAN_NODES = {"Project", "Filter", "LogicalRelation", "SubqueryAlias"}
+
+
+def scanned(df: DataFrame) -> bool:
+    """True if `df` is stored rows, filtered or with computed columns, without a join, sort or aggregate."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in SCAN_NODES:
+            return False
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+    return True
+
+
+def counted(df: DataFrame, label: str = "rows") -> tuple[DataFrame, int]:
+    """`df` as stored rows and their number; what is stored already isn't written again."""
+    return (df, df.count()) if scanned(df) else settle_counted(df, label)
+
+
+def join_weighted(rows: DataFrame, side: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join with a side of one row per key, whose column `weight` says how many rows have the key.
+
+    A key of more than a thousandth of all weighed rows is hot. There are less
+    than a thousand of those, so they are broadcast; the others are shuffled.
+    """
+    side = settle(side, "side")
+    heavy = F.col(weight) * 1000 > (side.agg(F.sum(weight)).first()[0] or 0)
+    hot, cold = side.filter(heavy), side.filter(~heavy)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a table that should hold a few rows per trace.
 

@@ -9,8 +9,7 @@ through the stock codecs; ``.bz2`` stays splittable.
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +19,7 @@ from blocktrace.functions.labels import (
     SYSTOR_OPERATIONS,
     map_operation,
 )
+from blocktrace.plans.storage import attach
 
 # Units of the source formats.
 TICKS_PER_MICROSECOND = 10
@@ -40,26 +40,26 @@ def read_lines(spark: SparkSession, paths: str | list[str], header: bool = False
         "line", F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"))
-    return place_files(lines, spark, reader.csv(paths).inputFiles()) \
+    return place_files(lines, spark, paths) \
         .filter(F.length(F.trim(F.coalesce("line", F.lit("")))) > 0)
 
 
-def place_files(lines: DataFrame, spark: SparkSession, files: list[str]) -> DataFrame:
-    """Replace the path by the place of the file in name order."""
-    listing = pa.table({"_path": pa.array(sorted(files), pa.string()),
-                        "file_index": pa.array(range(len(files)), pa.int32())})
-    places = spark.createDataFrame(listing).withColumn("_path", _same_path(F.col("_path")))
-    joined = lines.withColumn("_path", _same_path(F.col("_path"))).join(places, "_path", "left")
+def place_files(lines: DataFrame, spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Replace the path by the place of the file in name order.
+
+    The listing is a scan of paths alone, in the same spelling as the lines
+    have them, so that lines are matched without looking into their path.
+    """
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_path")).distinct()
+    # Names may be encoded; a plus sign stands for itself.
+    name = F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B")))
+    places = listed.select("_path", (F.row_number().over(Window.orderBy(name)) - 1).cast("int").alias("file_index"))
+    joined = attach(lines, places, ["_path"], "left")
     unknown = F.raise_error(F.concat(F.lit("file is not in the listing: "), F.col("_path")))
     return joined.withColumn("file_index", F.when(F.col("file_index").isNull(), unknown.cast("int"))
                              .otherwise(F.col("file_index"))).drop("_path")
 
 
-def _same_path(path: Column) -> Column:
-    """Local paths are listed with three slashes and reported with one; names may be encoded."""
-    return F.url_decode(F.replace(F.regexp_replace(path, "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
-
-
 def _whole(text: Column) -> Column:
     return F.trim(text).try_cast("bigint")
 

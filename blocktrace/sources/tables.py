@@ -28,7 +28,7 @@ def read_text_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     placed = rows.select("*", F.col("_metadata.file_path").alias("_path"),
                          F.col("_metadata.file_block_start").alias("block_start"),
                          F.monotonically_increasing_id().alias("line_id"))
-    return place_files(placed, spark, rows.inputFiles())
+    return place_files(placed, spark, path)
 
 
 def _whole(name: str) -> Column:

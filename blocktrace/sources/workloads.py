@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ UNFINISHED = [".part", ".tmp", ".crdownload"]
 COMPRESSED = r"\.(gz|bz2|xz|lzma)$"
 SYSTOR_FILE = r"(?i)^(\d{10})-(LUN\d+)\.csv(\.gz)?$"
 DATASETS = ["msr", "systor", "fiu"]
+#: Bytes of a file that are read at once to be hashed.
+READ_BYTES = 8 << 20
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,8 +55,61 @@ def discover(files: DataFrame, dataset: str) -> DataFrame:
         "path", "length").withColumn("file_index", F.row_number().over(order) - 1)
 
 
+def digests(files: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """MD5 and SHA-256 of each file of a listing (`path`, `length`), in one pass over its blocks.
+
+    A file is one task's row and is never whole in memory, so its size has no
+    limit. Paths are opened through the file systems that Arrow knows.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                system, place = fs.FileSystem.from_uri(_uri(path))
+                md5, sha256 = hashlib.md5(usedforsecurity=False), hashlib.sha256()
+                with system.open_input_stream(place, compression=None) as stream:
+                    while block := stream.read(read_bytes):
+                        md5.update(block)
+                        sha256.update(block)
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "md5": [md5.hexdigest()],
+                                                  "sha256": [sha256.hexdigest()]})
+
+    return files.select("path", "length").repartition("path").mapInArrow(
+        hashed, "path string, length long, md5 string, sha256 string")
+
+
+def write_files(names: DataFrame, folder: str) -> None:
+    """One small file for each `name` below `folder`, written by the tasks."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(_uri(folder))
+        for batch in batches:
+            system.create_dir(place, recursive=True)
+            for name in batch.column("name").to_pylist():
+                with system.open_output_stream(f"{place}/{name}", compression=None) as stream:
+                    stream.write(name.encode())
+            yield batch
+
+    names.select("name").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _uri(path: str) -> str:
+    """Paths are listed plainly; as part of an address their special characters are encoded."""
+    from urllib.parse import quote
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return "file://" + quote(path)
+    # A local path is listed with one slash after its scheme.
+    return f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest)}"
+
+
 def read_checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A published ``md5 *name`` list; the last line of a name counts."""
+    """A published list of ``digest *name`` lines, MD5 or SHA-256; the last line of a name counts."""
     return parse_checksums(read_lines(spark, path))
 
 
@@ -68,13 +127,15 @@ def file_name(path: Column, depth: int = 1) -> Column:
 
 
 def verify_checksums(spark: SparkSession, folder: str, published: DataFrame, depth: int = 1) -> DataFrame:
-    """OK, FAILED or UNVERIFIED for each file below `folder`.
+    """OK, FAILED or UNVERIFIED for each file below `folder`, with both digests.
 
-    Files are hashed where they are read, one task per file; the binary source
-    limits a file to 2 GB. `depth` path parts form the published name.
+    `depth` path parts form the published name. A published digest of 64 digits
+    is SHA-256, any other one MD5.
     """
-    hashed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        file_name(F.col("path"), depth).alias("name"), "length", F.md5("content").alias("actual"))
+    hashed = digests(list_files(spark, folder)).select(
+        file_name(F.col("path"), depth).alias("name"), "length", "md5", "sha256")
+    hashed = hashed.join(published, "name", "left").withColumn(
+        "actual", F.when(F.length("expected") == 64, F.col("sha256")).otherwise(F.col("md5")))
     status = (F.when(F.col("expected").isNull(), "UNVERIFIED")
               .when(F.col("expected") == F.col("actual"), "OK").otherwise("FAILED"))
-    return hashed.join(published, "name", "left").withColumn("status", status)
+    return hashed.withColumn("status", status)

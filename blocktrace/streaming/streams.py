@@ -6,17 +6,13 @@ which also bounds the rows one key can bring into a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blocktrace.operators.clean import Limits, accepted, check_requests, expand_blocks
 from blocktrace.plans.ordered import ordered_columns
+from blocktrace.plans.storage import settle
 from blocktrace.schemas import KEY, RAW_ORDER
 
 
@@ -37,110 +33,123 @@ def normalize_stream(requests: DataFrame, device: str | None = None,
         "trace_id", *kept, "block_index")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an earlier micro-batch wrote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class VersionedState:
+    """Keyed state of a stream as one Parquet table per micro-batch.
+
+    Batch `n` reads version ``n - 1`` and writes version `n`, so a batch that is
+    run again sees and leaves the same tables. Versions before the last one are
+    of no use to any replay and are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def path(self, batch: int) -> str:
+        return f"{self.folder}/state/batch={batch}"
+
+    def before(self, batch: int) -> DataFrame:
+        if batch == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path(batch - 1))
+
+    def write(self, table: DataFrame, batch: int) -> DataFrame:
+        table.write.mode("overwrite").parquet(self.path(batch))
+        if batch > 1:
+            _drop(self.spark, self.path(batch - 2))
+        return self.spark.read.schema(self.schema).parquet(self.path(batch))
+
+
+BLOCK = ["trace_id", "lba"]
+BLOCK_STATE = "trace_id string, lba long, last_ts long, intervals long, total long"
 TEMPERATURE = ("trace_id string, lba long, timestamp long, seq long, history long, "
                "mean_interval double, temperature string")
-HISTORY_STATE = "last_ts long, intervals long, total double"
 
 
-def rule_temperature_stream(writes: DataFrame, threshold: float, min_history: int) -> DataFrame:
-    """Temperature of each write from the running mean of its block's intervals.
+def rule_temperature_batch(writes: DataFrame, batch: int, folder: str, threshold: float, min_history: int) -> DataFrame:
+    """Temperature of the writes of one micro-batch from the running mean of their block's intervals.
 
     State per block: last write time, number of intervals, their sum. A write is
     classified before it is counted. A time below the last one adds no interval.
+    Within the batch a block's rows are ordered in chunks, so that a hot block
+    is many tasks; state comes in by a join and goes out as the next version.
     """
+    state = VersionedState(writes.sparkSession, folder, BLOCK_STATE)
+    near = ordered_columns(writes.select("trace_id", "lba", "timestamp", "seq"), BLOCK, ["seq"],
+                           past={"_before": ("timestamp", 1)})
+    last = F.coalesce(F.try_element_at("_before", F.lit(1)), F.col("last_ts"))
+    gap = F.col("timestamp") - last
+    counted = F.coalesce(gap >= 0, F.lit(False))
+    joined = settle(near.join(state.before(batch), BLOCK, "left").select(
+        *BLOCK, "timestamp", "seq", *[F.coalesce(c, F.lit(0)).cast("long").alias(f"_{c}") for c in ("intervals", "total")],
+        counted.cast("long").alias("_one"), F.when(counted, gap).otherwise(0).cast("long").alias("_gap")), "gaps")
+    grown = joined.groupBy(*BLOCK).agg(F.max_by("timestamp", "seq").alias("_last"), F.sum("_one").alias("_more"),
+                                       F.sum("_gap").alias("_sum"))
+    merged = state.before(batch).join(grown, BLOCK, "full").select(
+        *BLOCK, F.coalesce("_last", "last_ts").alias("last_ts"),
+        *[(F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))).cast("long").alias(old)
+          for old, new in (("intervals", "_more"), ("total", "_sum"))])
+    state.write(merged, batch)
+    summed = ordered_columns(joined, BLOCK, ["seq"], running={"_n": F.col("_one"), "_time": F.col("_gap")})
+    history = (F.col("_intervals") + F.col("_n")).cast("long")
+    mean = F.when(history >= min_history, (F.col("_total") + F.col("_time")).cast("double") / history)
+    return summed.select(
+        *BLOCK, "timestamp", "seq", history.alias("history"), mean.alias("mean_interval"),
+        F.when(mean.isNull(), "UNKNOWN").when(mean <= threshold, "HOT").otherwise("COLD").alias("temperature"))
+
+
+def rule_temperature_stream(writes: DataFrame, folder: str, threshold: float, min_history: int) -> DataStreamWriter:
+    """Writer that classifies the writes of a stream into ``folder/temperature``; read them by ``read_temperature``."""
     if min_history < 1:
         raise ValueError("min_history must be >= 1")
 
-    def classify(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values("seq", kind="stable")
-        times = rows["timestamp"].to_numpy(np.int64)
-        last, intervals, total = state.get if state.exists else (times[0], 0, 0.0)
-        before = np.concatenate(([last], times[:-1]))
-        counted = times >= before
-        if not state.exists:
-            counted[0] = False
-        gaps = np.where(counted, times - before, 0).astype(np.float64)
-        history = intervals + np.cumsum(counted) - counted
-        sums = total + np.cumsum(gaps) - gaps
-        known = history >= min_history
-        mean = np.divide(sums, history, out=np.full(len(rows), np.nan), where=known)
-        label = np.where(~known, "UNKNOWN", np.where(mean <= threshold, "HOT", "COLD"))
-        state.update((int(times[-1]), int(intervals + counted.sum()), float(total + gaps.sum())))
-        yield pd.DataFrame({
-            "trace_id": key[0], "lba": key[1], "timestamp": times,
-            "seq": rows["seq"].to_numpy(), "history": history,
-            "mean_interval": pd.Series(mean).where(known, None), "temperature": label})
-
-    return writes.select("trace_id", "lba", "timestamp", "seq").groupBy("trace_id", "lba") \
-        .applyInPandasWithState(classify, TEMPERATURE, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-#: Event time of timestamp 0: one day after the epoch.
+    def classify(rows: DataFrame, batch: int) -> None:
+        rule_temperature_batch(rows, batch, folder, threshold, min_history) \
+            .write.mode("overwrite").parquet(f"{folder}/temperature/batch={batch}")
+
+    return writes.writeStream.foreachBatch(classify)
+
+
+def read_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(TEMPERATURE + ", batch long").parquet(f"{folder}/temperature").drop("batch")
+
+
+#: Event time of timestamp 0: one day after the epoch. A row at the initial watermark (time zero) counts as late.
 CLOCK_START_US = 86_400_000_000
-ASSIGNED = ("trace_id string, timestamp long, lba long, seq long, "
-            "predicted_rewrite_interval double, temperature string")
-OFFER_STATE = "interval double, label string, offered boolean, served boolean, waiting array<long>"
 
 
 def assign_predictions_stream(writes: DataFrame, predictions: DataFrame, order: str,
                               delay: str = "1 hour") -> DataFrame:
     """Writes and predictions joined as both arrive, one prediction per write.
 
-    The first prediction of a (trace, time, block) key serves the first write of
-    the key; `order` ranks predictions that arrive in one micro-batch. A write waits for its prediction until the watermark passes its
-    time; after that it is UNKNOWN, and a later prediction finds nothing.
+    The first prediction of a (trace, time, block) key in `order` serves the
+    first write of the key; all other writes are UNKNOWN. Both sides wait until
+    the watermark, `delay` behind the newest times of the slower side, has
+    passed their time: then the key's first rows are known, are joined, and
+    leave the state. A row that comes later than that is dropped, and counted
+    as such in the progress of the query; a late prediction leaves its write
+    UNKNOWN.
     """
-    # A row at the initial watermark (time zero) counts as late, so the clock starts later.
-    clock = F.timestamp_micros(F.col("timestamp") + CLOCK_START_US).alias("event_time")
-    none_long, none_double = F.lit(None).cast("long"), F.lit(None).cast("double")
-    left = writes.select("trace_id", "timestamp", "lba", "seq", none_double.alias("interval"),
-                         F.lit(None).cast("string").alias("label"), clock, none_long.alias("place"))
-    right = predictions.select("trace_id", "timestamp", "lba", none_long.alias("seq"),
-                               F.col("predicted_rewrite_interval").alias("interval"),
-                               F.col("predicted_class").alias("label"), clock,
-                               F.col(order).cast("long").alias("place"))
-    events = left.unionByName(right).withWatermark("event_time", delay)
-
-    def serve(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        interval, name, offered, served, waiting = \
-            state.get if state.exists else (None, None, False, False, [])
-        waiting = list(waiting or [])
-        out = []
-
-        def emit(seq, value, text):
-            out.append((key[0], key[1], key[2], seq, value, text))
-
-        if state.hasTimedOut:
-            for seq in waiting:
-                emit(seq, None, "UNKNOWN")
-            state.remove()
-        else:
-            best = None
-            for chunk in chunks:
-                offers = chunk[chunk["label"].notna()]
-                if not offered and len(offers):
-                    row = offers.loc[offers["place"].astype("int64").idxmin()]
-                    if best is None or row["place"] < best["place"]:
-                        best = row
-                waiting += [int(s) for s in chunk["seq"].dropna()]
-            if best is not None:
-                interval, name, offered = float(best["interval"]), str(best["label"]), True
-            waiting.sort()
-            if offered and not served and waiting:
-                emit(waiting.pop(0), interval, name)
-                served = True
-            if served:
-                for seq in waiting:
-                    emit(seq, None, "UNKNOWN")
-                waiting = []
-            state.update((interval, name, offered, served, waiting))
-            due = (int(key[1]) + CLOCK_START_US) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[
-            "trace_id", "timestamp", "lba", "seq", "predicted_rewrite_interval", "temperature"])
-
-    return events.groupBy("trace_id", "timestamp", "lba").applyInPandasWithState(
-        serve, ASSIGNED, OFFER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    key = ["trace_id", "timestamp", "lba", "event_time"]
+
+    def timed(rows: DataFrame) -> DataFrame:
+        clock = F.timestamp_micros(F.col("timestamp") + CLOCK_START_US)
+        return rows.withColumn("event_time", clock).withWatermark("event_time", delay)
+
+    offer = F.struct(order, "predicted_rewrite_interval", "predicted_class")
+    offers = timed(predictions).groupBy(*key).agg(F.min(offer).alias("_offer"))
+    firsts = timed(writes).groupBy(*key).agg(F.min("seq").alias("seq"))
+    served = firsts.join(offers, key, "left").select(
+        *key, "seq", F.col("_offer.predicted_rewrite_interval").alias("predicted_rewrite_interval"),
+        F.col("_offer.predicted_class").alias("_class"))
+    return (timed(writes.select("trace_id", "timestamp", "lba", "seq")).join(served, [*key, "seq"], "left")
+            .select("trace_id", "timestamp", "lba", "seq", "predicted_rewrite_interval",
+                    F.coalesce("_class", F.lit("UNKNOWN")).alias("temperature")))
 
 
 def write_rate_stream(trace: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -155,9 +164,8 @@ def write_rate_stream(trace: DataFrame, width: str = "1 hour", delay: str = "1 h
 def disorder_batch(rows: DataFrame, batch: int, folder: str) -> DataFrame:
     """Rows per trace of one micro-batch that go back in time against the row before.
 
-    The last time of each trace is kept as a small table per batch below
-    `folder`, so the first row of a batch is compared with the batch before it.
-    A batch that is run again reads and writes the same tables.
+    The last time of each trace is kept as state, so the first row of a batch
+    is compared with the batch before it.
     """
     spark = rows.sparkSession
     near = ordered_columns(rows.select("trace_id", "seq", "timestamp"), KEY, ["seq"],
@@ -165,14 +173,9 @@ def disorder_batch(rows: DataFrame, batch: int, folder: str) -> DataFrame:
     inside = near.groupBy("trace_id").agg(
         F.count_if(F.col("timestamp") < F.try_element_at("_before", F.lit(1))).alias("inside"),
         F.min_by("timestamp", "seq").alias("first_ts"), F.max_by("timestamp", "seq").alias("last_ts"))
-    ends = f"{folder}/last/batch="
-    previous = spark.createDataFrame([], "trace_id string, before long")
-    if batch > 0:
-        previous = spark.read.schema("trace_id string, last_ts long").parquet(f"{ends}{batch - 1}") \
-            .select("trace_id", F.col("last_ts").alias("before"))
-    joined = inside.join(previous, "trace_id", "full")
-    joined.select("trace_id", F.coalesce("last_ts", "before").alias("last_ts")) \
-        .write.mode("overwrite").parquet(f"{ends}{batch}")
+    state = VersionedState(spark, folder, "trace_id string, last_ts long")
+    joined = inside.join(state.before(batch).withColumnRenamed("last_ts", "before"), "trace_id", "full")
+    state.write(joined.select("trace_id", F.coalesce("last_ts", "before").alias("last_ts")), batch)
     late = F.coalesce(F.col("inside"), F.lit(0)) + F.coalesce(
         (F.col("first_ts") < F.col("before")).cast("long"), F.lit(0))
     return joined.filter(F.col("inside").isNotNull()).select("trace_id", late.alias("out_of_order_rows"))

@@ -69,7 +69,7 @@ def test_no_chunk_exceeds_the_limit_on_uneven_ties(spark, small_tasks):
     table = spark.range(8000).select(
         F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 1001).alias("t"),
         F.col("id").alias("i"))
-    sizes = with_chunk(settle(table), ["k"], ["t", "i"]).groupBy(CHUNK).count().agg(F.max("count")).first()[0]
+    sizes = with_chunk(settle(table), ["k"], ["t", "i"], 8000).groupBy(CHUNK).count().agg(F.max("count")).first()[0]
     assert sizes <= small_tasks
 
 
