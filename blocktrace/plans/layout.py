@@ -7,7 +7,8 @@ partition: a chunk is a run of neighbouring rows, whatever the weight of a key
 or of a tied value, and chunk numbers never decrease in the row order. Chunks
 are computed separately and stitched together afterwards (see ``ordered.py``).
 
-Every input takes this plan. Spark compares the columns in their own types, so
+The number of chunks follows the row count alone, not the keys: a table that one
+task may order is one chunk. Spark compares the columns in their own types, so
 neighbouring large numbers stay apart.
 """
 
@@ -30,17 +31,20 @@ def task_rows(spark: SparkSession) -> int:
 
 
 def chunk_count(spark: SparkSession, rows: int) -> int:
-    """Chunks are half full on average, since their bounds come from a sample."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(2 * rows / task_rows(spark)))
+    """Rows that one task may order are one chunk; more are cut into chunks that are half full on average.
+
+    The bounds of chunks come from a sample, hence the other half.
+    """
+    most = task_rows(spark)
+    return 1 if rows <= most else max(spark.sparkContext.defaultParallelism, math.ceil(2 * rows / most))
 
 
-def with_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
-    """Add the chunk number to each of the `rows` rows.
+def with_chunk(df: DataFrame, keys: list[str], order: list[str], chunks: int) -> DataFrame:
+    """Add the number of its chunk to each row.
 
     Bounds are sampled anew whenever a range partitioning is planned. So the
     number has to be written down with whatever is computed per chunk, by the
     same query, before anything else may read it.
     """
-    chunks = chunk_count(df.sparkSession, rows)
     spread = df.repartitionByRange(chunks, *dict.fromkeys([*keys, *order]))
     return spread.withColumn(CHUNK, F.spark_partition_id())

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktrace.plans.layout import CHUNK, with_chunk
+from blocktrace.plans.layout import CHUNK, chunk_count, with_chunk
 from blocktrace.plans.storage import attach, counted, scanned, settle
 
 
@@ -48,8 +48,10 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
     running, past = dict(running or {}), dict(past or {})
     first, following = dict(first or {}), dict(following or {})
     stored, rows = counted(df)
-    df = with_chunk(stored, keys, order, rows)
-    parts = [*keys, CHUNK]
+    chunks = chunk_count(stored.sparkSession, rows)
+    # A single chunk has no edges: nothing is cut, written or completed.
+    df = stored if chunks == 1 else with_chunk(stored, keys, order, chunks)
+    parts = keys if chunks == 1 else [*keys, CHUNK]
     weights = {alias: f"_w_{alias}" for alias in running}
     for alias, weight in running.items():
         df = df.withColumn(weights[alias], weight)
@@ -70,9 +72,12 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
         columns[alias] = F.first(column).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
     for alias, column in following.items():
         columns[alias] = F.lead(F.struct(F.col(column).alias("v"))).over(ahead)
+    if chunks == 1:
+        columns |= {alias: columns[alias]["v"] for alias in following}
+        return df.withColumns(columns).drop(*weights.values())
     out = settle(df.withColumns(columns), "ordered")
     # At most two rows a chunk, whatever the number of keys.
-    carry = F.broadcast(settle(_carry(out, keys, order, weights, past, first, following), "carry"))
+    carry = F.broadcast(_carry(out, keys, order, weights, past, first, following))
     matched = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     matched.append(F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}"))
     condition = matched[0]

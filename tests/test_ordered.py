@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocktrace.operators.splits import chronological_split
-from blocktrace.plans.layout import CHUNK, TASK_ROWS_CONF, with_chunk
+from blocktrace.plans.layout import CHUNK, TASK_ROWS_CONF, chunk_count, with_chunk
 from blocktrace.plans.ordered import ordered_columns, ordered_prefix, percentiles, with_ordinal
 from blocktrace.plans.storage import settle
 
@@ -69,7 +69,7 @@ def test_no_chunk_exceeds_the_limit_on_uneven_ties(spark, small_tasks):
     table = spark.range(8000).select(
         F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 1001).alias("t"),
         F.col("id").alias("i"))
-    sizes = with_chunk(settle(table), ["k"], ["t", "i"], 8000).groupBy(CHUNK).count().agg(F.max("count")).first()[0]
+    sizes = with_chunk(settle(table), ["k"], ["t", "i"], chunk_count(spark, 8000)).groupBy(CHUNK).count().agg(F.max("count")).first()[0]
     assert sizes <= small_tasks
 
 
@@ -90,6 +90,28 @@ def test_ordered_prefix(spark, layout, rows, n, fraction):
     assert {r["i"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 99, 100, 1000])
+def test_prefix_ends_at_slot_edges_and_beyond(spark, small_tasks, n):
+    """Rows 0 to 99 in files of splits of four lines; and the same rows by their number."""
+    table = spark.range(100).select(F.lit("a").alias("k"), F.expr("id div 40").cast("int").alias("f"),
+                                    F.expr("id div 4").alias("b"), F.col("id").alias("i")).repartition(5)
+    for order, coarse in ((["f", "b", "i"], 2), (["i"], 0)):
+        got = ordered_prefix(table, ["k"], order, n=n, coarse=coarse).collect()
+        assert sorted(r["i"] for r in got) == list(range(min(n, 100)))
+
+
+def test_edges_are_completed_over_whole_chunks(spark, small_tasks):
+    """One key over many chunks between two that share theirs with it; the summary stays small."""
+    made = [("a", i, i) for i in range(5)] + [("b", i, 1) for i in range(900)] + [("c", i, i) for i in range(7)]
+    got = ordered_columns(spark.createDataFrame(made, "k string, t long, w long").repartition(9), ["k"], ["t"],
+                          running={"before": F.col("w")}, past={"last": ("t", 4)}, first={"head": "t"}, following={"next": "t"})
+    for r in got.collect():
+        group = [m for m in made if m[0] == r["k"]]
+        assert r["before"] == sum(m[2] for m in group[:r["t"]]) and r["head"] == 0
+        assert r["last"] == list(range(max(0, r["t"] - 4), r["t"]))
+        assert r["next"] == (r["t"] + 1 if r["t"] + 1 < len(group) else None)
+
+
 def test_percentiles(spark, layout, rows):
     got = percentiles(frame(spark, rows), ["k"], "t", {"p30": 0.3, "p99": 0.99}).collect()
     for row in got:
