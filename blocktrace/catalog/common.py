@@ -142,11 +142,12 @@ def predicted_sql(source: str, where: str = "TRUE") -> str:
         for name, expression in BASELINE_COLUMNS.items())
 
 
-SCORED = f"""guess AS ({predicted_sql('sp', "split = 'test'")}),
-lab AS (
+LABELLED = """lab AS (
   SELECT g.*, hot_threshold, target <= hot_threshold AS actual_hot,
          predicted <= hot_threshold AS predicted_hot
   FROM guess g JOIN thr USING (trace_id))"""
+SCORED = f"""guess AS ({predicted_sql('sp', "split = 'test'")}),
+{LABELLED}"""
 
 # -- exact metrics in SQL, over `lab` ---------------------------------------
 

@@ -409,19 +409,22 @@ def au7_future(spark, folder):
 @query("au8_bad_model_records", f"""WITH {MULTI_SAMPLES},
 p AS (SELECT unnest(['last_interval', 'mean_interval', 'median_interval', 'moving_average_3', 'ema_0.5']) AS model_type),
 m AS (SELECT trace_id AS target_trace, model_type, CASE WHEN trace_id = 't0' AND model_type = 'ema_0.5' THEN NULL ELSE hot_threshold END AS hot_threshold,
-             trace_id = 't1' AND model_type = 'ema_0.5' AS from_test, CASE WHEN trace_id = 't2' AND model_type = 'ema_0.5' THEN 6 ELSE 5 END AS len FROM thr, p),
+             trace_id = 't1' AND model_type = 'ema_0.5' AS from_test, CASE WHEN trace_id = 't2' AND model_type = 'ema_0.5' THEN 6 ELSE 5 END AS len,
+             trace_id = 't1' AND model_type = 'mean_interval' AS own FROM thr, p),
 l AS (SELECT target_trace, count(DISTINCT len) AS lengths FROM m GROUP BY target_trace)
-SELECT target_trace, model_type, coalesce(hot_threshold, 0) <= 0 AS no_threshold, from_test AS threshold_from_test, lengths > 1 AS mixed_lengths
-FROM m JOIN l USING (target_trace) WHERE coalesce(hot_threshold, 0) <= 0 OR from_test OR lengths > 1""")
+SELECT target_trace, model_type, coalesce(hot_threshold, 0) <= 0 AS no_threshold, from_test AS threshold_from_test, lengths > 1 AS mixed_lengths, own AS trained_on_target
+FROM m JOIN l USING (target_trace) WHERE coalesce(hot_threshold, 0) <= 0 OR from_test OR lengths > 1 OR own""")
 def au8(spark, folder):
     ema, target = F.col("model_type") == "ema_0.5", F.col("target_trace")
     records = _comparison(spark, folder).select(
         "target_trace", "model_type",
         F.when(ema & (target == "t0"), F.lit(None)).otherwise(F.col("hot_threshold_us")).alias("hot_threshold"),
         F.when(ema & (target == "t1"), "test split").otherwise("training split").alias("hot_threshold_source"),
-        F.when(ema & (target == "t2"), 6).otherwise(F.col("sequence_length")).alias("sequence_length"))
+        F.when(ema & (target == "t2"), 6).otherwise(F.col("sequence_length")).alias("sequence_length"),
+        F.when((F.col("model_type") == "mean_interval") & (target != "t0"), F.array(F.lit("t0"), F.lit("t1")))
+        .alias("pretrain_traces"))
     return audit.bad_model_records(records).select(
-        "target_trace", "model_type", "no_threshold", "threshold_from_test", "mixed_lengths")
+        "target_trace", "model_type", "no_threshold", "threshold_from_test", "mixed_lengths", "trained_on_target")
 
 
 # -- selection ----------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blocktrace.catalog.common import (
     CAP,
     CHECKED,
+    INTERVALS,
     MULTI,
     ORDER_SQL,
     PREDICTIONS,
@@ -28,6 +29,7 @@ from blocktrace.catalog.common import (
     trace_events,
     trace_multi,
 )
+from blocktrace.catalog.trace import PROFILE, SUMMARY, SUMMARY_COLUMNS, TOP
 from blocktrace.functions.labels import MSR_OPERATIONS, map_operation
 from blocktrace.operators import clean, selection, stats
 from blocktrace.plans.storage import new_folder, settle
@@ -39,18 +41,20 @@ from blocktrace.sources import raw, tables, workloads
 WINDOWS_OFFSET_US = 11_644_473_600_000_000
 
 
-def _line_parts(spark: SparkSession, folder: str) -> DataFrame:
+def _line_parts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     return line.select(
         micros("l_shipdate").alias("us"), F.col("l_linestatus").alias("device"),
         (F.col("l_suppkey") * 409600 + F.col("l_partkey") * 1000).alias("offset"),
         (F.col("l_quantity") * 512).cast("bigint").alias("size"),
-        F.col("l_returnflag").alias("flag"), "l_linenumber", "l_tax")
+        F.col("l_returnflag").alias("flag"), "l_linenumber", "l_tax", *more)
 
 
-def msr_lines(spark: SparkSession, folder: str) -> DataFrame:
+def msr_lines(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """Requests as MSR text; some lines carry odd types, bad numbers or spare columns."""
-    parts = _line_parts(spark, folder)
+    parts = _line_parts(spark, folder, *(["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"] if ordered else []))
+    if ordered:
+        parts = parts.orderBy(*SOURCE_ORDER)
     kind = (F.when(F.col("flag") == "R", "Read").when(F.col("flag") == "N", " write ")
             .when(F.col("l_linenumber") == 1, "").otherwise("Flush"))
     offset = F.when((F.col("l_linenumber") == 6) & (F.col("l_tax") < 0.015), "bad") \
@@ -459,13 +463,81 @@ def agg12(spark, folder):
     return mapped.select("trace_id", F.explode("device_record_counts").alias("device", "records"))
 
 
-@query("e1_raw_to_statistics")
+#: The lines of `msr_lines` as requests; the busiest device is kept.
+CHAIN = f"""ln AS (
+  SELECT 'msr_hm' AS trace_id, epoch_us(l_shipdate) + {WINDOWS_OFFSET_US} AS raw_ts,
+         CASE WHEN l_linenumber = 6 AND l_tax < 0.015 THEN NULL ELSE l_suppkey * 409600 + l_partkey * 1000 END AS offset_bytes,
+         CAST(l_quantity * 512 AS BIGINT) AS size_bytes,
+         CASE l_returnflag WHEN 'R' THEN 'R' WHEN 'N' THEN 'W' ELSE
+              CASE WHEN l_linenumber = 1 THEN 'BLANK' ELSE 'FLUSH' END END AS operation,
+         CASE l_linestatus WHEN 'F' THEN 'hm_0' ELSE 'hm_1' END AS device,
+         l_linenumber = 7 AND l_tax < 0.015 AS extra, {ORDER_SQL} FROM lineitem),
+dom AS (SELECT device AS d FROM ln GROUP BY device ORDER BY count(*) DESC, min(({ORDER_SQL})) LIMIT 1),
+{checked_sql("ln", "(SELECT d FROM dom)", 2048).replace("chk AS (", "chk0 AS (")},
+chk AS (SELECT * REPLACE (CASE WHEN extra THEN 'extra_columns' ELSE reject_reason END AS reject_reason) FROM chk0),
+kept AS (SELECT *, unnest(range(n_blocks)) AS block FROM chk WHERE reject_reason IS NULL),
+trace AS (SELECT trace_id, raw_ts - min(raw_ts) OVER (PARTITION BY trace_id) AS timestamp, first_block + block AS lba,
+                 operation, raw_ts, row_number() OVER (PARTITION BY trace_id ORDER BY raw_ts, {ORDER_SQL}, block) AS seq,
+                 lag(raw_ts) OVER (PARTITION BY trace_id ORDER BY {ORDER_SQL}, block) AS before FROM kept),
+writes AS (SELECT * FROM trace WHERE operation = 'W')"""
+
+
+def _dropped(reason: str) -> str:
+    return f"count(*) FILTER (reject_reason = '{reason}')"
+
+
+@query("e1_raw_to_statistics", f"""WITH {CHAIN}, {PROFILE}, {TOP}, {INTERVALS}, {SUMMARY},
+aud AS (SELECT trace_id, count(*) FILTER (reject_reason IS DISTINCT FROM 'extra_columns') AS raw_records_read,
+               count(*) FILTER (reject_reason IS NULL) AS records_accepted,
+               {_dropped('other_device')} AS dropped_other_device, {_dropped('malformed')} AS dropped_malformed,
+               {_dropped('unknown_operation')} AS dropped_unknown_operation, {_dropped('bad_offset')} AS dropped_bad_offset,
+               {_dropped('bad_size')} AS dropped_bad_size, {_dropped('oversized')} AS dropped_oversized_request,
+               count(*) FILTER (reject_reason <> 'extra_columns') AS dropped_total,
+               {_dropped('extra_columns')} AS skipped_extra_columns,
+               sum(size_bytes) FILTER (reject_reason IS NULL OR reject_reason = 'oversized')::BIGINT AS total_bytes,
+               {_seen("operation = 'W'")} AS write_records, {_seen("operation = 'R'")} AS read_records,
+               {_seen("operation = 'D'")} AS discard_records, {_seen('offset_bytes % 4096 <> 0')} AS unaligned_requests,
+               {_seen('n_blocks > 1')} AS multi_block_requests,
+               min(raw_ts) FILTER (reject_reason IS NULL) AS first_raw_timestamp,
+               max(raw_ts) FILTER (reject_reason IS NULL) AS last_raw_timestamp FROM chk GROUP BY trace_id),
+per AS (SELECT trace_id, count(*) AS block_requests, count(*) AS blocks_emitted,
+               count(*) FILTER (operation = 'W') AS write_blocks, count(*) FILTER (operation = 'R') AS read_blocks,
+               count(*) FILTER (raw_ts < before) AS out_of_order_records,
+               count(*) FILTER (raw_ts = before) AS duplicate_timestamps,
+               round(count(*) FILTER (operation = 'W') * 100::DOUBLE / count(*), 6) AS write_percentage,
+               count(DISTINCT lba) AS unique_lbas, min(lba) AS lba_min, max(lba) AS lba_max,
+               max(lba) - min(lba) + 1 AS lba_span,
+               round((max(timestamp) - min(timestamp)) / 1e6::DOUBLE, 6) AS duration_seconds FROM trace GROUP BY trace_id),
+rew AS (SELECT trace_id, count(*) AS unique_written_lbas, (sum(w) - count(*))::BIGINT AS rewrite_events,
+               round((sum(w) - count(*))::DOUBLE / sum(w), 6) AS rewrite_ratio,
+               count(*) FILTER (w > 1) AS lbas_written_more_than_once,
+               round(count(*) FILTER (w > 1) / count(*)::DOUBLE, 6) AS repeated_write_lba_fraction,
+               max(w) AS max_writes_to_single_lba FROM prof WHERE w > 0 GROUP BY trace_id),
+done AS (SELECT aud.*, per.* EXCLUDE (trace_id), rew.* EXCLUDE (trace_id),
+                last_raw_timestamp - first_raw_timestamp AS duration_microseconds,
+                round(top1pct_lba_write_share, 6) AS top1pct_lba_write_share,
+                round(mean_rewrite_interval_us, 1) AS mean_rewrite_interval_us,
+                round(median_rewrite_interval_us, 1) AS median_rewrite_interval_us,
+                round(p90_rewrite_interval_us, 1) AS p90_rewrite_interval_us,
+                round(p99_rewrite_interval_us, 1) AS p99_rewrite_interval_us,
+                round(total_bytes::DOUBLE / greatest(records_accepted, 1), 6) AS mean_request_size_bytes
+         FROM aud JOIN per USING (trace_id) JOIN rew USING (trace_id) JOIN share USING (trace_id) JOIN summ USING (trace_id))
+SELECT *, 0::BIGINT AS other_devices, 0::BIGINT AS other_device_records, 'msr' AS dataset,
+       write_blocks >= 200000 AND rewrite_ratio >= 0.3 AND unique_written_lbas >= 5000 AND duration_seconds >= 3600 AS eligible,
+       concat_ws('; ', CASE WHEN write_blocks < 200000 THEN 'write_blocks ' || format('{{:,}}', write_blocks) || ' < 200,000' END,
+         CASE WHEN rewrite_ratio < 0.3 THEN 'rewrite_ratio ' || format('{{:.3f}}', rewrite_ratio) || ' < 0.3' END,
+         CASE WHEN unique_written_lbas < 5000 THEN 'unique_written_lbas ' || format('{{:,}}', unique_written_lbas) || ' < 5,000' END,
+         CASE WHEN duration_seconds < 3600 THEN 'duration_seconds ' || format('{{:,.0f}}', duration_seconds) || ' < 3,600' END)
+         AS ineligible_reasons FROM done""")
 def e1(spark, folder):
     """Raw lines to audit, normalized trace, statistics and eligibility in one go."""
-    lines = raw.read_msr(spark, _written(msr_lines(spark, folder)), "msr_hm")
+    lines = raw.read_msr(spark, _written(msr_lines(spark, folder, ordered=True)), "msr_hm")
     chosen = clean.select_device(lines, "dominant")
     done = settle(clean.check_requests(chosen), "checked")
     audit = clean.parse_audit(done).withColumn("dataset", F.lit("msr"))
     statistics = stats.trace_statistics(clean.normalize(done), audit)
-    return selection.with_eligibility(statistics).drop(
+    table_ = selection.with_eligibility(statistics).drop(
         "device_record_counts", "unknown_operation_examples", "reasons")
+    shares = ["write_percentage", "duration_seconds", "rewrite_ratio", "repeated_write_lba_fraction",
+              "top1pct_lba_write_share", "mean_request_size_bytes"]
+    return rounded(rounded(table_, 6, *shares), 1, *SUMMARY_COLUMNS)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from blocktrace.catalog.common import (
+    LABELLED,
     LENGTH,
     MULTI,
     MULTI_SAMPLES,
@@ -162,12 +163,57 @@ def ev10_summary(spark, folder):
     return rounded(summary, 6, "prediction_coverage")
 
 
+SOURCE_TEXT = "training split of the model's own training data"
+QUALITY = f"""guess AS (SELECT trace_id, lba, timestamp, position, target, 'median_interval' AS predictor,
+                             list_sort(inputs)[3]::DOUBLE AS predicted FROM sp),
+{LABELLED}, {REGRESSION}, {CONFUSION}, {AUC}"""
+
+
+@query("ev10_trace_quality", f"""WITH {MULTI_SAMPLES}, {QUALITY},
+total AS (SELECT trace_id, count(*) AS total_write_events FROM writes GROUP BY trace_id),
+keys AS (SELECT trace_id, count(*) - count(DISTINCT (timestamp, lba)) AS duplicate_timestamp_lba_rows FROM sp GROUP BY trace_id)
+SELECT trace_id, total_write_events, test_samples AS predicted_write_events, duplicate_timestamp_lba_rows,
+       round(test_samples / total_write_events::DOUBLE, 6) AS prediction_coverage, predictor AS model_version,
+       round(hot_threshold, 3) AS hot_threshold_us, '{SOURCE_TEXT.replace("'", "''")}' AS hot_threshold_source,
+       test_samples AS samples, mae_us, rmse_us, median_abs_error_us, mae_log1p, {COUNTS_SQL}, {RATES_SQL},
+       round(roc_auc, 6) AS roc_auc
+FROM {ALL_SCORES} JOIN total USING (trace_id) JOIN keys USING (trace_id)""")
+def ev10_quality(spark, folder):
+    """The summary of an exported table: coverage, and its metrics over whole traces."""
+    samples = settle(split_samples(spark, folder, multi=True), "samples")
+    cuts = settle(splits.hot_threshold(samples, PERCENTILE), "cuts")
+    scored = evaluate.predict_all(samples, {"median_interval": median_interval})
+    made = models.export_predictions(scored, cuts, "median_interval")
+    quality = models.trace_quality(scored, cuts, "median_interval", SOURCE_TEXT)
+    summary = models.export_summary(made, trace_multi(spark, folder), quality)
+    return rounded(rounded(_neat(summary), 3, "hot_threshold_us"), 6, "prediction_coverage")
+
+
+def _transfer_roles(samples):
+    names = samples.select("trace_id").distinct()
+    return names.withColumn("role", F.when(F.col("trace_id") == "t1", "target").otherwise("pretrain"))
+
+
+@query("ev11_training_sets", f"""WITH {MULTI_SAMPLES},
+own AS (SELECT target, row_number() OVER (ORDER BY timestamp, lba, position) AS nth, count(*) OVER () AS n
+        FROM sp WHERE trace_id = 't1' AND split = 'train'),
+sets AS (SELECT 'scratch' AS variant, target FROM own
+  UNION ALL SELECT 'adapted', target FROM own WHERE nth <= round_even(0.2::DOUBLE * n, 0)
+  UNION ALL SELECT 'pretrained', target FROM sp WHERE trace_id <> 't1' AND split = 'train')
+SELECT 't1' AS target_trace, variant, round(quantile_cont(target, 0.3), 3) AS hot_threshold, count(*) AS threshold_samples
+FROM sets GROUP BY variant""")
+def ev11_sets(spark, folder):
+    """What each variant of `ev11_transfer` takes its threshold from."""
+    samples = settle(split_samples(spark, folder, multi=True), "samples")
+    roles = _transfer_roles(samples)
+    trained = settle(models.training_sets(samples, roles), "training")
+    return rounded(models.training_thresholds(trained, roles, PERCENTILE), 3, "hot_threshold")
+
+
 @query("ev11_transfer")
 def ev11(spark, folder):
     samples = settle(split_samples(spark, folder, multi=True), "samples")
-    names = samples.select("trace_id").distinct()
-    roles = names.withColumn("role", F.when(F.col("trace_id") == "t1", "target").otherwise("pretrain"))
-    return _neat(models.compare_transfer(samples, roles, "linear_regression"))
+    return _neat(models.compare_transfer(samples, _transfer_roles(samples), "linear_regression"))
 
 
 @query("ev12_grid_search")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from blocktrace.operators.joins import overlap
 from blocktrace.plans.storage import attach
+from blocktrace.schemas import PREDICTED_POLICY
 
-SEGREGATED = ["RULE_BASED", "PREDICTED"]
 
 
 def unequal_workloads(runs: DataFrame) -> DataFrame:
@@ -33,11 +33,11 @@ def broken_accounting(runs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
         .filter(F.col("bytes_differ") | F.col("waf_differs"))
 
 
-def misused_cold_log(runs: DataFrame) -> DataFrame:
+def misused_cold_log(runs: DataFrame, predicted_policy: str = PREDICTED_POLICY) -> DataFrame:
     """MIXED runs that used the cold log and segregated runs that did not."""
     cold = F.col("cold_stream_writes")
     return runs.filter(((F.col("policy") == "MIXED") & (cold != 0))
-                       | (F.col("policy").isin(SEGREGATED) & (cold == 0)))
+                       | (F.col("policy").isin("RULE_BASED", predicted_policy) & (cold == 0)))
 
 
 def degenerate_labels(runs: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -110,12 +110,20 @@ def windows_with_future(samples: DataFrame, first_writes: DataFrame) -> DataFram
 
 
 def bad_model_records(models: DataFrame) -> DataFrame:
-    """Model records without a positive training threshold, or with mixed lengths."""
+    """Model records without a positive training threshold, with mixed lengths, or trained on their target.
+
+    `pretrain_traces`, where the records have it, is each model's own list of
+    training workloads; a roles table may be right while a model was trained on
+    something else. A record without a list or without a target passes.
+    """
     lengths = models.groupBy("target_trace").agg(
         F.count_distinct("sequence_length").alias("lengths"))
     missing = F.coalesce(F.col("hot_threshold"), F.lit(0.0)) <= 0
     from_test = F.lower(F.coalesce("hot_threshold_source", F.lit(""))).contains("test")
+    own = F.lit(False)
+    if "pretrain_traces" in models.columns:
+        own = F.coalesce(F.array_contains("pretrain_traces", F.col("target_trace")), F.lit(False))
     return attach(models, lengths, ["target_trace"]).withColumns({
         "no_threshold": missing, "threshold_from_test": from_test,
-        "mixed_lengths": F.col("lengths") > 1}) \
-        .filter(F.col("no_threshold") | F.col("threshold_from_test") | F.col("mixed_lengths"))
+        "mixed_lengths": F.col("lengths") > 1, "trained_on_target": own}) \
+        .filter(F.col("no_threshold") | F.col("threshold_from_test") | F.col("mixed_lengths") | own)

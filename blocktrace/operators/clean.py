@@ -44,11 +44,23 @@ def device_counts(requests: DataFrame, order: list[str] = RAW_ORDER) -> DataFram
         F.count(F.lit(1)).alias("records"), F.min(F.struct(*order)).alias("first_seen"))
 
 
-def device_record_map(counts: DataFrame) -> DataFrame:
-    """The same counts as one map per trace; devices are few by nature."""
-    return counts.groupBy("trace_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("device", "records"))))
-        .alias("device_record_counts"))
+def device_record_map(counts: DataFrame, busiest: int = 1000) -> DataFrame:
+    """The same counts as one map per trace, of the `busiest` devices; the others are summed up.
+
+    The device is text from the input, so a damaged file can have any number of
+    them. Ties in records go to the first name.
+    """
+    place = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.col("records").desc(), "device"))
+    # The limit on the place is applied before the shuffle, too.
+    kept = settle(counts.select("trace_id", "device", "records").withColumn("_place", place)
+                  .filter(F.col("_place") <= busiest).drop("_place"), "devices")
+    mapped = kept.groupBy("trace_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("device", "records")))).alias("device_record_counts"),
+        F.count(F.lit(1)).alias("_kept"), F.sum("records").alias("_held"))
+    whole = counts.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_devices"), F.sum("records").alias("_records"))
+    return whole.join(mapped, "trace_id").select(
+        "trace_id", "device_record_counts", (F.col("_devices") - F.col("_kept")).alias("other_devices"),
+        (F.col("_records") - F.col("_held")).alias("other_device_records"))
 
 
 def dominant_devices(counts: DataFrame) -> DataFrame:
@@ -188,12 +200,14 @@ def parse_audit(checked: DataFrame, limits: Limits = Limits(),
                     lambda item: item["operation"]).alias("unknown_operation_examples"))
     audit = parse_counters(checked, limits)
     for part in (disorder_counts(checked, order), examples,
-                 device_record_map(device_counts(checked, order))):
+                 device_record_map(settle(device_counts(checked, order), "devices"))):
         audit = audit.join(part, "trace_id", "left")
     zero = F.lit(0).cast("long")
     return audit.withColumns({
         "out_of_order_records": F.coalesce("out_of_order_records", zero),
         "duplicate_timestamps": F.coalesce("duplicate_timestamps", zero),
+        "other_devices": F.coalesce("other_devices", zero),
+        "other_device_records": F.coalesce("other_device_records", zero),
         "unknown_operation_examples": F.coalesce("unknown_operation_examples", F.array().cast("array<string>")),
         "first_raw_timestamp": F.coalesce("first_raw_timestamp", zero),
         "last_raw_timestamp": F.coalesce("last_raw_timestamp", zero),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blocktrace.operators.joins import union_tables
 from blocktrace.plans.ordered import with_ordinal
 from blocktrace.plans.storage import attach, settle
+from blocktrace.schemas import PREDICTED_POLICY
 
 # Display names and their order in tables.
 LSTM_LABELS = {
@@ -30,9 +31,9 @@ SUMMARY_POLICIES = {
 RUN_ORDER = ["total_segments", "policy", "model_type"]
 
 
-def configuration(policy: Column, model_type: Column) -> Column:
-    """Row label: the policy, or the model behind a PREDICTED run."""
-    label = F.when(policy != "PREDICTED", policy)
+def configuration(policy: Column, model_type: Column, predicted_policy: str = PREDICTED_POLICY) -> Column:
+    """Row label: the policy, or the model behind a run that follows predictions."""
+    label = F.when(policy != predicted_policy, policy)
     for model, name in LSTM_LABELS.items():
         label = label.when(model_type == model, F.lit(name))
     return label.otherwise(F.concat(F.lit("LSTM "), model_type))
@@ -69,10 +70,11 @@ def _change(column: str) -> Column:
 ABLATION_BASE = ["waf", "valid_blocks_migrated", "gc_bytes_copied"]
 
 
-def with_mixed_baseline(runs: DataFrame, order: list[str] = RUN_ORDER) -> DataFrame:
+def with_mixed_baseline(runs: DataFrame, order: list[str] = RUN_ORDER,
+                        predicted_policy: str = PREDICTED_POLICY) -> DataFrame:
     """Each run beside the MIXED run of its trace and utilization; others drop out."""
     labelled = runs.withColumns({
-        "configuration": configuration(F.col("policy"), F.col("model_type")),
+        "configuration": configuration(F.col("policy"), F.col("model_type"), predicted_policy),
         "utilization_pct": utilization_pct(1)})
     keys = ["trace", "utilization_pct"]
     return attach(labelled, mixed_baseline(labelled, keys, order, ABLATION_BASE), keys)
@@ -86,10 +88,10 @@ def groups_without_baseline(runs: DataFrame) -> DataFrame:
         .filter(F.col("_m") == 0).drop("_m")
 
 
-def ablation(runs: DataFrame, order: list[str] = RUN_ORDER) -> DataFrame:
+def ablation(runs: DataFrame, order: list[str] = RUN_ORDER, predicted_policy: str = PREDICTED_POLICY) -> DataFrame:
     """Run metrics with percent changes against MIXED; null where MIXED is zero."""
     total = F.col("total_write_requests")
-    return with_mixed_baseline(runs, order).select(
+    return with_mixed_baseline(runs, order, predicted_policy).select(
         *runs.columns, "configuration", "utilization_pct",
         F.when(total == 0, 0.0).otherwise(1.0 - F.col("unpredicted_writes") / total)
         .alias("prediction_coverage"),
@@ -112,10 +114,10 @@ def require_same_control(new: DataFrame, old: DataFrame) -> None:
         raise RuntimeError(f"MIXED control differs from the existing runs: {wrong}")
 
 
-def combine_runs(existing: DataFrame, added: DataFrame) -> DataFrame:
+def combine_runs(existing: DataFrame, added: DataFrame, predicted_policy: str = PREDICTED_POLICY) -> DataFrame:
     """Existing runs and new model runs in one labelled table; new MIXED controls drop out."""
     old = existing.withColumn("configuration", F.when(
-        F.col("policy") == "PREDICTED", F.concat(F.lit("LSTM "), F.col("model_type")))
+        F.col("policy") == predicted_policy, F.concat(F.lit("LSTM "), F.col("model_type")))
         .otherwise(F.col("policy")))
     new = added.filter(F.col("policy") != "MIXED").withColumn("configuration", F.col("model_type"))
     return union_tables(old, new)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocktrace.functions.labels import temperature
@@ -20,6 +21,7 @@ from blocktrace.operators.evaluate import label, regression_metrics, score, with
 from blocktrace.operators.intervals import build_sequences, write_events
 from blocktrace.operators.splits import chronological_prefix, chronological_split, hot_threshold
 from blocktrace.plans.storage import settle, shared_folder
+from blocktrace.schemas import SAMPLE_ORDER
 
 MODEL_TYPES = ("linear_regression", "random_forest", "boosted_trees")
 #: Spellings accepted for the boosted model.
@@ -153,8 +155,21 @@ def export_predictions(scored: DataFrame, thresholds: DataFrame | None,
         F.lit(model_version).alias("model_version"), "trace_id")
 
 
-def export_summary(predictions: DataFrame, trace: DataFrame) -> DataFrame:
-    """Coverage of a prediction table and how many of its keys repeat."""
+def trace_quality(scored: DataFrame, thresholds: DataFrame, model_version: str,
+                  source: str = "training split of the model's own training data") -> DataFrame:
+    """Metrics of predictions against the intervals that happened, over all samples of each trace.
+
+    Training samples count as well, so this describes an exported table; how good
+    a model is on new data is told by its test split. Actual classes come from
+    the same threshold as the predicted ones; `source` says where it is from.
+    """
+    whole = scored.select("trace_id", "target", "predicted", F.lit(model_version).alias("predictor"))
+    return score(label(whole, thresholds)).withColumn("hot_threshold_source", F.lit(source)) \
+        .withColumnsRenamed({"predictor": "model_version", "test_samples": "samples"})
+
+
+def export_summary(predictions: DataFrame, trace: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """Coverage of a prediction table and how many of its keys repeat, beside its `trace_quality` if given."""
     keys = predictions.groupBy("trace_id", "timestamp", "lba").agg(F.count(F.lit(1)).alias("_n"))
     made = keys.groupBy("trace_id").agg(
         F.sum("_n").alias("predicted_write_events"),
@@ -162,8 +177,9 @@ def export_summary(predictions: DataFrame, trace: DataFrame) -> DataFrame:
     total = write_events(trace).groupBy("trace_id").agg(F.count(F.lit(1)).alias("total_write_events"))
     joined = total.join(made, "trace_id", "left").fillna(
         0, ["predicted_write_events", "duplicate_timestamp_lba_rows"])
-    return joined.withColumn("prediction_coverage",
-                             F.col("predicted_write_events") / F.col("total_write_events"))
+    covered = joined.withColumn("prediction_coverage",
+                                F.col("predicted_write_events") / F.col("total_write_events"))
+    return covered if quality is None else covered.join(quality, "trace_id", "left")
 
 
 def score_models(split_samples: DataFrame, model_types: Iterable[str], seed: int = 42,
@@ -181,6 +197,51 @@ def score_models(split_samples: DataFrame, model_types: Iterable[str], seed: int
     return score(label(scored, thresholds))
 
 
+#: Variants of a target's model, by what they are trained on.
+VARIANTS = ("pretrained", "adapted", "scratch")
+
+
+def training_sets(samples: DataFrame, roles: DataFrame, early: float = 0.2) -> DataFrame:
+    """The target's own training samples of each variant: the earliest share for `adapted`, all for `scratch`.
+
+    The pool of the pretraining workloads is common to all targets and is not
+    repeated for each.
+    """
+    targets = settle(roles.filter(F.col("role") == "target").select("trace_id").distinct(), "targets")
+    own = samples.filter(F.col("split") == "train").join(targets, "trace_id", "left_semi")
+    parts = {"adapted": chronological_prefix(own, early), "scratch": own}
+    columns = [F.col("trace_id").alias("target_trace"), *SAMPLE_ORDER, "target", "split"]
+    first, second = [part.select(*columns, F.lit(name).alias("variant")) for name, part in parts.items()]
+    pool = samples.filter(F.col("split") == "train").join(
+        settle(roles.filter(F.col("role") == "pretrain").select("trace_id"), "roles"), "trace_id", "left_semi")
+    shared = pool.select(F.lit(None).cast("string").alias("target_trace"), *SAMPLE_ORDER, "target", "split",
+                         F.lit("pretrained").alias("variant"))
+    return first.unionByName(second).unionByName(shared)
+
+
+def training_thresholds(trained: DataFrame, roles: DataFrame, percentile: float = 30.0) -> DataFrame:
+    """Hot threshold and number of own training samples of each target and variant, from `training_sets`.
+
+    A pretrained model takes both from its pool.
+    """
+    keyed = trained.withColumn("target_trace", F.coalesce("target_trace", F.lit("")))
+    keys = ["target_trace", "variant"]
+    cuts = hot_threshold(keyed, percentile, keys).join(
+        keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("threshold_samples")), keys)
+    pooled = F.col("variant") == "pretrained"
+    targets = roles.filter(F.col("role") == "target").select(F.col("trace_id").alias("_target")).distinct() \
+        .withColumn("variant", F.explode(F.array(*map(F.lit, VARIANTS)))) \
+        .withColumn("target_trace", F.when(pooled, "").otherwise(F.col("_target")))
+    return targets.join(cuts, keys).select(
+        F.col("_target").alias("target_trace"), "variant", "hot_threshold", "threshold_samples")
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: list, width: int = 4) -> list:
+    """`work` on each item, some at a time: independent fits leave no executor idle between their small jobs."""
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
 def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str,
                      seed: int = 42, percentile: float = 30.0, early: float = 0.2, **overrides) -> DataFrame:
     """Training on other workloads against training on the target alone.
@@ -196,24 +257,35 @@ def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str
     if not leaks.isEmpty():
         raise ValueError("a target is also a pretraining workload")
     samples = settle(split_samples, "samples")
-    targets = [r["trace_id"] for r in roles.filter(F.col("role") == "target")
-               .select("trace_id").distinct().orderBy("trace_id").collect()]
-    pool = samples.join(settle(roles.filter(F.col("role") == "pretrain").select("trace_id"), "roles"),
-                        "trace_id", "left_semi")
-    pooled = fit(model_type, pool, seed, **overrides)
-    pooled_cut = hot_threshold(pool.withColumn("pool", F.lit(1)), percentile, ["pool"]) \
-        .first()["hot_threshold"]
+    features = settle(with_features(samples), "features")
+    names = [r["trace_id"] for r in roles.filter(F.col("role") == "target")
+             .select("trace_id").distinct().orderBy("trace_id").collect()]
+    trained = settle(training_sets(samples, roles, early), "training")
+    cuts = {(r["target_trace"], r["variant"]): r["hot_threshold"]
+            for r in training_thresholds(trained, roles, percentile).collect()}
+    pool = features.join(settle(roles.filter(F.col("role") == "pretrain").select("trace_id"), "roles"),
+                         "trace_id", "left_semi")
+
+    def training(target: str, variant: str) -> DataFrame:
+        own = features.filter(F.col("trace_id") == target)
+        if variant == "scratch":
+            return own
+        # One row: the last early sample. The adapted model sees it and all before it.
+        place = F.struct(*SAMPLE_ORDER)
+        last = trained.filter((F.col("target_trace") == target) & (F.col("variant") == variant)) \
+            .agg(F.max(place).alias("last")).first()["last"]
+        early_rows = place <= F.struct(*[F.lit(last[c]).alias(c) for c in SAMPLE_ORDER])
+        return pool.unionByName(own.filter((F.col("split") == "train") & early_rows))
+
+    wanted = [(None, "pretrained"), *[(t, v) for t in names for v in ("adapted", "scratch")]]
+    fits = dict(zip(wanted, side_by_side(
+        samples.sparkSession, lambda w: fit_features(model_type, pool if w[0] is None else training(*w), seed, **overrides), wanted)))
     tables = []
-    for target in targets:
-        own = samples.filter(F.col("trace_id") == target)
-        test = own.filter(F.col("split") == "test")
-        alone = fit(model_type, own, seed, **overrides)
-        cut = hot_threshold(own, percentile).first()["hot_threshold"]
-        prefix = settle(chronological_prefix(own.filter(F.col("split") == "train"), early), "prefix")
-        adapted = fit(model_type, pool.unionByName(prefix.select(*pool.columns)), seed, **overrides)
-        early_cut = hot_threshold(prefix, percentile).first()["hot_threshold"]
-        for name, fitted, value in (("pretrained", pooled, pooled_cut), ("adapted", adapted, early_cut),
-                                    ("scratch", alone, cut)):
+    for target in names:
+        test = samples.filter((F.col("trace_id") == target) & (F.col("split") == "test"))
+        for name in VARIANTS:
+            fitted = fits[None if name == "pretrained" else target, name]
+            value = cuts[target, name]
             tables.append(predict(fitted, test).select(
                 "trace_id", "target", "predicted", F.lit(name).alias("predictor"),
                 F.lit(value).alias("hot_threshold"),
@@ -235,20 +307,25 @@ def grid_search(trace: DataFrame, model_type: str, lengths: list[int],
     length without validation samples is refused.
     """
     size = size or next(iter(settings), None)
-    rows = []
+    tables = {}
     for length in lengths:
         samples = chronological_split(build_sequences(trace, length))
-        features = settle(with_features(samples), "features")
-        val = features.filter(F.col("split") == "val").drop("features", "label")
-        for values in itertools.product(*settings.values()):
-            chosen = dict(zip(settings, values))
-            fitted = fit_features(model_type, features, seed, **chosen)
-            scored = predict(fitted, val).withColumn("predictor", F.lit(model_type))
-            pooled = regression_metrics(scored, ["predictor"]).first()
-            if pooled is None:
-                raise ValueError(f"no validation samples for windows of {length}")
-            rows.append((length, str(chosen), float(chosen.get(size, 0.0)),
-                         fitted.train_samples, pooled["mae_us"], pooled["rmse_us"], pooled["mae_log1p"]))
+        tables[length] = settle(with_features(samples), "features")
+
+    def cell(place: tuple) -> tuple:
+        length, values = place
+        chosen = dict(zip(settings, values))
+        fitted = fit_features(model_type, tables[length], seed, **chosen)
+        val = tables[length].filter(F.col("split") == "val").drop("features", "label")
+        scored = predict(fitted, val).withColumn("predictor", F.lit(model_type))
+        pooled = regression_metrics(scored, ["predictor"]).first()
+        if pooled is None:
+            raise ValueError(f"no validation samples for windows of {length}")
+        return (length, str(chosen), float(chosen.get(size, 0.0)),
+                fitted.train_samples, pooled["mae_us"], pooled["rmse_us"], pooled["mae_log1p"])
+
+    places = list(itertools.product(lengths, itertools.product(*settings.values())))
+    rows = side_by_side(trace.sparkSession, cell, places)
     if not rows:
         raise ValueError("the search produced no result; check the input traces")
     schema = ("sequence_length int, setting string, model_size double, train_samples long, "

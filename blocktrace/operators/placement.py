@@ -6,31 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocktrace.functions.labels import write_stream
-from blocktrace.operators.intervals import rule_temperature, write_events, write_prefix
+from blocktrace.operators.intervals import rule_temperature, write_events
 from blocktrace.operators.joins import assign_predictions
 from blocktrace.plans.ordered import ordered_columns, ordered_prefix, with_ordinal
-from blocktrace.plans.storage import attach
-from blocktrace.schemas import KEY, LBA_KEY, TRACE_ORDER
+from blocktrace.plans.storage import attach, settle
+from blocktrace.schemas import KEY, LBA_KEY, PREDICTED_POLICY, TRACE_ORDER
 
 
 def policy_temperatures(trace: DataFrame, predictions: DataFrame, prediction_order: list[str], *,
                         rule_threshold: float | DataFrame, min_history: int,
-                        max_writes: int | None = None) -> DataFrame:
-    """The same writes under the MIXED, RULE_BASED and PREDICTED policies.
+                        max_writes: int | None = None, predicted_policy: str = PREDICTED_POLICY) -> DataFrame:
+    """The same writes under the MIXED, RULE_BASED and predicted policies.
 
-    `rule_threshold` is one number or a table of one threshold per trace.
+    `rule_threshold` is one number or a table of one threshold per trace. The
+    writes are planned once: the rule's temperature stands beside each write
+    before it meets its prediction, and a write then becomes a row per policy.
     """
-    writes = write_prefix(trace, max_writes).select("trace_id", "timestamp", "lba", "seq")
-    ruled = rule_temperature(trace, rule_threshold, min_history, max_writes=max_writes)
-    predicted = assign_predictions(writes, predictions, prediction_order)
     kept = ["trace_id", "timestamp", "lba", "seq"]
-
-    def labelled(table: DataFrame, policy: str) -> DataFrame:
-        return table.select(F.lit(policy).alias("policy"), *kept, "temperature")
-
-    return (labelled(writes.withColumn("temperature", F.lit("UNKNOWN")), "MIXED")
-            .unionByName(labelled(ruled, "RULE_BASED"))
-            .unionByName(labelled(predicted, "PREDICTED")))
+    ruled = rule_temperature(trace, rule_threshold, min_history, max_writes=max_writes)
+    ruled = settle(ruled.select(*kept, F.col("temperature").alias("_ruled")), "ruled")
+    both = assign_predictions(ruled, predictions, prediction_order)
+    said = {"MIXED": F.lit("UNKNOWN"), "RULE_BASED": F.col("_ruled"), predicted_policy: F.col("temperature")}
+    rows = F.array(*[F.struct(F.lit(policy).alias("policy"), label.alias("temperature")) for policy, label in said.items()])
+    return both.select(*kept, F.inline(rows)).select("policy", *kept, "temperature")
 
 
 def route(placed: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocktrace.plans.layout import CHUNK, chunk_count, with_chunk
-from blocktrace.plans.storage import attach, counted, scanned, settle
+from blocktrace.plans.storage import attach, counted, scanned, settle, settle_counted
 
 
 def _last(values: Column, depth: int) -> Column:
@@ -164,6 +164,13 @@ def with_ordinal(df: DataFrame, keys: list[str], order: list[str], alias: str) -
 SLOTS = 256
 
 
+def _slots(rows: DataFrame, keys: list[str], column: str) -> tuple[DataFrame, Column]:
+    """Rows with the bounds between the slots of their key (`_cuts`), and the slot of a row."""
+    shares = [i / SLOTS for i in range(1, SLOTS)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, shares).alias("_cuts"))
+    return attach(rows, cuts, keys), F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut < F.col(column)))
+
+
 def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
                    n: int | None = None, fraction: float | None = None, coarse: int = 0) -> DataFrame:
     """The first `n` rows, or the earliest share, of each key in `order`.
@@ -182,10 +189,7 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
     if coarse:
         slot = F.struct(*order[:coarse])
     else:
-        shares = [i / SLOTS for i in range(1, SLOTS)]
-        cuts = narrow.groupBy(*keys).agg(F.percentile_approx(order[0], shares).alias("_cuts"))
-        narrow = attach(narrow, cuts, keys)
-        slot = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut < F.col(order[0])))
+        narrow, slot = _slots(narrow, keys, order[0])
     narrow = narrow.withColumn("_slot", slot).drop("_cuts")
     counts = settle(narrow.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_held")), "slots")
     whole, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
@@ -203,16 +207,40 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
             .drop("_last").select(*df.columns))
 
 
+def _ranked_slots(counts: DataFrame, totals: DataFrame, keys: list[str], value: str,
+                  shares: list[float]) -> DataFrame:
+    """Rows of a histogram (`_n`) in the slots that hold a wanted rank, with the number of values before each."""
+    narrow, slot = _slots(counts, keys, value)
+    narrow = narrow.withColumn("_slot", slot).drop("_cuts")
+    held = settle(narrow.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_held")), "slots")
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.withColumn("_ahead", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
+    wanted = F.lit(False)
+    for share in shares:
+        spot = (F.col("_total") - 1) * F.lit(float(share))
+        # Slots from the one with the lower neighbour to the one with the upper.
+        wanted = wanted | ((F.col("_ahead") <= F.ceil(spot)) & (F.floor(spot) < F.col("_ahead") + F.col("_held")))
+    target = attach(placed, totals, keys).filter(wanted).select(*keys, "_slot", "_ahead")
+    inside = attach(narrow, target, [*keys, "_slot"])
+    ranked = ordered_columns(inside, [*keys, "_slot"], [value], running={"_inside": F.col("_n")})
+    return ranked.withColumn("_start", F.col("_ahead") + F.col("_inside")).drop("_slot", "_ahead", "_inside")
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key.
 
-    Values are first reduced to a histogram, ranked across balanced chunks, and
-    only the two neighbours of each wanted rank are kept.
+    Values are first reduced to a histogram. One that a task may order is
+    ranked whole. A larger one is counted in slots, and only the slots that hold
+    one of the wanted ranks are put in order. Only the two neighbours of each
+    wanted rank are kept.
     """
-    counts = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-                    .agg(F.count(F.lit(1)).alias("_n")), "histogram")
-    ranked = ordered_columns(counts, keys, [value], running={"_start": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    counts, distinct = settle_counted(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
+                                      .agg(F.count(F.lit(1)).alias("_n")), "histogram")
+    totals = settle(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), "totals")
+    if chunk_count(counts.sparkSession, distinct) == 1:
+        ranked = ordered_columns(counts, keys, [value], running={"_start": F.col("_n")})
+    else:
+        ranked = _ranked_slots(counts, totals, keys, value, list(shares.values()))
     placed = attach(ranked, totals, keys)
     picks = []
     for alias, share in shares.items():

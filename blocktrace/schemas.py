@@ -11,6 +11,8 @@ RAW_ORDER = ["file_index", "block_start", "line_id"]
 SAMPLE_ORDER = ["timestamp", "lba", "position"]
 
 OPERATIONS = ["W", "R", "D"]
+#: Name of the policy that follows predictions, unless a run table says otherwise.
+PREDICTED_POLICY = "PREDICTED"
 
 NORMALIZED = T.StructType([
     T.StructField("timestamp", T.LongType()),

@@ -18,7 +18,7 @@ CHOSEN = ["src1_read_msr", "src8_check_predictions", "src10_verify_checksums", "
           "win5_split_with_ties", "win10_rule_statistic", "fn4_window_features", "fn14_device_segments",
           "ev4_score_predictors", "ev13_spearman", "jn1_repeated_keys", "jn2_prediction_audit", "pl3_placement_counters",
           "src7_typed_trace", "pc1_ablation", "pc3_policy_summary", "au2_broken_accounting",
-          "au5_unfair_comparison", "au8_bad_model_records", "sel2_assign_roles", "st2_rule_temperature_stream",
+          "au5_unfair_comparison", "au8_bad_model_records", "e1_raw_to_statistics", "ev10_trace_quality", "ev11_training_sets", "sel2_assign_roles", "st2_rule_temperature_stream",
           "st3_assign_predictions_stream", "st5_disorder_stream"]
 
 

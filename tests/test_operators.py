@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocktrace.functions import capacity, scaling, windows
-from blocktrace.operators import compare, evaluate, intervals, joins, models, placement, selection, splits, stats
+from blocktrace.operators import (audit, clean, compare, evaluate, intervals, joins, models, placement, selection, splits,
+                                  stats)
 from blocktrace.sources.tables import check_predictions, typed_predictions
 
 DEMO = [(0, 10), (5, 11), (5, 12), (9, 10, "R"), (12, 10), (20, 11), (31, 10)]
@@ -171,8 +172,8 @@ def test_prediction_anomalies(spark, make_trace):
     checked = _predictions(spark, [(1, 10, 5.0, "HOT"), (2, 11, "oops", "HOT"), (3, 12, 5.0, "LUKEWARM"),
                                    (4, 13, 5.0, "0"), (4, 13, 6.0, "HOT"), (9, 14, 5.0, "HOT")])
     trace = make_trace([(1, 10), (2, 11), (3, 12), (4, 13), (4, 13)])
-    audit = joins.prediction_audit(trace, checked).first()
-    assert [audit[c] for c in ("malformed_rows", "unknown_class_rows", "duplicate_key_rows", "unmatched_predictions")] == [1] * 4
+    met = joins.prediction_audit(trace, checked).first()
+    assert [met[c] for c in ("malformed_rows", "unknown_class_rows", "duplicate_key_rows", "unmatched_predictions")] == [1] * 4
     given = joins.assign_predictions(trace, typed_predictions(checked), ["line_id"]).orderBy("seq").collect()
     assert [r["temperature"] for r in given] == ["HOT", "UNKNOWN", "UNKNOWN", "COLD", "UNKNOWN"]
 
@@ -249,3 +250,52 @@ def test_python_predictor(spark):
     double = windows.python_predictor(lambda values: values.map(lambda v: float(v[-1] * 2)))
     samples = spark.createDataFrame([("t", [1.0, 4.0], 2.0)], "trace_id string, inputs array<double>, target double")
     assert evaluate.predict_all(samples, {"double": double}).first()["predicted"] == 8.0
+
+
+def test_device_map_is_bounded(spark):
+    counts = spark.createDataFrame([("t", d, n) for d, n in (("a", 5), ("b", 9), ("c", 5), ("d", 1))] + [("u", "a", 2)],
+                                   "trace_id string, device string, records long")
+    rows = {r["trace_id"]: r for r in clean.device_record_map(counts, busiest=2).collect()}
+    assert rows["t"]["device_record_counts"] == {"b": 9, "a": 5}
+    assert (rows["t"]["other_devices"], rows["t"]["other_device_records"]) == (2, 6)
+    assert (rows["u"]["other_devices"], rows["u"]["other_device_records"]) == (0, 0)
+
+
+def test_model_trained_on_its_target(spark):
+    models_ = spark.createDataFrame(
+        [("t", "a", 5, 1.0, "training", ["u", "v"]), ("t", "b", 5, 1.0, "training", ["u", "t"]), ("t", "c", 5, 1.0, "training", None),
+         (None, "d", 5, 1.0, "training", ["u"])],
+        "target_trace string, model_type string, sequence_length int, hot_threshold double, hot_threshold_source string, "
+        "pretrain_traces array<string>")
+    bad = audit.bad_model_records(models_).collect()
+    assert [(r["model_type"], r["trained_on_target"], r["mixed_lengths"]) for r in bad] == [("b", True, False)]
+    assert audit.bad_model_records(models_.drop("pretrain_traces")).count() == 0
+
+
+def test_name_of_the_predicting_policy(spark):
+    runs = spark.createDataFrame([("t", 8, "MIXED", None, 0), ("t", 8, "OURS", "scratch", 0), ("t", 8, "PREDICTED", "scratch", 0)],
+                                 "trace string, total_segments int, policy string, model_type string, cold_stream_writes int")
+    label = compare.configuration(F.col("policy"), F.col("model_type"), "OURS")
+    assert [r[0] for r in runs.select(label).collect()] == ["MIXED", "LSTM scratch", "PREDICTED"]
+    assert [r["policy"] for r in audit.misused_cold_log(runs, "OURS").collect()] == ["OURS"]
+
+
+def test_training_sets_of_a_transfer(spark):
+    rows = [(trace, 10 * i, i, 0, [1.0], float(i), "train" if i < 10 else "test") for trace in ("p", "q", "t") for i in range(12)]
+    samples = spark.createDataFrame(rows, "trace_id string, timestamp long, lba long, position long, inputs array<double>, "
+                                          "target double, split string")
+    roles = spark.createDataFrame([("t", "target"), ("q", "target"), ("p", "pretrain")], "trace_id string, role string")
+    cuts = models.training_thresholds(models.training_sets(samples, roles, 0.3), roles, 50.0).collect()
+    found = {(r["target_trace"], r["variant"]): (r["hot_threshold"], r["threshold_samples"]) for r in cuts}
+    one = {"pretrained": (4.5, 10), "adapted": (1.0, 3), "scratch": (4.5, 10)}
+    assert found == {(t, v): value for t in "qt" for v, value in one.items()}
+
+
+def test_quality_of_an_exported_table(spark):
+    scored = spark.createDataFrame([("t", 10.0, 10.0), ("t", 20.0, 40.0), ("t", 90.0, 10.0)],
+                                   "trace_id string, target double, predicted double")
+    cuts = spark.createDataFrame([("t", 25.0)], "trace_id string, hot_threshold double")
+    row = models.trace_quality(scored, cuts, "m1").first()
+    assert (row["model_version"], row["samples"], row["hot_threshold_us"], row["median_abs_error_us"]) == ("m1", 3, 25.0, 20.0)
+    assert (row["true_positives"], row["false_negatives"], row["false_positives"]) == (1, 1, 1)
+    assert abs(row["mae_us"] - 100 / 3) < 1e-9 and "training" in row["hot_threshold_source"]
