@@ -3,10 +3,11 @@
 Every host has a tree of path templates. Numbers and hashes in a segment become
 placeholders at once; then, level by level, a segment that holds too small a
 share of its parent becomes the wildcard `*`, so each node keeps a bounded number
-of literal children. Branches under one host whose subtrees have the same
-templates, and whose labelled rates don't differ significantly, are merged. A
-merged template is rejected by its labelled purity, smoothed towards the host
-and the host towards all hosts.
+of literal children. From the leaves upwards, sibling branches are merged whose
+subtrees have the same templates and whose labelled rates a likelihood ratio
+doesn't tell apart. The rate of every node of the merged tree is smoothed towards
+that of its parent, from all hosts over the host down to the template, and a
+template is rejected by its rate.
 
 Labels are the addresses that a rule judges. The tree is built from counts per
 (host, path shape), not from addresses, so a hot host costs no more than its
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktrace.llm.common import settle
+from blocktrace.llm.common import join_uneven, settle
 
 #: (host, path, verdict); a rule fits the host and its subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -27,8 +28,12 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 LITERAL_SHARE = 0.02
 #: Levels of a tree; what is deeper is one wildcard.
 DEPTH = 6
-#: Weight of the prior in a smoothed rate, rate from which a template is rejected, and deviations that separate branches.
-PRIOR_WEIGHT, REJECT, DEVIATIONS = 4.0, 0.5, 2.0
+#: Weight of the parent in a smoothed rate, and rate of blocked addresses from which a template is rejected.
+PRIOR_WEIGHT, REJECT = 4.0, 0.5
+#: Likelihood ratio from which two branches differ: 95 % of a chi-square with one degree of freedom.
+APART = 3.84
+#: Share of a branch that a template needs to count in its signature, which bounds one to twenty templates.
+SIGNATURE_SHARE = 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,8 +59,12 @@ def longest_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """Path with placeholders: `{h}` for long hexadecimal runs with a digit, `{n}` for numbers."""
-    hashed = F.regexp_replace(path, r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{8,}\b", "{h}")
+    """Path with placeholders: `{h}` for long hexadecimal runs with a digit, `{n}` for numbers.
+
+    A backslash goes before characters that templates use themselves.
+    """
+    plain = F.regexp_replace(path, r"([\\{|*])", r"\\$1")
+    hashed = F.regexp_replace(plain, r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{8,}\b", "{h}")
     return F.regexp_replace(hashed, r"[0-9]+", "{n}")
 
 
@@ -82,46 +91,121 @@ def templates(shapes: DataFrame) -> DataFrame:
         F.col("template"))).drop("_parts")
 
 
-def judged_templates(shapes: DataFrame) -> DataFrame:
-    """Purity and verdict of every shape: `host`, `shape`, `template`, `purity`, `verdict`.
+def _log_likelihood(blocked: Column, labelled: Column) -> Column:
+    """Of so many blocked among the labelled, at their own rate."""
+    def part(x: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x)).otherwise(F.lit(0.0))
+    return part(blocked) + part(labelled - blocked) - part(labelled)
 
-    `shapes` has `host`, `shape`, `n` and the labelled counts `allowed` and `blocked`.
+
+def _classes(siblings: Column) -> Column:
+    """Labelled siblings (`rate`, `head`, `blocked`, `labelled`), sorted, as classes of equal rates.
+
+    Each sibling joins the class before it unless their rates differ. Siblings
+    are less than `1 / LITERAL_SHARE`, so the array is short.
+    """
+    zero = F.array().cast("array<struct<heads:array<string>,blocked:double,labelled:double>>")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        blocked, labelled = last["blocked"] + x["blocked"], last["labelled"] + x["labelled"]
+        ratio = 2 * (_log_likelihood(last["blocked"], last["labelled"]) + _log_likelihood(x["blocked"], x["labelled"])
+                     - _log_likelihood(blocked, labelled))
+        alone = F.struct(F.array(x["head"]).alias("heads"), x["blocked"].alias("blocked"), x["labelled"].alias("labelled"))
+        joined = F.struct(F.concat(last["heads"], F.array(x["head"])).alias("heads"), blocked.alias("blocked"),
+                          labelled.alias("labelled"))
+        return (F.when(F.size(done) == 0, F.array(alone))
+                .when(ratio >= APART, F.concat(done, F.array(alone)))
+                .otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))))
+
+    return F.aggregate(siblings, zero, add)
+
+
+def merged_level(placed: DataFrame, level: int) -> DataFrame:
+    """Rename segment `level` of each template to the names of the siblings that it is merged with, joined by `|`.
+
+    Siblings merge if the templates below them are the same and their labelled
+    rates don't differ. Those without a label join a single class, and stand by
+    themselves beside several.
     """
-    placed = settle(templates(shapes), "templates").withColumn("_head", F.coalesce(F.get("template", F.lit(0)), F.lit("")))
-    rest = F.concat_ws("/", F.slice("template", F.lit(2), F.greatest(F.size("template"), F.lit(1)))).alias("_rest")
-    leaves = placed.groupBy("host", "_head", rest).agg(*[F.sum(c).alias(c) for c in ("n", "allowed", "blocked")])
-    whole = F.sum("n").over(Window.partitionBy("host", "_head"))
-    # Shares of 5 % bound a signature to twenty templates.
-    branches = leaves.withColumn("_share", F.col("n") / whole).groupBy("host", "_head").agg(
-        F.array_sort(F.collect_set(F.when(F.col("_share") >= 0.05, F.col("_rest")))).alias("_signature"),
-        *[F.sum(c).alias(c) for c in ("allowed", "blocked")])
-    branches = settle(branches, "branches")
+    counts = ("n", "allowed", "blocked")
+    deep = F.size("template") >= level
+    prefix, head = F.slice("template", 1, level - 1), F.get("template", F.lit(level - 1))
+    rest = F.concat_ws("/", F.slice("template", level + 1, F.greatest(F.size("template"), F.lit(1))))
+    keyed = placed.withColumns({"_prefix": prefix, "_head": F.coalesce(head, F.lit(""))})
+    below = keyed.filter(deep).groupBy("host", "_prefix", "_head", rest.alias("_rest")).agg(
+        *[F.sum(c).alias(c) for c in counts])
+    whole = F.sum("n").over(Window.partitionBy("host", "_prefix", "_head"))
+    branches = below.withColumn("_share", F.col("n") / whole).groupBy("host", "_prefix", "_head").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_share") >= SIGNATURE_SHARE, F.col("_rest")))).alias("_signature"),
+        *[F.sum(c).cast("double").alias(c) for c in counts])
+    labelled = F.col("allowed") + F.col("blocked")
+    known = F.struct((F.col("blocked") / labelled).alias("rate"), F.col("_head").alias("head"),
+                     F.col("blocked").alias("blocked"), labelled.alias("labelled"))
+    groups = branches.groupBy("host", "_prefix", "_signature").agg(
+        F.array_sort(F.collect_list(F.when(labelled > 0, known))).alias("_known"),
+        F.array_sort(F.collect_list(F.when(labelled == 0, F.col("_head")))).alias("_silent"))
+    classes = groups.withColumn("_classes", F.transform(_classes(F.col("_known")), lambda c: c["heads"]))
+    silent = F.when(F.size("_silent") > 0, F.array("_silent")).otherwise(F.array().cast("array<array<string>>"))
+    classes = classes.withColumn("_classes", F.when(
+        F.size("_classes") == 1, F.array(F.concat(F.get("_classes", F.lit(0)), F.col("_silent")))).otherwise(
+        F.concat("_classes", silent)))
+    names = (classes.select("host", "_prefix", F.explode("_classes").alias("_heads"))
+             .select("host", "_prefix", F.explode("_heads").alias("_head"),
+                     F.concat_ws("|", F.array_sort("_heads")).alias("_name")))
+    # A segment that isn't merged keeps its name, so only the others are looked up.
+    changed = names.filter(F.col("_name") != F.col("_head"))
+    template = F.when(F.col("_name").isNull() | ~deep, F.col("template")).otherwise(F.concat(
+        "_prefix", F.array("_name"), F.slice("template", level + 1, F.greatest(F.size("template"), F.lit(1)))))
+    return settle(keyed.join(changed, ["host", "_prefix", "_head"], "left").withColumn("template", template)
+                  .drop("_prefix", "_head", "_name"), "merged")
+
+
+def smoothed_rates(leaves: DataFrame) -> DataFrame:
+    """Rate of blocked addresses of each template (`host`, `template`, `n`, `allowed`, `blocked`): add `purity`.
+
+    Counts are added up at every node. From the root downwards the rate of a node
+    is smoothed towards its parent's; a node with all of its parent's addresses
+    brings nothing new and has its parent's rate.
+    """
+    # The end of a path is a child of its own beside longer paths. No segment is empty.
+    ended = leaves.withColumn("_path", F.concat("template", F.array(F.lit(""))))
+    size = F.size("_path")
+    steps = ended.select("*", F.explode(F.sequence(F.lit(0), size)).alias("_level")).withColumn(
+        "_node", F.slice("_path", 1, F.col("_level")))
+    counts = [F.sum(c).cast("double").alias(f"_{c}") for c in ("n", "allowed", "blocked")]
+    nodes = settle(steps.groupBy("host", "_node").agg(F.count(F.lit(1)).alias("_leaves"), *counts), "nodes")
     # One row: the rate over all hosts.
-    total = branches.agg(F.sum("blocked").alias("b"), F.sum(F.col("allowed") + F.col("blocked")).alias("l")).first()
+    total = nodes.filter(F.size("_node") == 0).agg(
+        F.sum("_blocked").alias("b"), F.sum(F.col("_allowed") + F.col("_blocked")).alias("l")).first()
     base = total["b"] / total["l"] if total["l"] else 0.0
-    hosts = (branches.groupBy("host").agg(F.sum("blocked").alias("_hb"), F.sum(F.col("allowed") + F.col("blocked")).alias("_hl"))
-             .select("host", ((F.col("_hb") + PRIOR_WEIGHT * base) / (F.col("_hl") + PRIOR_WEIGHT)).alias("_prior")))
-    labelled = F.col("allowed") + F.col("blocked")
-    rated = branches.join(hosts, "host").withColumns({
-        "_labelled": labelled.cast("double"),
-        "_rate": (F.col("blocked") + PRIOR_WEIGHT * F.col("_prior")) / (labelled + PRIOR_WEIGHT)})
-    order = Window.partitionBy("host", "_signature").orderBy("_rate", "_head")
-    # A branch without labels has nothing to differ by, and separates nobody.
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    known = F.col("_labelled") > 0
-    last_rate, last_count = (F.last(F.when(known, F.col(c)), ignorenulls=True).over(earlier) for c in ("_rate", "_labelled"))
-    middle = (F.col("_rate") + last_rate) / 2
-    spread = F.sqrt(middle * (1 - middle) * (1 / (F.col("_labelled") + PRIOR_WEIGHT) + 1 / (last_count + PRIOR_WEIGHT)))
-    apart = known & (F.col("_rate") - last_rate > DEVIATIONS * spread)
-    merged = rated.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn(
-        "_branch", F.sum("_new").over(order))
-    purity = merged.groupBy("host", "_signature", "_branch").agg(
-        F.array_sort(F.collect_list("_head")).alias("_heads"),
-        ((F.sum("blocked") + PRIOR_WEIGHT * F.first("_prior")) / (F.sum("_labelled") + PRIOR_WEIGHT)).alias("purity"))
-    verdicts = purity.select("host", F.explode("_heads").alias("_head"), F.concat_ws("|", "_heads").alias("_names"), "purity")
-    name = F.concat(F.lit("/"), F.col("_names"), F.when(F.size("template") > 1, F.lit("/")).otherwise(F.lit("")), rest)
-    return placed.join(verdicts, ["host", "_head"]).select(
-        "host", "shape", name.alias("template"), "purity",
+    chain = join_uneven(steps.select("host", "template", "_level", "_node"), nodes, ["host", "_node"], "_leaves")
+    step = F.struct("_level", F.col("_n").alias("n"), F.col("_blocked").alias("b"), (F.col("_allowed") + F.col("_blocked")).alias("l"))
+    start = F.struct(F.lit(-1.0).alias("n"), F.lit(base).alias("rate"))
+
+    def down(above: Column, x: Column) -> Column:
+        rate = (x["b"] + PRIOR_WEIGHT * above["rate"]) / (x["l"] + PRIOR_WEIGHT)
+        return F.struct(x["n"].alias("n"), F.when(x["n"] == above["n"], above["rate"]).otherwise(rate).alias("rate"))
+
+    return chain.groupBy("host", "template").agg(F.array_sort(F.collect_list(step)).alias("_steps")).select(
+        "host", "template", F.aggregate("_steps", start, down, lambda last: last["rate"]).alias("purity"))
+
+
+def judged_templates(shapes: DataFrame) -> DataFrame:
+    """Rate of blocked addresses and verdict of every shape: `host`, `shape`, `template`, `purity`, `_judged`.
+
+    `shapes` has `host`, `shape`, `n` and the labelled counts `allowed` and `blocked`.
+    """
+    placed = settle(templates(shapes), "templates")
+    deepest = placed.agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(deepest, 0, -1):
+        placed = merged_level(placed, level)
+    leaves = settle(placed.groupBy("host", "template").agg(
+        *[F.sum(c).alias(c) for c in ("n", "allowed", "blocked")], F.count(F.lit(1)).alias("_shapes")), "leaves")
+    rates = smoothed_rates(leaves.drop("_shapes")).join(leaves.select("host", "template", "_shapes"), ["host", "template"])
+    named = join_uneven(placed.select("host", "shape", "template"), rates, ["host", "template"], "_shapes")
+    return named.select(
+        "host", "shape", F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "purity",
         F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")).alias("_judged"))
 
 
