@@ -8,18 +8,19 @@ byte is labelled once, with context around it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktrace.llm.common import remainder, slices, texts
+from blocktrace.llm.common import bounded, remainder, slices, texts
 from blocktrace.llm.recurrent import ByteNetwork, train
 
-#: Labelled documents that the network is fitted on, chosen by a hash of their id.
-TRAINING_DOCUMENTS = 3000
+#: Labelled documents that the network is fitted on, in turn from each language by a hash of their id, and windows of each.
+TRAINING_DOCUMENTS, TRAINING_WINDOWS = 3000, 8
 WINDOW, CONTEXT = 160, 16
 HIDDEN, STEPS, BATCH = 8, 160, 96
 UNKNOWN = "und"
@@ -36,11 +37,12 @@ def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return data[at], inner[None, :] & (at - CONTEXT < len(raw))
 
 
-def fit(samples: list[tuple[str, str]], labels: list[str], seed: int = 7) -> ByteNetwork:
-    """Train on windows of (text, language) pairs, all languages in equal parts."""
+def fit(samples: list[tuple[str | bytes, str]], labels: list[str], seed: int = 7) -> ByteNetwork:
+    """Train on windows of (text or its bytes, language) pairs, all languages in equal parts."""
     draw = np.random.default_rng(seed)
     network = ByteNetwork.new(HIDDEN, len(labels), seed)
-    found = {label: [raw for text, lang in samples if lang == label and (raw := text.encode())] for label in labels}
+    found = {label: [raw for text, lang in samples if lang == label
+                     and (raw := text if isinstance(text, bytes) else text.encode())] for label in labels}
     usable = [label for label in labels if found[label]]
 
     def gradients(_: int) -> list[np.ndarray]:
@@ -79,21 +81,55 @@ def probabilities(found: list[str], network: ByteNetwork) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def detect_languages(docs: DataFrame, *, documents: int = TRAINING_DOCUMENTS) -> DataFrame:
+def training_windows(docs: DataFrame, documents: int, per_document: int) -> list[tuple[bytes, str]]:
+    """Seeded windows of labelled documents outside the held-out third, with their languages.
+
+    Ids are chosen first, from narrow rows: the languages take turns, so that
+    each of them is learned, however rare, while there are fewer than
+    `documents`. The tasks then cut windows out of the chosen texts, and only
+    those reach the driver: at most `documents * per_document * WINDOW` bytes.
+    """
+    lang = docs["lang"].cast("string").alias("lang")
+    known = docs.filter("length(text) > 0 AND lang IS NOT NULL").filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
+    place = Window.partitionBy("lang").orderBy("_order", "doc_id")
+    ids = (known.select(docs["doc_id"], lang, F.xxhash64(docs["doc_id"].cast("string")).alias("_order"))
+           .withColumn("_turn", F.dense_rank().over(place)).filter(F.col("_turn") <= documents).distinct()
+           .orderBy("_turn", "_order", "doc_id", "lang").limit(documents).select("doc_id", "lang"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part)):
+                raw = text.encode()
+                draw = np.random.default_rng(zlib.crc32(str(doc_id).encode()))
+                starts = draw.integers(max(1, len(raw) - WINDOW + 1), size=per_document if len(raw) > WINDOW else 1)
+                found.append([raw[start:start + WINDOW] for start in starts])
+            yield pa.record_batch([part.column("doc_id"), part.column("lang"), pa.array(found, pa.list_(pa.binary()))],
+                                  names=["doc_id", "lang", "windows"])
+
+    # Bounded by `documents`, so it may be sent to every executor.
+    chosen = bounded(known.select("doc_id", lang, "text").join(F.broadcast(ids), ["doc_id", "lang"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # Rows that repeat an id count once.
+    cuts = chosen.mapInArrow(cut, f"doc_id {kind}, lang string, windows array<binary>") \
+        .groupBy("doc_id", "lang").agg(F.max("windows").alias("windows"))
+    rows = cuts.select("doc_id", "lang", "windows").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]).to_pydict()
+    return [(raw, lang) for lang, found in zip(rows["lang"], rows["windows"]) for raw in found]
+
+
+def detect_languages(docs: DataFrame, *, documents: int = TRAINING_DOCUMENTS,
+                     per_document: int = TRAINING_WINDOWS) -> DataFrame:
     """Language of every document.
 
     Returns one row per row of `docs`: `doc_id`, `held_out` (crc32 of the id
     modulo 3 is 1; null ids are not), `lang_pred` (`und` for null texts and
-    texts without a letter) and `score` (0 for `und`). Learns from at most
-    `documents` rows with text and language outside the held-out third; without
-    any, all texts are `und`. An empty table gives no rows.
+    texts without a letter) and `score` (0 for `und`). Learns from
+    `per_document` windows of at most `documents` rows with text and language
+    outside the held-out third; without any, all texts are `und`. Equal texts
+    get equal languages. An empty table gives no rows.
     """
-    chosen = (docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
-              .select("text", docs["lang"].cast("string").alias("lang"),
-                      F.xxhash64(docs["doc_id"].cast("string")).alias("_order"), "doc_id")
-              .orderBy("_order", "doc_id", "text").limit(documents).toArrow().to_pydict())
-    samples = list(zip(chosen["text"], chosen["lang"]))
-    labels = sorted(set(chosen["lang"]))
+    samples = training_windows(docs, documents, per_document)
+    labels = sorted({lang for _, lang in samples})
     network = fit(samples, labels) if labels else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
