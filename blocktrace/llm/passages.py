@@ -6,16 +6,23 @@ that start in some stretch of `passage - gram + 1` words. Equal passages of
 `passage` words contain the same minimiser at the same place, so:
 
 1. A minimiser gram that only one text has starts no common suffix; it goes.
-2. At the others, the suffix is extended to the left over all starts for which
-   it is the minimiser, and every such start is compared on its first `passage`
-   words. Equal entries stand next to each other in suffix order, so a sorted
-   aggregate over these words tells which entries have an equal neighbour from
-   another text, and which text is the first.
-3. Matching starts that overlap are joined, which extends the match to the left
-   and right to its full length.
-
-Step 2 misses nothing, whatever the neighbours beyond `passage` words are.
-Copies of a whole text are one text from the start.
+2. At the others, one suffix is kept for each place: the words to its right and
+   left that passages with this minimiser reach. Equal ones of several texts
+   become one row.
+3. The rows are sorted by the words of the suffix, and each is compared with its
+   two neighbours. No other row shares more words to the right than these do, so
+   the common prefix tells which passages no row but this one can have: they are
+   matched if several texts have the row, and dropped if not.
+4. The other passages reach as far to the left as the minimiser lies behind their
+   start. They are extended to the left and compared as whole passages, since the
+   neighbour with the longest common prefix needn't be the one that also matches
+   to the left.
+5. Matching passages that overlap are joined, which extends a match to its full
+   length on both sides.
+
+Rows at the ends of a sorted chunk have a neighbour in another task; their
+passages all go through step 4. Copies of a whole text are one text from the
+start. Texts are told apart by 128-bit hashes, contexts and passages likewise.
 """
 
 from __future__ import annotations
@@ -26,14 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blocktrace.llm.common import WORD, bounded, fresh, hashed_words, mix64, settle, slices, without
+from blocktrace.llm.common import WORD, bounded, fresh, hashed_words, join_uneven, mix64, settle, slices
 
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
+#: A longer word stands in a suffix by its hash, in a form that is too long for a word that stands by itself.
+LONGEST_WORD = 32
+SUFFIX = "text_no long, doc_id long, place long, near int, far int, left binary, right binary, context binary"
+JUDGED = "context binary, near int, far int, passage binary, first_id long, low long, high long"
 
 
 def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -62,6 +74,10 @@ def anchors(hashes: np.ndarray, passage: int, gram: int) -> tuple[np.ndarray, np
     return places, grams[places].view(np.int64)
 
 
+def _text_id(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def _minimisers(docs: DataFrame, passage: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -74,50 +90,145 @@ def _minimisers(docs: DataFrame, passage: int, gram: int) -> DataFrame:
                                    pa.array(keys, pa.list_(pa.int64()))],
                                   names=["doc_id", "text_id", "words", "grams"])
 
-    text_id = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id")
-    return bounded(docs).select(docs["doc_id"].cast("long"), text_id, "text").mapInArrow(
-        run, "doc_id long, text_id long, words long, grams array<long>")
+    return bounded(docs).select(docs["doc_id"].cast("long"), _text_id().alias("text_id"), "text").mapInArrow(
+        run, "doc_id long, text_id binary, words long, grams array<long>")
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a schema of longs, ints and binaries."""
+    names, kinds = zip(*(field.split() for field in schema.split(", ")))
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.record_batch([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
 
+def _written(word: bytes) -> bytes:
+    """A word as it stands in a suffix, closed by a space."""
+    return word + b" " if len(word) <= LONGEST_WORD else b"#" + xxhash.xxh3_128_hexdigest(word).encode() + b" "
 
-def _entries(docs: DataFrame, wanted: DataFrame, passage: int, gram: int) -> DataFrame:
-    """Left-extended suffixes at shared minimisers: `doc_id`, `start`, `gram` and the hash of the first words."""
+
+def _suffixes(docs: DataFrame, wanted: DataFrame, passage: int, gram: int) -> DataFrame:
+    """One suffix for each minimiser at a shared gram, with the words that its passages reach.
+
+    Passages with the minimiser at `place` start `near` to `far` words before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            for doc_id, text, keys in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "grams"))):
-                hashes = hashed_words((text or "").encode())
-                _, found = anchors(hashes, passage, gram)
-                starts = np.flatnonzero(np.isin(found, np.array(keys, dtype=np.int64)))
-                prefixes = gram_hashes(hashes, passage)[starts].view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(starts), doc_id)), pa.array(starts),
-                                       pa.array(found[starts]), pa.array(prefixes)],
-                                      names=["doc_id", "start", "gram", "prefix"])
+            rows: list[tuple] = []
+            for text_no, doc_id, text, keys in zip(*(part.column(c).to_pylist()
+                                                     for c in ("text_no", "doc_id", "text", "grams"))):
+                raw = (text or "").encode()
+                places, found = anchors(hashed_words(raw), passage, gram)
+                words = list(map(_written, raw.split()))
+                firsts = np.flatnonzero(np.diff(places, prepend=-1))
+                lasts = np.append(firsts[1:], len(places)) - 1
+                held = np.isin(found[firsts], np.array(keys, dtype=np.int64))
+                for first, last in zip(firsts[held].tolist(), lasts[held].tolist()):
+                    place = int(places[first])
+                    left, right = b"".join(words[first:place]), b"".join(words[place:last + passage])
+                    near, far = place - last, place - first
+                    context = xxhash.xxh3_128_digest(b"%d %d " % (near, far) + left + right)
+                    rows.append((text_no, doc_id, place, near, far, left, right, context))
+            if rows:
+                yield _record(rows, SUFFIX)
+
+    read = bounded(docs).select(docs["doc_id"].cast("long"), _text_id().alias("text_id"), "text").join(
+        wanted, ["doc_id", "text_id"])
+    return read.select("text_no", "doc_id", "text", "grams").mapInArrow(run, SUFFIX)
 
-    read = docs.select(docs["doc_id"].cast("long"), "text").join(wanted, "doc_id")
-    return read.mapInArrow(run, "doc_id long, start long, gram long, prefix long")
 
+def common_words(one: bytes, other: bytes) -> int:
+    """Number of words that two suffixes begin with alike."""
+    count = 0
+    for a, b in zip(one.split(b" ")[:-1], other.split(b" ")[:-1]):
+        if a != b:
+            break
+        count += 1
+    return count
 
-def matched_starts(docs: DataFrame, passage: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Passages that another text has too, and the texts.
 
-    The first table has `doc_id`, `start` and `first_id`, the smallest id of a
-    document with these words; the second has `doc_id`, `words`, `speaker`
-    (smallest id with the same text) and `copies`. Only speakers are in the
-    first table.
+def _compared(contexts: DataFrame, passage: int) -> DataFrame:
+    """Contexts in suffix order, each held against its neighbours.
+
+    Gives a row without `passage` for offsets `near` to `far` that this context
+    alone has and several texts share, and a row for each offset at which another
+    context may have the passage, with the hash of that passage.
+    """
+
+    def judge(row: tuple, reach: int) -> Iterator[tuple]:
+        context, left, right, near, far, first_id, low, high = row
+        shared = max(near, passage - reach)
+        if low < high and near < shared:
+            yield context, near, min(shared - 1, far), None, first_id, low, high
+        if shared <= far:
+            words = (left + right).split(b" ")
+            for offset in range(shared, far + 1):
+                start = far - offset
+                digest = xxhash.xxh3_128_digest(b" ".join(words[start:start + passage]))
+                yield context, offset, offset, digest, first_id, low, high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The neighbours of the first and the last row may be in other tasks.
+        waiting, before, rows = None, passage, []
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if waiting is not None:
+                    after = common_words(waiting[2], row[2])
+                    rows += judge(waiting, max(before, after))
+                    before = after
+                waiting = row
+                if len(rows) >= 20_000:
+                    yield _record(rows, JUDGED)
+                    rows = []
+        if waiting is not None:
+            rows += judge(waiting, passage)
+        if rows:
+            yield _record(rows, JUDGED)
+
+    ordered = contexts.repartitionByRange("right", "left").sortWithinPartitions("right", "left")
+    return ordered.select("context", "left", "right", "near", "far", "first_id", "low", "high").mapInArrow(run, JUDGED)
+
+
+def matched_starts(docs: DataFrame, passage: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passages that another text has too, the distinct texts, and the rows.
+
+    The first table has `text_no`, `doc_id`, `first_start`, `last_start` and
+    `first_id`, the smallest id of a document with the passages that start there;
+    the second has one row per distinct text, `text_no`, `text_id`, `words`,
+    `speaker` (smallest id with the text) and `copies`; the third has `doc_id`
+    and `text_id` of every row. Passages are those of speakers.
     """
     held = settle(_minimisers(docs, passage, gram), "minimisers")
-    same = held.groupBy("text_id").agg(F.min("doc_id").alias("speaker"), F.count(F.lit(1)).alias("copies"))
-    same = settle(same.filter("speaker IS NOT NULL"), "copies")
-    posted = held.select("text_id", F.explode("grams").alias("gram"))
-    shared = posted.groupBy("gram").agg(F.min("text_id").alias("_low"), F.max("text_id").alias("_high")) \
-        .filter("_low < _high").select("gram")
-    wanted = (posted.join(shared, "gram").groupBy("text_id").agg(F.collect_set("gram").alias("grams"))
-              .join(same, "text_id").select(F.col("speaker").alias("doc_id"), "grams"))
-    entries = settle(_entries(docs, wanted, passage, gram), "suffixes")
-    neighbours = entries.groupBy("gram", "prefix").agg(
-        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last")).filter("first_id < _last").drop("_last")
-    found = entries.join(neighbours, ["gram", "prefix"]).select("doc_id", "start", "first_id")
-    return settle(found, "matches"), held.join(same, "text_id").select("doc_id", "words", "speaker", "copies")
+    same = held.groupBy("text_id").agg(F.min("doc_id").alias("speaker"), F.count(F.lit(1)).alias("copies"),
+                                       F.max("words").alias("words")).filter("speaker IS NOT NULL")
+    same = settle(same.withColumn("text_no", F.monotonically_increasing_id()), "copies")
+    spoken = same.select("text_id", F.col("speaker").alias("doc_id"), "text_no")
+    posted = settle(held.join(spoken, ["doc_id", "text_id"]).select(
+        "doc_id", "text_id", "text_no", F.explode("grams").alias("gram")), "posted")
+    shared = posted.groupBy("gram").agg(
+        F.min("text_no").alias("_low"), F.max("text_no").alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    shared = shared.filter("_low < _high").select("gram", "_rows")
+    wanted = join_uneven(posted, shared, ["gram"], "_rows").groupBy("doc_id", "text_id", "text_no").agg(
+        F.collect_set("gram").alias("grams"))
+    suffixes = settle(_suffixes(docs, wanted, passage, gram), "suffixes")
+    contexts = settle(suffixes.groupBy("context", "left", "right", "near", "far").agg(
+        F.min("doc_id").alias("first_id"), F.min("text_no").alias("low"), F.max("text_no").alias("high")), "contexts")
+    judged = settle(_compared(contexts, passage), "compared")
+    extended = judged.filter("passage IS NOT NULL").select("context", "near", "far", "passage")
+    matched = judged.filter("passage IS NOT NULL").groupBy("passage").agg(
+        F.min("first_id").alias("first_id"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.count(F.lit(1)).alias("_contexts")).filter("low < high").drop("low", "high")
+    spans = judged.filter("passage IS NULL").select("context", "near", "far", "first_id").union(
+        join_uneven(extended, matched, ["passage"], "_contexts").select("context", "near", "far", "first_id"))
+    # One row per context, so that a context of many texts can be told and split.
+    spans = spans.groupBy("context").agg(F.collect_list(F.struct("near", "far", "first_id")).alias("spans"))
+    weights = suffixes.groupBy("context").agg(F.count(F.lit(1)).alias("_members"))
+    members = join_uneven(suffixes.select("text_no", "doc_id", "place", "context"), spans.join(weights, "context"),
+                          ["context"], "_members")
+    found = members.select("text_no", "doc_id", "place", F.inline("spans")).select(
+        "text_no", "doc_id", (F.col("place") - F.col("far")).alias("first_start"),
+        (F.col("place") - F.col("near")).alias("last_start"), "first_id")
+    return settle(found, "matches"), same, held.select("doc_id", "text_id")
 
 
 def repeated_passages(docs: DataFrame, *, passage: int = 50, gram: int = 20) -> DataFrame:
@@ -129,41 +240,42 @@ def repeated_passages(docs: DataFrame, *, passage: int = 50, gram: int = 20) ->
     A text that another document repeats whole is one run. Null and shorter
     texts have none, nor have rows with a null id; words that a document
     repeats only in itself are no match. Rows that repeat an id with one text
-    count as copies. An empty table gives no rows.
+    count as copies; with different texts each is a document of its own. An
+    empty table gives no rows.
     """
-    found, written = matched_starts(docs, passage, gram)
-    order = Window.partitionBy("doc_id").orderBy("start")
-    fresh = (F.col("start") > F.coalesce(F.lag("start").over(order) + passage, F.lit(-1))).cast("int")
-    numbered = (found.groupBy("doc_id", "start").agg(F.min("first_id").alias("first_id"))
-                .withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order)))
-    runs = numbered.groupBy("doc_id", "_run").agg(
-        F.min("start").alias("start_word"), (F.max("start") + passage).alias("end_word"),
-        F.min("first_id").alias("first_id")).withColumnRenamed("doc_id", "speaker")
-    single = (written.filter("copies = 1").join(runs, "speaker")
-              .select("doc_id", "start_word", "end_word", "first_id"))
+    found, same, rows = matched_starts(docs, passage, gram)
+    order = Window.partitionBy("text_no").orderBy("first_start", "last_start")
+    # Starts of one text lie in spans that don't overlap.
+    new = (F.col("first_start") > F.coalesce(F.lag("last_start").over(order) + passage, F.lit(-1))).cast("int")
+    runs = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy("text_no", "_run").agg(
+        F.min("first_start").alias("start_word"), (F.max("last_start") + passage).alias("end_word"),
+        F.min("first_id").alias("first_id"))
+    single = same.filter("copies = 1").join(runs, "text_no").select(
+        F.col("speaker").alias("doc_id"), "start_word", "end_word", "first_id")
     # A copied text is one run, whatever else its passages match.
-    earliest = runs.groupBy("speaker").agg(F.min("first_id").alias("_first"))
-    whole = (written.filter((F.col("copies") > 1) & (F.col("words") >= passage) & F.col("doc_id").isNotNull())
-             .join(earliest, "speaker", "left")
-             .select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"),
-                     F.least("speaker", F.coalesce("_first", "speaker")).alias("first_id")))
+    earliest = runs.groupBy("text_no").agg(F.min("first_id").alias("_first"))
+    copied = same.filter((F.col("copies") > 1) & (F.col("words") >= passage)).join(earliest, "text_no", "left").select(
+        "text_id", "copies", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"),
+        F.least("speaker", F.coalesce("_first", "speaker")).alias("first_id"))
+    whole = join_uneven(rows.filter("doc_id IS NOT NULL"), copied, ["text_id"], "copies").select(
+        "doc_id", "start_word", "end_word", "first_id")
     return single.union(whole).select(
         "doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_id")
 
 
 @F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
-    """Texts without the words that passages at `starts` cover, and without the white space after each."""
+def _without(texts: pd.Series, firsts: pd.Series, lasts: pd.Series, lengths: pd.Series) -> pd.Series:
+    """Texts without the words of passages that start in the spans, and without the white space after each."""
     out = []
-    for text, places, length in zip(texts, starts, lengths):
-        if places is None or text is None:
+    for text, first, last, length in zip(texts, firsts, lasts, lengths):
+        if first is None or text is None:
             out.append(text)
             continue
         raw = text.encode()
         words = [m.start() for m in WORD_BYTES.finditer(raw)]
         covered = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(covered, np.asarray(places, dtype=np.int64), 1)
-        np.add.at(covered, np.minimum(np.asarray(places, dtype=np.int64) + length, len(words)), -1)
+        np.add.at(covered, np.asarray(first, dtype=np.int64), 1)
+        np.add.at(covered, np.minimum(np.asarray(last, dtype=np.int64) + length, len(words)), -1)
         cut = np.cumsum(covered)[:-1] > 0
         edges = [*words, len(raw)]
         kept = [raw[:words[0]]] + [raw[edges[i]:edges[i + 1]] for i in np.flatnonzero(~cut)]
@@ -177,19 +289,30 @@ def without_repeats(docs: DataFrame, *, passage: int = 50, gram: int = 20) -> Da
     Returns the columns of `docs`. Words that a passage covers which a document
     with a smaller id has too are cut out, `n_chars` is counted anew, and a
     document that loses all its words goes, like a later copy of a whole text.
-    Other rows stay as they are, and their texts aren't shuffled as long as the
-    ids of those that change are few enough to be broadcast.
+    Rows with one id lose nothing on account of each other. Other rows stay as
+    they are, and their texts aren't shuffled as long as the ids of those that
+    change are few enough to be broadcast.
     """
-    found, written = matched_starts(docs, passage, gram)
-    starts, changed = fresh(docs, "_starts"), fresh(docs, "_changed")
-    later = settle(found.filter("first_id < doc_id").groupBy(F.col("doc_id").alias(changed))
-                   .agg(F.collect_set("start").alias(starts)), "later")
-    copied = (written.filter((F.col("doc_id") > F.col("speaker")) & (F.col("words") >= passage)).select("doc_id"))
-    rest = without(docs, copied)
-    same = without(rest, later.select(F.col(changed).alias("doc_id")))
-    text = _without("text", starts, F.lit(passage))
-    cut = bounded(rest.join(later, rest["doc_id"] == later[changed])).withColumn("text", text) \
-        .filter(F.col("text").rlike(WORD))
+    found, same, rows = matched_starts(docs, passage, gram)
+    starts, ends, own = fresh(docs, "_starts"), fresh(docs, "_ends"), fresh(docs, "_own_text")
+    later = found.filter("first_id < doc_id").groupBy("text_no", "doc_id").agg(
+        F.collect_list(F.struct("first_start", "last_start")).alias("_spans"))
+    later = settle(later.join(same.select("text_no", "text_id"), "text_no").select(
+        F.col("doc_id").alias("_changed_id"), F.col("text_id").alias("_changed_text"),
+        F.col("_spans.first_start").alias(starts), F.col("_spans.last_start").alias(ends)), "later")
+    copied = same.filter((F.col("copies") > 1) & (F.col("words") >= passage)).select("text_id", "speaker", "copies")
+    gone = join_uneven(rows.filter("doc_id IS NOT NULL"), copied, ["text_id"], "copies").filter("doc_id > speaker")
+    gone = settle(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_id").alias("_gone_text")).distinct(), "gone")
+    tagged = docs.withColumn(own, _text_id())
+
+    def keyed(side: DataFrame, name: str) -> Column:
+        return (tagged["doc_id"].cast("long") == side[f"_{name}_id"]) & (tagged[own] == side[f"_{name}_text"])
+
+    rest = tagged.join(gone, keyed(gone, "gone"), "left_anti")
+    unchanged = rest.join(later.select("_changed_id", "_changed_text"), keyed(later, "changed"), "left_anti")
+    cut = bounded(rest.join(later, keyed(later, "changed"))).select(
+        *[tagged[c] for c in docs.columns], later[starts], later[ends]).withColumn(
+            "text", _without("text", starts, ends, F.lit(passage))).filter(F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.union(cut.select(*docs.columns))
+    return unchanged.select(*docs.columns).union(cut.select(*docs.columns))
