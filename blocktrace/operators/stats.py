@@ -119,11 +119,14 @@ def top_share(profile: DataFrame, share: float = 0.01) -> DataFrame:
 
 
 def interval_mean(profile: DataFrame) -> DataFrame:
-    """Mean rewrite interval: a block's intervals add up to its write span."""
+    """Mean rewrite interval: a block's intervals add up to its write span.
+
+    Spans of years over 50,000 blocks add up to more than a long holds, so they are summed as decimals.
+    """
     again = profile.filter(F.col("writes") > 1)
+    span = (F.col("last_write") - F.col("first_write")).cast("decimal(19,0)")
     return again.groupBy("trace_id").agg(
-        (F.sum(F.col("last_write") - F.col("first_write")) / F.sum(F.col("writes") - 1))
-        .alias("mean_rewrite_interval_us"))
+        (F.sum(span) / F.sum(F.col("writes") - 1)).cast("double").alias("mean_rewrite_interval_us"))
 
 
 def interval_summary(trace: DataFrame, profile: DataFrame) -> DataFrame:
