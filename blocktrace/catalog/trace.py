@@ -340,8 +340,10 @@ SELECT split, count(*) AS n, sum(target)::BIGINT AS target_sum, min(timestamp) A
        max(timestamp) AS last_ts FROM sp GROUP BY split""")
 def win8(spark, folder):
     pooled = splits.pool_splits(split_samples(spark, folder, multi=True))
+    # Targets are whole; past 2^53 a sum of doubles depends on the order of the rows.
+    whole = F.col("target").cast("decimal(19,0)")
     return pooled.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("target").cast("bigint").alias("target_sum"),
+        F.count(F.lit(1)).alias("n"), F.sum(whole).cast("bigint").alias("target_sum"),
         F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
