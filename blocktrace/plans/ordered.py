@@ -160,15 +160,24 @@ def with_ordinal(df: DataFrame, keys: list[str], order: list[str], alias: str) -
     return ordered_columns(df, keys, order, running={alias: F.lit(1).cast("long")})
 
 
-#: Slots per key that a prefix is searched in.
+#: Slots per key that a prefix is searched in; a power of two.
 SLOTS = 256
 
 
-def _slots(rows: DataFrame, keys: list[str], column: str) -> tuple[DataFrame, Column]:
-    """Rows with the bounds between the slots of their key (`_cuts`), and the slot of a row."""
+def _slots(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows with the number of their `_slot`: how many bounds between the slots of their key are below the value.
+
+    The bounds are in order, so a row finds its slot by halving. Each step is a column of its own: in one
+    expression, every step would be computed again by the steps after it.
+    """
     shares = [i / SLOTS for i in range(1, SLOTS)]
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, shares).alias("_cuts"))
-    return attach(rows, cuts, keys), F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut < F.col(column)))
+    placed, step = attach(rows, cuts, keys).withColumn("_slot", F.lit(0)), SLOTS // 2
+    while step:
+        below = F.try_element_at("_cuts", F.col("_slot") + step) < F.col(column)
+        placed = placed.withColumn("_slot", F.col("_slot") + F.when(below, step).otherwise(0))
+        step //= 2
+    return placed.drop("_cuts")
 
 
 def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
@@ -186,11 +195,7 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
         raise ValueError("give exactly one of n and fraction")
     rows = df if scanned(df) else settle(df, "rows")
     narrow = rows.select(*dict.fromkeys([*keys, *order]))
-    if coarse:
-        slot = F.struct(*order[:coarse])
-    else:
-        narrow, slot = _slots(narrow, keys, order[0])
-    narrow = narrow.withColumn("_slot", slot).drop("_cuts")
+    narrow = narrow.withColumn("_slot", F.struct(*order[:coarse])) if coarse else _slots(narrow, keys, order[0])
     counts = settle(narrow.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_held")), "slots")
     whole, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
     total = F.sum("_held").over(whole)
@@ -210,8 +215,7 @@ def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], *,
 def _ranked_slots(counts: DataFrame, totals: DataFrame, keys: list[str], value: str,
                   shares: list[float]) -> DataFrame:
     """Rows of a histogram (`_n`) in the slots that hold a wanted rank, with the number of values before each."""
-    narrow, slot = _slots(counts, keys, value)
-    narrow = narrow.withColumn("_slot", slot).drop("_cuts")
+    narrow = _slots(counts, keys, value)
     held = settle(narrow.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_held")), "slots")
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = held.withColumn("_ahead", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blocktrace.operators.splits import chronological_split
 from blocktrace.plans.layout import CHUNK, TASK_ROWS_CONF, chunk_count, with_chunk
-from blocktrace.plans.ordered import ordered_columns, ordered_prefix, percentiles, with_ordinal
+from blocktrace.plans.ordered import SLOTS, _slots, ordered_columns, ordered_prefix, percentiles, with_ordinal
 from blocktrace.plans.storage import settle
 
 
@@ -152,3 +152,16 @@ def test_split_shares_are_checked(spark):
     for shares in ((0.0, 0.2), (0.5, 1.0), (0.8, 0.2)):
         with pytest.raises(ValueError):
             chronological_split(table, *shares)
+
+
+def test_slots_are_found_without_a_look_at_every_bound(spark):
+    """Each row's slot is the number of bounds below its value; nulls come first; no list is gone through."""
+    rows = [("a", float(i * i % 997)) for i in range(2000)] + [("b", 5.0), ("b", None), ("c", None)]
+    table = settle(spark.createDataFrame(rows, "k string, v double"))
+    placed = _slots(table, ["k"], "v")
+    assert "lambda" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    shares = [i / SLOTS for i in range(1, SLOTS)]
+    cuts = {r["k"]: r["c"] or [] for r in table.groupBy("k").agg(F.percentile_approx("v", shares).alias("c")).collect()}
+    got = [(r["k"], r["v"], r["_slot"]) for r in placed.collect()]
+    assert len(got) == len(rows)
+    assert all(slot == (0 if v is None else sum(cut < v for cut in cuts[k])) for k, v, slot in got)
