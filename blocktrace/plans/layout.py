@@ -8,7 +8,8 @@ or of a tied value, and chunk numbers never decrease in the row order. Chunks
 are computed separately and stitched together afterwards (see ``ordered.py``).
 
 The number of chunks follows the row count alone, not the keys: a table that one
-task may order is one chunk. Spark compares the columns in their own types, so
+task may order is one chunk. Where no key is heavy, whole keys are dealt to that number of tasks
+instead, and there is nothing to stitch. Spark compares the columns in their own types, so
 neighbouring large numbers stay apart.
 """
 
@@ -39,6 +40,22 @@ def chunk_count(spark: SparkSession, rows: int) -> int:
     return 1 if rows <= most else max(spark.sparkContext.defaultParallelism, math.ceil(2 * rows / most))
 
 
+#: Sampled rows that a heavy key has on average: one of an eighth of what a task may order.
+HEAVY_SEEN = 100
+
+
+def heavy_key(df: DataFrame, keys: list[str]) -> bool:
+    """True if a key looks too heavy to be ordered in one task beside others.
+
+    Keys are counted in a sample, in which a heavy key has about `HEAVY_SEEN` rows. The answer
+    only chooses between two layouts that give the same rows.
+    """
+    fraction = min(1.0, 8 * HEAVY_SEEN / task_rows(df.sparkSession))
+    seen = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=1)
+    most = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return most / fraction > task_rows(df.sparkSession) / 8
+
+
 def with_chunk(df: DataFrame, keys: list[str], order: list[str], chunks: int) -> DataFrame:
     """Add the number of its chunk to each row.
 

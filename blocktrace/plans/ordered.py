@@ -2,7 +2,8 @@
 
 ``ordered_columns`` answers, for each row, questions about the rows before and
 after it in its key: running sums, the last few values, the first value, the
-next value. Rows are cut into ordered chunks; each part of a key in a chunk is
+next value. Where no key is heavy, keys are shuffled and windowed whole.
+Otherwise rows are cut into ordered chunks; each part of a key in a chunk is
 windowed by itself and written. Only keys that go over the edge of a chunk are
 completed, from a summary with at most two rows per chunk that is broadcast, so
 no task ever holds a whole hot key and no summary of all keys is shuffled.
@@ -15,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blocktrace.plans.layout import CHUNK, chunk_count, with_chunk
+from blocktrace.plans.layout import CHUNK, chunk_count, heavy_key, with_chunk
 from blocktrace.plans.storage import attach, counted, scanned, settle, settle_counted
 
 
@@ -49,9 +50,13 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
     first, following = dict(first or {}), dict(following or {})
     stored, rows = counted(df)
     chunks = chunk_count(stored.sparkSession, rows)
-    # A single chunk has no edges: nothing is cut, written or completed.
-    df = stored if chunks == 1 else with_chunk(stored, keys, order, chunks)
-    parts = keys if chunks == 1 else [*keys, CHUNK]
+    # A single chunk, and chunks of whole keys, have no edges: nothing is cut, written or completed.
+    cut = chunks > 1 and heavy_key(stored, keys)
+    if cut:
+        df = with_chunk(stored, keys, order, chunks)
+    else:
+        df = stored if chunks == 1 else stored.repartition(chunks, *keys)
+    parts = [*keys, CHUNK] if cut else keys
     weights = {alias: f"_w_{alias}" for alias in running}
     for alias, weight in running.items():
         df = df.withColumn(weights[alias], weight)
@@ -72,7 +77,7 @@ def ordered_columns(df: DataFrame, keys: list[str], order: list[str], *,
         columns[alias] = F.first(column).over(ahead.rowsBetween(Window.unboundedPreceding, 0))
     for alias, column in following.items():
         columns[alias] = F.lead(F.struct(F.col(column).alias("v"))).over(ahead)
-    if chunks == 1:
+    if not cut:
         columns |= {alias: columns[alias]["v"] for alias in following}
         return df.withColumns(columns).drop(*weights.values())
     out = settle(df.withColumns(columns), "ordered")

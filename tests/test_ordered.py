@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocktrace.operators.splits import chronological_split
-from blocktrace.plans.layout import CHUNK, TASK_ROWS_CONF, chunk_count, with_chunk
+from blocktrace.plans.layout import CHUNK, TASK_ROWS_CONF, chunk_count, heavy_key, with_chunk
 from blocktrace.plans.ordered import SLOTS, _slots, ordered_columns, ordered_prefix, percentiles, with_ordinal
 from blocktrace.plans.storage import settle
 
@@ -165,3 +165,19 @@ def test_slots_are_found_without_a_look_at_every_bound(spark):
     got = [(r["k"], r["v"], r["_slot"]) for r in placed.collect()]
     assert len(got) == len(rows)
     assert all(slot == (0 if v is None else sum(cut < v for cut in cuts[k])) for k, v, slot in got)
+
+
+def test_whole_keys_are_dealt_where_none_is_heavy(spark):
+    """300 rows over 100 keys, of which a task may order 40: no chunk is cut or written."""
+    spark.conf.set(TASK_ROWS_CONF, "40")
+    try:
+        table = settle(spark.range(300).select((F.col("id") % 100).alias("k"), F.col("id").alias("i")))
+        assert not heavy_key(table, ["k"]) and heavy_key(table.withColumn("k", F.lit(1)), ["k"])
+        got = ordered_columns(table, ["k"], ["i"], running={"n": F.lit(1).cast("long")}, past={"before": ("i", 1)},
+                              first={"head": "i"}, following={"next": "i"})
+        assert CHUNK not in got._jdf.queryExecution().analyzed().toString()
+        assert sorted(tuple(r) for r in got.collect()) == [
+            (i % 100, i, i // 100, [i - 100] if i >= 100 else [], i % 100, i + 100 if i < 200 else None)
+            for i in sorted(range(300), key=lambda i: (i % 100, i))]
+    finally:
+        spark.conf.unset(TASK_ROWS_CONF)
