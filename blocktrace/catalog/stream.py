@@ -65,9 +65,18 @@ class Replay:
             self.once(writer)
 
     def once(self, writer) -> None:
-        """Process what has arrived."""
-        running = writer.option("checkpointLocation", self.log).trigger(availableNow=True).start()
-        running.awaitTermination()
+        """Process what has arrived.
+
+        Each partition of a state writes files in every micro-batch, so there are no more of them than cores.
+        """
+        setting, cores = "spark.sql.shuffle.partitions", self.spark.sparkContext.defaultParallelism
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(min(int(before), cores)))
+        try:
+            running = writer.option("checkpointLocation", self.log).trigger(availableNow=True).start()
+            running.awaitTermination()
+        finally:
+            self.spark.conf.set(setting, before)
         # Rows that came after the watermark had passed them.
         self.dropped += sum(state["numRowsDroppedByWatermark"] for progress in running.recentProgress
                             for state in progress["stateOperators"])

@@ -128,12 +128,13 @@ def assign_predictions_stream(writes: DataFrame, predictions: DataFrame, order:
     """Writes and predictions joined as both arrive, one prediction per write.
 
     The first prediction of a (trace, time, block) key in `order` serves the
-    first write of the key; all other writes are UNKNOWN. Both sides wait until
-    the watermark, `delay` behind the newest times of the slower side, has
-    passed their time: then the key's first rows are known, are joined, and
-    leave the state. A row that comes later than that is dropped, and counted
-    as such in the progress of the query; a late prediction leaves its write
-    UNKNOWN.
+    first write of the key; all other writes are UNKNOWN. Both sides are one
+    stream, aggregated by key, so there is a single state: a row per key with
+    its best offer and its writes. It waits until the watermark, `delay` behind
+    the newest times of the slower side, has passed the time of the key, and
+    then leaves the state. A row that comes later than that is dropped, and
+    counted as such in the progress of the query; a late prediction leaves its
+    write UNKNOWN.
     """
     key = ["trace_id", "timestamp", "lba", "event_time"]
 
@@ -142,14 +143,16 @@ def assign_predictions_stream(writes: DataFrame, predictions: DataFrame, order:
         return rows.withColumn("event_time", clock).withWatermark("event_time", delay)
 
     offer = F.struct(order, "predicted_rewrite_interval", "predicted_class")
-    offers = timed(predictions).groupBy(*key).agg(F.min(offer).alias("_offer"))
-    firsts = timed(writes).groupBy(*key).agg(F.min("seq").alias("seq"))
-    served = firsts.join(offers, key, "left").select(
-        *key, "seq", F.col("_offer.predicted_rewrite_interval").alias("predicted_rewrite_interval"),
-        F.col("_offer.predicted_class").alias("_class"))
-    return (timed(writes.select("trace_id", "timestamp", "lba", "seq")).join(served, [*key, "seq"], "left")
-            .select("trace_id", "timestamp", "lba", "seq", "predicted_rewrite_interval",
-                    F.coalesce("_class", F.lit("UNKNOWN")).alias("temperature")))
+    asked = timed(writes).select(*key, F.struct("seq").alias("_write"))
+    # A key with a null matches nothing.
+    offered = timed(predictions).dropna(subset=["trace_id", "lba"]).select(*key, offer.alias("_offer"))
+    met = asked.unionByName(offered, allowMissingColumns=True).groupBy(*key).agg(
+        F.collect_list("_write").alias("_writes"), F.min("_offer").alias("_offer"))
+    placed = met.select(*key, "_offer", F.array_min("_writes.seq").alias("_first"), F.inline("_writes"))
+    served = F.when(F.col("seq") == F.col("_first"), F.col("_offer"))
+    return placed.select("trace_id", "timestamp", "lba", "seq",
+                         served["predicted_rewrite_interval"].alias("predicted_rewrite_interval"),
+                         F.coalesce(served["predicted_class"], F.lit("UNKNOWN")).alias("temperature"))
 
 
 def write_rate_stream(trace: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:

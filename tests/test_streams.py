@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from blocktrace.catalog.stream import Replay
@@ -87,3 +89,22 @@ def test_rule_state_goes_from_batch_to_batch(spark):
                    8: (0, None, "UNKNOWN")}
     versions = spark.read.parquet(f"{folder}/state").select("batch").distinct().collect()
     assert {r.batch for r in versions} == {1, 2}
+
+
+def test_predictions_meet_writes_in_one_state(spark):
+    """Two aggregations and two joins kept ten stores in each partition; one aggregation keeps one."""
+    source = Steps([{"writes": [("a", HOUR, 1, 10), ("a", HOUR, 1, 9)], "offers": [("a", HOUR, 1, 9.0, "HOT", 5)]},
+                    {"writes": [("a", 90 * HOUR, 9, 16)], "offers": [("a", 90 * HOUR, 8, 1.0, "HOT", 9)]}],
+                   writes=spark.createDataFrame([], WRITES), offers=spark.createDataFrame([], OFFERS))
+    joined = streams.assign_predictions_stream(source.stream("writes"), source.stream("offers"), "place")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = {r.seq: r.temperature for r in source.collect_append(joined).collect()}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows == {9: "HOT", 10: "UNKNOWN"}
+    states = list(Path(source.log, "state").iterdir())
+    assert [state.name for state in states] == ["0"]
+    assert len([part for part in states[0].iterdir() if part.name.isdigit()]) <= spark.sparkContext.defaultParallelism
