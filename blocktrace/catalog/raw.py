@@ -248,14 +248,13 @@ def src8(spark, folder):
 def src10(spark, folder):
     """One file per user; a third published correctly, half of them as SHA-256, a third wrongly, a third not at all."""
     events = table(spark, folder, "events")
-    path = new_folder(spark, "raw")
-    body = events.groupBy("user_id").agg(F.sum("event_id").cast("string").alias("value"))
-    body.repartition("user_id").write.partitionBy("user_id").text(path)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    user = F.regexp_extract("path", "user_id=(\\d+)", 1).cast("int")
-    name = workloads.file_name(F.col("path"), 2)
-    digest = F.when(user % 6 == 0, F.sha2("content", 256)).when(user % 3 == 0, F.md5("content")).otherwise(F.lit("0" * 32))
-    published = listed.filter(user % 3 < 2).select(F.concat(digest, F.lit("  *"), name).alias("value"))
+    path, user = new_folder(spark, "raw"), F.col("user_id")
+    name = F.concat(F.lit("users="), F.expr("user_id div 1000").cast("string"), F.lit("/"), user.cast("string"), F.lit(".txt"))
+    files = settle(events.groupBy("user_id").agg(F.concat(F.sum("event_id").cast("string"), F.lit("\n")).alias("value"))
+                   .withColumn("name", name), "files")
+    workloads.write_files(files.repartition("user_id"), path)
+    digest = F.when(user % 6 == 0, F.sha2("value", 256)).when(user % 3 == 0, F.md5("value")).otherwise(F.lit("0" * 32))
+    published = files.filter(user % 3 < 2).select(F.concat(digest, F.lit("  *"), "name").alias("value"))
     checksums = workloads.read_checksums(spark, _written(published))
     done = workloads.verify_checksums(spark, path, checksums, depth=2)
     return done.groupBy("status").agg(F.count(F.lit(1)).alias("files"))

@@ -80,21 +80,29 @@ def digests(files: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
         hashed, "path string, length long, md5 string, sha256 string")
 
 
-def write_files(names: DataFrame, folder: str) -> None:
-    """One small file for each `name` below `folder`, written by the tasks."""
+def write_files(files: DataFrame, folder: str) -> None:
+    """One small file for each `name` below `folder`, written by the tasks; it holds `value`, or else its name.
+
+    A name may have folders in front.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, place = fs.FileSystem.from_uri(_uri(folder))
+        made = set()
         for batch in batches:
-            system.create_dir(place, recursive=True)
-            for name in batch.column("name").to_pylist():
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                above = f"{place}/{name}".rpartition("/")[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 with system.open_output_stream(f"{place}/{name}", compression=None) as stream:
-                    stream.write(name.encode())
-            yield batch
+                    stream.write(value.encode())
+            yield batch.select(["name"])
 
-    names.select("name").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    value = "value" if "value" in files.columns else F.col("name").alias("value")
+    files.select("name", value).mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 def _uri(path: str) -> str:

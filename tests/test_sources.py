@@ -191,3 +191,14 @@ def test_synthetic_traffic_is_skewed(spark):
     for arguments in ((0, 0.5, 0.5), (10, 1.0, 0.5), (10, 0.5, 1.5)):
         with pytest.raises(ValueError):
             synthetic.skewed_writes(spark, 10, *arguments)
+
+
+def test_files_are_written_with_their_text_in_folders(spark, tmp_path):
+    """Many small files below few folders, as the checksum query writes them, are listed and verified."""
+    rows = [(f"part={i // 10}/{i}.txt", f"text {i}\n") for i in range(30)]
+    files = spark.createDataFrame(rows, "name string, value string")
+    workloads.write_files(files.repartition(3), str(tmp_path / "raw"))
+    assert {f"{p.parent.name}/{p.name}": p.read_text() for p in (tmp_path / "raw").rglob("*.txt")} == dict(rows)
+    published = files.select("name", F.sha2("value", 256).alias("expected"))
+    done = workloads.verify_checksums(spark, str(tmp_path / "raw"), published, depth=2).collect()
+    assert len(done) == 30 and {r["status"] for r in done} == {"OK"}
