@@ -202,3 +202,15 @@ def test_files_are_written_with_their_text_in_folders(spark, tmp_path):
     published = files.select("name", F.sha2("value", 256).alias("expected"))
     done = workloads.verify_checksums(spark, str(tmp_path / "raw"), published, depth=2).collect()
     assert len(done) == 30 and {r["status"] for r in done} == {"OK"}
+
+
+def test_rows_are_typed_before_they_are_ordered(spark, monkeypatch):
+    """What one task puts in order holds numbers, not their text, and no column that isn't returned."""
+    rows = [("5", "2", "1", " W ", "a", 0, 0, i) for i in range(3)] + [("x", "2", "1", "W", "a", 0, 0, 3)]
+    text = spark.createDataFrame(rows, "timestamp string, lba string, size string, operation string, trace_id string, "
+                                       "file_index int, block_start long, line_id long")
+    seen, ordinal = [], tables.with_ordinal
+    monkeypatch.setattr(tables, "with_ordinal", lambda df, *args: seen.append(dict(df.dtypes)) or ordinal(df, *args))
+    got = tables.typed_trace(tables.check_trace(text)).collect()
+    assert sorted(tuple(r) for r in got) == [(5, 2, 1, "W", i, "a") for i in range(3)]
+    assert seen[0]["timestamp"] == seen[0]["lba"] == "bigint" and not {"size", "reject_reason"} & set(seen[0])
