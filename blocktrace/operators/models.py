@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from blocktrace.functions.windows import window_features
 from blocktrace.operators.evaluate import label, regression_metrics, score, with_threshold
 from blocktrace.operators.intervals import build_sequences, write_events
 from blocktrace.operators.splits import chronological_prefix, chronological_split, hot_threshold
+from blocktrace.plans.layout import task_rows
 from blocktrace.plans.storage import settle, shared_folder
 from blocktrace.schemas import SAMPLE_ORDER
 
@@ -52,8 +54,10 @@ def make_estimator(model_type: str, seed: int, **overrides):
         settings = {"regParam": 0.0}
         return LinearRegression(**{**settings, **overrides})
     if model_type == "random_forest":
+        # The last two don't shape trees: they keep the node of each row instead of shipping and walking the
+        # grown trees for every group of nodes, and make fewer groups of them.
         settings = {"numTrees": 100, "maxDepth": 16, "minInstancesPerNode": 20,
-                    "featureSubsetStrategy": "0.5", "seed": seed}
+                    "featureSubsetStrategy": "0.5", "seed": seed, "cacheNodeIds": True, "maxMemoryInMB": 512}
         return RandomForestRegressor(**{**settings, **overrides})
     if model_type == "boosted_trees":
         settings = {"maxIter": MOST_ROUNDS, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8,
@@ -92,9 +96,6 @@ def boost(data: DataFrame, seed: int, patience: int = PATIENCE, **overrides) ->
     used up, the number of rounds doubles; equal seeds give equal first trees,
     so the outcome is that of growing all rounds and looking back.
     """
-    spark = data.sparkSession
-    # Lineage grows with every round; Spark cuts it here every ten.
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     most = overrides.pop("maxIter", MOST_ROUNDS)
     train, val = data.filter(~F.col("is_val")), data.filter("is_val")
     rounds = min(most, 2 * patience)
@@ -112,6 +113,16 @@ def with_features(samples: DataFrame) -> DataFrame:
         "label": F.log1p(F.greatest(F.col("target"), F.lit(0.0)))})
 
 
+def spread(data: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt evenly over all cores.
+
+    Each pass of a fit has as many tasks as its rows have partitions, and rows from
+    a plan that one task may order come in a single one.
+    """
+    spark = data.sparkSession
+    return data.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(rows / task_rows(spark))))
+
+
 def fit(model_type: str, split_samples: DataFrame, seed: int = 42, **overrides) -> FittedModel:
     """Fit on the training split; validation is used for early stopping only."""
     return fit_features(model_type, settle(with_features(split_samples), "features"), seed, **overrides)
@@ -129,7 +140,10 @@ def fit_features(model_type: str, features: DataFrame, seed: int = 42, **overrid
         raise ValueError("training split is empty")
     if model_type == "boosted_trees" and not sizes["val"]:
         raise ValueError("validation split is empty; early stopping needs it")
-    data = data.drop("inputs")
+    data = spread(data.drop("inputs"), sizes["train"] + sizes["val"])
+    # The lineage of boosted rounds and of node ids grows; Spark cuts it here every ten.
+    spark = features.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     if model_type == "boosted_trees":
         model = boost(data, seed, **overrides)
         return FittedModel(model_type, model, sizes["length"], sizes["train"], model.getNumTrees)
@@ -194,7 +208,8 @@ def score_models(split_samples: DataFrame, model_types: Iterable[str], seed: int
         part = predict(fitted, test).select(
             "trace_id", "target", "predicted", F.lit(fitted.model_type).alias("predictor"))
         scored = part if scored is None else scored.unionByName(part)
-    return score(label(scored, thresholds))
+    # Scores read the predictions several times.
+    return score(label(settle(scored, "predicted"), thresholds))
 
 
 #: Variants of a target's model, by what they are trained on.

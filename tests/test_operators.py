@@ -246,6 +246,29 @@ def test_models_learn_a_toy_task(spark):
         models.compare_transfer(samples, roles, "linear_regression")
 
 
+def test_fits_run_on_all_cores(spark, monkeypatch):
+    """Samples that come in one partition are dealt over all cores; kept node ids grow the same trees."""
+    rows = [("t", [float(1 + (i * 7 + j * 13) % 50) for j in range(4)], float(1 + i * i % 97), "train" if i % 3 else "val")
+            for i in range(3000)]
+    samples = spark.createDataFrame(rows, "trace_id string, inputs array<double>, target double, split string").coalesce(1)
+    made, real = [], models.make_estimator
+
+    def estimator(*args, **kwargs):
+        found = real(*args, **kwargs)
+        grow = found.fit
+        found.fit = lambda data: made.append([len(p) for p in data.rdd.glom().collect()]) or grow(data)
+        return found
+
+    monkeypatch.setattr(models, "make_estimator", estimator)
+    small = {"numTrees": 5, "maxDepth": 6}
+    kept = models.fit("random_forest", samples, **small)
+    walked = models.fit("random_forest", samples, cacheNodeIds=False, maxMemoryInMB=256, **small)
+    models.fit("boosted_trees", samples, patience=2, maxIter=2, maxDepth=2)
+    cores = spark.sparkContext.defaultParallelism
+    assert all(len(sizes) == cores and max(sizes) < 2 * 2000 / cores for sizes in made) and len(made) == 3
+    assert kept.model.toDebugString.split("\n")[1:] == walked.model.toDebugString.split("\n")[1:]
+
+
 def test_python_predictor(spark):
     double = windows.python_predictor(lambda values: values.map(lambda v: float(v[-1] * 2)))
     samples = spark.createDataFrame([("t", [1.0, 4.0], 2.0)], "trace_id string, inputs array<double>, target double")
