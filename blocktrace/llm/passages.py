@@ -7,8 +7,9 @@ that start in some stretch of `passage - gram + 1` words. Equal passages of
 
 1. A minimiser gram that only one text has starts no common suffix; it goes.
 2. At the others, one suffix is kept for each place: the words to its right and
-   left that passages with this minimiser reach. Equal ones of several texts
-   become one row.
+   left that passages with this minimiser reach. Equal ones of one text, as in a
+   line that it repeats thousands of times, are one row from the start; equal ones
+   of several texts become one row.
 3. The rows are sorted by the words of the suffix, and each is compared with its
    two neighbours. No other row shares more words to the right than these do, so
    the common prefix tells which passages no row but this one can have: they are
@@ -44,7 +45,8 @@ from blocktrace.llm.common import WORD, bounded, fresh, hashed_words, join_uneve
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A longer word stands in a suffix by its hash, in a form that is too long for a word that stands by itself.
 LONGEST_WORD = 32
-SUFFIX = "text_no long, doc_id long, place long, near int, far int, left binary, right binary, context binary"
+SUFFIX = ("text_no long, doc_id long, firsts array<long>, lasts array<long>, near int, far int, left binary, right binary, "
+          "context binary")
 JUDGED = "context binary, near int, far int, passage binary, first_id long, low long, high long"
 
 
@@ -95,9 +97,9 @@ def _minimisers(docs: DataFrame, passage: int, gram: int) -> DataFrame:
 
 
 def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    """Rows of a schema of longs, ints and binaries."""
+    """Rows of a schema of longs, lists of them, ints and binaries."""
     names, kinds = zip(*(field.split() for field in schema.split(", ")))
-    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    types = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "int": pa.int32(), "binary": pa.binary()}
     return pa.record_batch([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
 
 
@@ -107,9 +109,11 @@ def _written(word: bytes) -> bytes:
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, passage: int, gram: int) -> DataFrame:
-    """One suffix for each minimiser at a shared gram, with the words that its passages reach.
+    """One suffix for each text and each context of a minimiser at a shared gram, with the words that its passages reach.
 
-    Passages with the minimiser at `place` start `near` to `far` words before it.
+    Passages with the minimiser at a place start `near` to `far` words before it. The places of a context in its
+    text are given as runs, from `firsts` to `lasts`, in which each place is at most `passage` words after the one
+    before it: passages that start as far before each cover the words between without a gap.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +127,22 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, passage: int, gram: int) -> Da
                 firsts = np.flatnonzero(np.diff(places, prepend=-1))
                 lasts = np.append(firsts[1:], len(places)) - 1
                 held = np.isin(found[firsts], np.array(keys, dtype=np.int64))
+                runs: dict[bytes, tuple] = {}
                 for first, last in zip(firsts[held].tolist(), lasts[held].tolist()):
                     place = int(places[first])
                     left, right = b"".join(words[first:place]), b"".join(words[place:last + passage])
                     near, far = place - last, place - first
                     context = xxhash.xxh3_128_digest(b"%d %d " % (near, far) + left + right)
-                    rows.append((text_no, doc_id, place, near, far, left, right, context))
+                    if context not in runs:
+                        runs[context] = (text_no, doc_id, [place], [place], near, far, left, right, context)
+                        rows.append(runs[context])
+                        continue
+                    starts, ends = runs[context][2:4]
+                    if place - ends[-1] <= passage:
+                        ends[-1] = place
+                    else:
+                        starts.append(place)
+                        ends.append(place)
             if rows:
                 yield _record(rows, SUFFIX)
 
@@ -193,7 +207,9 @@ def matched_starts(docs: DataFrame, passage: int, gram: int) -> tuple[DataFrame,
     """Passages that another text has too, the distinct texts, and the rows.
 
     The first table has `text_no`, `doc_id`, `first_start`, `last_start` and
-    `first_id`, the smallest id of a document with the passages that start there;
+    `first_id`, the smallest id of a document with the passages that start there:
+    those passages cover all words from the first to the end of the last, though
+    in a text that repeats itself not each start between them need be one;
     the second has one row per distinct text, `text_no`, `text_id`, `words`,
     `speaker` (smallest id with the text) and `copies`; the third has `doc_id`
     and `text_id` of every row. Passages are those of speakers.
@@ -223,11 +239,12 @@ def matched_starts(docs: DataFrame, passage: int, gram: int) -> tuple[DataFrame,
     # One row per context, so that a context of many texts can be told and split.
     spans = spans.groupBy("context").agg(F.collect_list(F.struct("near", "far", "first_id")).alias("spans"))
     weights = suffixes.groupBy("context").agg(F.count(F.lit(1)).alias("_members"))
-    members = join_uneven(suffixes.select("text_no", "doc_id", "place", "context"), spans.join(weights, "context"),
+    members = join_uneven(suffixes.select("text_no", "doc_id", "firsts", "lasts", "context"), spans.join(weights, "context"),
                           ["context"], "_members")
-    found = members.select("text_no", "doc_id", "place", F.inline("spans")).select(
-        "text_no", "doc_id", (F.col("place") - F.col("far")).alias("first_start"),
-        (F.col("place") - F.col("near")).alias("last_start"), "first_id")
+    found = members.select("text_no", "doc_id", F.arrays_zip("firsts", "lasts").alias("_runs"), F.inline("spans")).select(
+        "text_no", "doc_id", "near", "far", "first_id", F.inline("_runs")).select(
+        "text_no", "doc_id", (F.col("firsts") - F.col("far")).alias("first_start"),
+        (F.col("lasts") - F.col("near")).alias("last_start"), "first_id")
     return settle(found, "matches"), same, held.select("doc_id", "text_id")
 
 
@@ -245,8 +262,9 @@ def repeated_passages(docs: DataFrame, *, passage: int = 50, gram: int = 20) ->
     """
     found, same, rows = matched_starts(docs, passage, gram)
     order = Window.partitionBy("text_no").orderBy("first_start", "last_start")
-    # Starts of one text lie in spans that don't overlap.
-    new = (F.col("first_start") > F.coalesce(F.lag("last_start").over(order) + passage, F.lit(-1))).cast("int")
+    # Spans of a text that repeats itself may overlap.
+    reached = F.max("last_start").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = (F.col("first_start") > F.coalesce(reached + passage, F.lit(-1))).cast("int")
     runs = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy("text_no", "_run").agg(
         F.min("first_start").alias("start_word"), (F.max("last_start") + passage).alias("end_word"),
         F.min("first_id").alias("first_id"))

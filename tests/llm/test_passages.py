@@ -82,5 +82,33 @@ def test_repeated_ids_are_told_apart(spark):
     assert sorted((r.doc_id, r.start_word) for r in alone) == [(1, 0), (2, 1)]
 
 
+def test_a_text_that_repeats_itself(spark):
+    """A line repeated in a text is a few suffixes, not one for each time; what is covered stays exact."""
+    draw = random.Random(8)
+    line, other, tail = prose(draw, 7), prose(draw, 90), prose(draw, 55)
+    rows = [(1, " ".join(line * 400 + tail)), (2, " ".join(other + line * 300)),
+            (3, " ".join(prose(draw, 30) + line * 20 + other[:60] + line * 20)), (4, " ".join(prose(draw, 20) + tail))]
+    want, first = covered(rows, 50)
+    docs = table(spark, rows)
+    made, real = {}, passages.settle
+    try:
+        passages.settle = lambda df, label: made.setdefault(label, real(df, label))
+        passages.matched_starts(docs, 50, 20)
+    finally:
+        passages.settle = real
+    assert made["suffixes"].count() < 80
+    got = defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        places = set(range(r.start_word, r.end_word))
+        assert not got[r.doc_id] & places
+        got[r.doc_id] |= places
+    assert got == {i: {k for _, k in places} for i, places in want.items()}
+    left = {r.doc_id: r.text.split() for r in passages.without_repeats(docs).collect()}
+    for i, text in rows:
+        w = text.split()
+        cut = {s + k for s in range(len(w) - 49) if first[tuple(w[s:s + 50])] < i for k in range(50)}
+        assert left.get(i, []) == [x for k, x in enumerate(w) if k not in cut]
+
+
 def test_common_words():
     assert passages.common_words(b"a b ", b"a b c ") == 2 and passages.common_words(b"ab ", b"a ") == 0
