@@ -332,7 +332,9 @@ def grid_search(trace: DataFrame, model_type: str, lengths: list[int],
         chosen = dict(zip(settings, values))
         fitted = fit_features(model_type, tables[length], seed, **chosen)
         val = tables[length].filter(F.col("split") == "val").drop("features", "label")
-        scored = predict(fitted, val).withColumn("predictor", F.lit(model_type))
+        scored = predict(fitted, val).select("target", "predicted", F.lit(model_type).alias("predictor"))
+        # Metrics read the predictions twice.
+        scored = settle(scored, "predicted")
         pooled = regression_metrics(scored, ["predictor"]).first()
         if pooled is None:
             raise ValueError(f"no validation samples for windows of {length}")
