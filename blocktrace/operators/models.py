@@ -309,7 +309,8 @@ def compare_transfer(split_samples: DataFrame, roles: DataFrame, model_type: str
     scored = tables[0]
     for table in tables[1:]:
         scored = scored.unionByName(table)
-    return score(scored)
+    # Scores read the predictions several times.
+    return score(settle(scored, "predicted"))
 
 
 def grid_search(trace: DataFrame, model_type: str, lengths: list[int],
