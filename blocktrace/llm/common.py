@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once, and that Spark hands to it in one batch.
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 4 << 20
+#: Rows that Spark's Parquet reader decodes at once. Its default of 4,096 whole texts fills a reader's buffers with tens of MB.
+READ_ROWS = 512
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,14 +34,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """`df`, whose rows now reach Python in batches of bounded bytes, not only of a number of rows.
+    """`df`, whose rows now reach Python in batches of bounded bytes, and are read in shorter batches too.
 
-    The setting holds for the session; a smaller one that is set already stays.
+    The settings hold for the session; a smaller one that is set already stays.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if int(conf.get(name, None) or 2 ** 31) > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+                       ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if int(conf.get(name, None) or 2 ** 31 - 1) > most:
+            conf.set(name, str(most))
     return df
 
 

@@ -206,7 +206,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, documents: int = TRAININ
                 names=["doc_id", "quality", "rows", "lengths"])
 
     # Bounded by `documents`, so it may be sent to every executor.
-    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+    read = bounded(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.col("doc_id").cast("long"), F.col("quality").cast("long"), "text")
     sample = read.mapInArrow(run, "doc_id long, quality long, rows array<double>, lengths array<double>") \
         .toArrow().sort_by("doc_id").to_pydict()
