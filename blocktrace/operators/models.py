@@ -92,13 +92,14 @@ def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
 def boost(data: DataFrame, seed: int, patience: int = PATIENCE, **overrides) -> GBTRegressionModel:
     """Boosted trees up to the round with the lowest validation error, under a patience.
 
-    Trees are grown in whole batches of rounds. As long as the patience isn't
-    used up, the number of rounds doubles; equal seeds give equal first trees,
-    so the outcome is that of growing all rounds and looking back.
+    Trees are grown in whole batches of rounds, at first no more than it takes to
+    use up the patience. Until it is, the number of rounds doubles; equal seeds
+    give equal first trees, so the outcome is that of growing all rounds and
+    looking back.
     """
     most = overrides.pop("maxIter", MOST_ROUNDS)
     train, val = data.filter(~F.col("is_val")), data.filter("is_val")
-    rounds = min(most, 2 * patience)
+    rounds = min(most, patience + 1)
     while True:
         model = make_estimator("boosted_trees", seed, maxIter=rounds, **overrides).fit(train)
         best, stopped = best_round(model.evaluateEachIteration(val, "squared"), patience)
