@@ -199,9 +199,14 @@ def split_samples(spark: SparkSession, folder: str, multi: bool = False) -> Data
 
 # -- predictions over the events trace --------------------------------------
 
-def predictions(spark: SparkSession, folder: str, duplicates: bool = True, multi: bool = False) -> DataFrame:
-    """Median-of-window predictions; every tenth block repeats its rows with the class flipped."""
-    samples = settle(split_samples(spark, folder, multi), "samples")
+def predictions(spark: SparkSession, folder: str, duplicates: bool = True, multi: bool = False,
+                trace: DataFrame | None = None) -> DataFrame:
+    """Median-of-window predictions; every tenth block repeats its rows with the class flipped.
+
+    They are for the events as one trace or, if `multi`, as three; or for a settled `trace`.
+    """
+    # Split samples are stored rows joined with a few cuts: cheap to read twice.
+    samples = split_samples(spark, folder, multi) if trace is None else chronological_split(build_sequences(trace, LENGTH))
     guessed = predict_all(samples, {"median_interval": median_interval})
     made = attach(guessed, hot_threshold(samples, PERCENTILE), ["trace_id"]).select(
         "trace_id", "timestamp", "lba", F.col("predicted").alias("predicted_rewrite_interval"),
@@ -209,10 +214,11 @@ def predictions(spark: SparkSession, folder: str, duplicates: bool = True, multi
         .alias("predicted_class"), F.lit(0).alias("occ"))
     if not duplicates:
         return made
-    flipped = made.filter(F.col("lba") % 10 == 0).withColumns({
-        "predicted_class": F.when(F.col("predicted_class") == "HOT", "COLD").otherwise("HOT"),
-        "occ": F.lit(1)})
-    return made.unionByName(flipped)
+    flipped = F.when(F.col("predicted_class") == "HOT", "COLD").otherwise("HOT")
+    once = F.struct("predicted_class", "occ")
+    twice = F.array(once, F.struct(flipped.alias("predicted_class"), F.lit(1).alias("occ")))
+    rows = F.when(F.col("lba") % 10 == 0, twice).otherwise(F.array(once))
+    return made.select("trace_id", "timestamp", "lba", "predicted_rewrite_interval", F.inline(rows))
 
 
 PREDICTIONS = """made AS (

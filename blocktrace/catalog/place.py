@@ -126,9 +126,10 @@ routed AS (SELECT *, CASE WHEN policy <> 'MIXED' AND temperature = 'COLD' THEN '
 def _placed(spark, folder):
     """Three traces, each with its own predictions and its own rule threshold."""
     trace = settle(trace_multi(spark, folder), "trace")
-    return placement.policy_temperatures(trace, predictions(spark, folder, multi=True), ["occ"],
-                                         rule_threshold=splits.rule_threshold(trace, MIN_HISTORY),
-                                         min_history=MIN_HISTORY)
+    known = settle(intervals.rule_statistic(trace, MIN_HISTORY), "known")
+    return placement.policy_temperatures(trace, predictions(spark, folder, trace=trace), ["occ"],
+                                         rule_threshold=splits.rule_threshold(trace, MIN_HISTORY, known=known),
+                                         min_history=MIN_HISTORY, known=known)
 
 
 def _routed(spark, folder):

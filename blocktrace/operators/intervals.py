@@ -95,7 +95,11 @@ def rule_temperature(trace: DataFrame, threshold: float | DataFrame, min_history
     `threshold` is one number, or a table of ``rule_threshold`` per trace; with a
     table, a write with enough history in a trace without a threshold fails.
     """
-    known = rule_statistic(trace, min_history, max_writes=max_writes)
+    return labelled_by_rule(rule_statistic(trace, min_history, max_writes=max_writes), threshold)
+
+
+def labelled_by_rule(known: DataFrame, threshold: float | DataFrame) -> DataFrame:
+    """The same for rows of ``rule_statistic``."""
     kept = [*known.columns, "temperature"]
     cut = F.lit(threshold) if not isinstance(threshold, DataFrame) else F.col("rule_threshold")
     if isinstance(threshold, DataFrame):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocktrace.functions.labels import write_stream
-from blocktrace.operators.intervals import rule_temperature, write_events
+from blocktrace.operators.intervals import labelled_by_rule, rule_statistic, write_events
 from blocktrace.operators.joins import assign_predictions
 from blocktrace.plans.ordered import ordered_columns, ordered_prefix, with_ordinal
 from blocktrace.plans.storage import attach, settle
@@ -15,16 +15,19 @@ from blocktrace.schemas import KEY, LBA_KEY, PREDICTED_POLICY, TRACE_ORDER
 
 def policy_temperatures(trace: DataFrame, predictions: DataFrame, prediction_order: list[str], *,
                         rule_threshold: float | DataFrame, min_history: int,
-                        max_writes: int | None = None, predicted_policy: str = PREDICTED_POLICY) -> DataFrame:
+                        max_writes: int | None = None, predicted_policy: str = PREDICTED_POLICY,
+                        known: DataFrame | None = None) -> DataFrame:
     """The same writes under the MIXED, RULE_BASED and predicted policies.
 
     `rule_threshold` is one number or a table of one threshold per trace. The
     writes are planned once: the rule's temperature stands beside each write
     before it meets its prediction, and a write then becomes a row per policy.
+    `known` is the settled ``rule_statistic`` of these writes, if there is one.
     """
     kept = ["trace_id", "timestamp", "lba", "seq"]
-    ruled = rule_temperature(trace, rule_threshold, min_history, max_writes=max_writes)
-    ruled = settle(ruled.select(*kept, F.col("temperature").alias("_ruled")), "ruled")
+    if known is None:
+        known = settle(rule_statistic(trace, min_history, max_writes=max_writes), "known")
+    ruled = labelled_by_rule(known, rule_threshold).select(*kept, F.col("temperature").alias("_ruled"))
     both = assign_predictions(ruled, predictions, prediction_order)
     said = {"MIXED": F.lit("UNKNOWN"), "RULE_BASED": F.col("_ruled"), predicted_policy: F.col("temperature")}
     rows = F.array(*[F.struct(F.lit(policy).alias("policy"), label.alias("temperature")) for policy, label in said.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from blocktrace.operators.intervals import rule_statistic
 from blocktrace.plans.ordered import ordered_columns, ordered_prefix, percentiles
 from blocktrace.plans.storage import attach, settle
-from blocktrace.schemas import KEY, SAMPLE_ORDER
+from blocktrace.schemas import KEY, SAMPLE_ORDER, TRACE_ORDER
 
 
 #: Traces an error message names at most.
@@ -91,15 +91,19 @@ def hot_threshold(split_samples: DataFrame, percentile: float = 30.0,
 
 
 def rule_threshold(trace: DataFrame, min_history: int, fraction: float = 0.70,
-                   percentile: float = 30.0, max_writes: int | None = None) -> DataFrame:
+                   percentile: float = 30.0, max_writes: int | None = None,
+                   known: DataFrame | None = None) -> DataFrame:
     """Cut-off for the running-mean rule, from its own statistic in training time.
 
     A trace whose training period never reaches `min_history` has no cut-off;
-    the call fails and names such traces.
+    the call fails and names such traces. `known` is the settled ``rule_statistic``
+    of all these writes, if there is one: a write's mean depends on earlier writes
+    alone, so the training period's statistic is the earliest share of its rows.
     """
     _check_percentile(percentile)
-    observed = settle(rule_statistic(trace, min_history, fraction=fraction, max_writes=max_writes)
-                      .filter(F.col("mean_interval").isNotNull()).select("trace_id", "mean_interval"), "rule")
+    early = rule_statistic(trace, min_history, fraction=fraction, max_writes=max_writes) if known is None \
+        else ordered_prefix(known, KEY, TRACE_ORDER, fraction=fraction)
+    observed = settle(early.filter(F.col("mean_interval").isNotNull()).select("trace_id", "mean_interval"), "rule")
     silent = trace.select("trace_id").distinct().join(observed, KEY, "left_anti").orderBy("trace_id")
     named = [row["trace_id"] for row in silent.limit(NAMED_IN_ERRORS).collect()]
     if named:
