@@ -90,7 +90,7 @@ def python_predictor(function: Callable[[pd.Series], pd.Series]) -> Predictor:
 
 def window_features(inputs: Column) -> Column:
     """L logged intervals followed by eight summary values of the window."""
-    return _summaries(logged(inputs))
+    return summaries(logged(inputs))
 
 
 def moments(values: Column, finish: Callable[[Column], Column] | None = None) -> Column:
@@ -107,7 +107,8 @@ def moments(values: Column, finish: Callable[[Column], Column] | None = None) ->
     return F.aggregate(values, start, add, finish)
 
 
-def _summaries(values: Column) -> Column:
+def summaries(values: Column) -> Column:
+    """The features of a window of logged intervals."""
     mean = _mean(values)
     deviation = moments(values, lambda m: F.sqrt(m["dev"] / m["n"]))
     return F.concat(values, F.array(

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from blocktrace.functions.labels import temperature
 from blocktrace.functions.scaling import from_log
-from blocktrace.functions.windows import window_features
+from blocktrace.functions.windows import logged, summaries
+from blocktrace.operators import forest
 from blocktrace.operators.evaluate import label, regression_metrics, score, with_threshold
 from blocktrace.operators.intervals import build_sequences, write_events
 from blocktrace.operators.splits import chronological_prefix, chronological_split, hot_threshold
@@ -108,10 +109,14 @@ def boost(data: DataFrame, seed: int, patience: int = PATIENCE, **overrides) ->
         rounds = min(most, 2 * rounds)
 
 
+def with_window_features(samples: DataFrame) -> DataFrame:
+    """Add ``features``. The logarithms are a column of their own, or each summary would compute them again."""
+    return samples.withColumn("_logged", logged(F.col("inputs"))) \
+        .withColumn("features", array_to_vector(summaries(F.col("_logged")))).drop("_logged")
+
+
 def with_features(samples: DataFrame) -> DataFrame:
-    return samples.withColumns({
-        "features": array_to_vector(window_features(F.col("inputs"))),
-        "label": F.log1p(F.greatest(F.col("target"), F.lit(0.0)))})
+    return with_window_features(samples).withColumn("label", F.log1p(F.greatest(F.col("target"), F.lit(0.0))))
 
 
 def spread(data: DataFrame, rows: int) -> DataFrame:
@@ -141,21 +146,26 @@ def fit_features(model_type: str, features: DataFrame, seed: int = 42, **overrid
         raise ValueError("training split is empty")
     if model_type == "boosted_trees" and not sizes["val"]:
         raise ValueError("validation split is empty; early stopping needs it")
-    data = spread(data.drop("inputs"), sizes["train"] + sizes["val"])
+    data, rows = data.drop("inputs"), sizes["train"] + sizes["val"]
+    estimator = None if model_type == "boosted_trees" else make_estimator(model_type, seed, **overrides)
+    if model_type == "random_forest":
+        width = data.first()["features"].size
+        if forest.outgrows(estimator, rows, width):
+            model = forest.fit_forest(data, estimator, rows, width)
+            return FittedModel(model_type, model, sizes["length"], sizes["train"])
+    data = spread(data, rows)
     # The lineage of boosted rounds and of node ids grows; Spark cuts it here every ten.
     spark = features.sparkSession
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
     if model_type == "boosted_trees":
         model = boost(data, seed, **overrides)
         return FittedModel(model_type, model, sizes["length"], sizes["train"], model.getNumTrees)
-    model = make_estimator(model_type, seed, **overrides).fit(data)
-    return FittedModel(model_type, model, sizes["length"], sizes["train"])
+    return FittedModel(model_type, estimator.fit(data), sizes["length"], sizes["train"])
 
 
 def predict(fitted: FittedModel, samples: DataFrame) -> DataFrame:
     """Add ``predicted``: microseconds, never negative. No rows in, no rows out."""
-    scored = fitted.model.transform(
-        samples.withColumn("features", array_to_vector(window_features(F.col("inputs")))))
+    scored = fitted.model.transform(with_window_features(samples))
     return scored.withColumn("predicted", from_log(F.col("prediction"))).drop("features", "prediction")
 
 
