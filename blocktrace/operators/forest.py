@@ -312,20 +312,37 @@ def grow(chosen: Settings, bins: np.ndarray, labels: np.ndarray, counts: np.ndar
         goes_on = best.rows[:, split] >= 2 * chosen.least
         place = np.full(len(numbers), -1)
         place[split] = np.arange(len(split))
-        node = np.repeat(np.arange(len(numbers)), sizes)
-        right = (bins.ravel()[np.arange(len(bins)) * chosen.width + best.feature[node]] > best.cut[node]).astype(np.int8)
-        stays = place[node] >= 0
-        stays[stays] = goes_on[right[stays], place[node[stays]]]
-        order = np.concatenate([np.flatnonzero(stays & (right == side)) for side in (0, 1)])
-        child = (right[order].astype(np.int64) * len(split) + place[node[order]])
-        held = np.bincount(child, minlength=2 * len(split))
+        # Pieces of rows, since whole columns of numbers would take more memory than the rows.
+        ends = np.cumsum(sizes)
+        sides, held = ([], []), np.zeros((2, len(split)), np.int64)
+        for start in range(0, len(bins), PIECE_ROWS):
+            piece = bins[start:start + PIECE_ROWS]
+            node = np.searchsorted(ends, np.arange(start, start + len(piece)), side="right")
+            right = piece.ravel().take(np.arange(len(piece)) * chosen.width + best.feature[node]) > best.cut[node]
+            child = place[node]
+            for side, rows in ((0, np.flatnonzero(~right & (child >= 0))), (1, np.flatnonzero(right & (child >= 0)))):
+                rows = rows[goes_on[side, child[rows]]]
+                held[side] += np.bincount(child[rows], minlength=len(split))
+                sides[side].append((rows + start).astype(np.int32))
+        order = np.concatenate([*sides[0], *sides[1]])
         alive = goes_on.ravel()
-        numbers, sizes = np.concatenate([lefts, lefts + 1])[alive], held[alive]
-        bins, labels, counts = bins.take(order, axis=0), labels.take(order), counts.take(order)
+        numbers, sizes = np.concatenate([lefts, lefts + 1])[alive], held.ravel()[alive]
+        bins = bins.take(order, axis=0)
+        labels, counts = labels.take(order), counts.take(order)
         depth += 1
     return Nodes.joined(parts)
 
 
+def in_order(parts: tuple[list, ...], width: int) -> tuple[np.ndarray, ...]:
+    """Bins, labels and counts by number of block, whatever order the shuffle brings; the parts are used up."""
+    order = np.argsort(parts[0])
+    rows = []
+    for column, kind in zip(parts[1:], (np.uint8, np.float64, np.uint8)):
+        rows.append(np.frombuffer(b"".join(column[i] for i in order), kind))
+        column.clear()
+    return rows[0].reshape(-1, width), rows[1], rows[2]
+
+
 # -- a forest over stored blocks --------------------------------------------------
 
 @dataclass
@@ -472,18 +489,15 @@ def finish(chosen: Settings, blocks: DataFrame, tops: dict[int, Top], most: int)
                                           ["task", "job", "block", "bins", "labels", "counts"])
 
     def grown(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: dict[int, tuple[list, ...]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["job"], []).append((row["block"], row["bins"], row["labels"], row["counts"]))
+            for row in zip(*[batch.column(name).to_pylist() for name in ("job", "block", "bins", "labels", "counts")]):
+                for column, value in zip(held.setdefault(row[0], ([], [], [], [])), row[1:]):
+                    column.append(value)
+            del batch
         for j in sorted(held):
-            # In one order, whatever order the shuffle brings.
-            parts = sorted(held.pop(j))
-            bins, labels, counts = (np.frombuffer(b"".join(p[i] for p in parts), kind)
-                                    for i, kind in ((1, np.uint8), (2, np.float64), (3, np.uint8)))
-            del parts
             job = jobs[j]
-            tree = grow(chosen, bins.reshape(-1, chosen.width), labels, counts, job.depth,
+            tree = grow(chosen, *in_order(held.pop(j), chosen.width), job.depth,
                         np.random.default_rng([chosen.seed, job.tree, job.node, 1]))
             yield pa.RecordBatch.from_pydict({
                 "job": pa.array([j], pa.int32()), "feature": [tree.feature.tobytes()], "cut": [tree.cut.tobytes()],

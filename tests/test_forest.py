@@ -72,3 +72,19 @@ def test_a_level_beyond_one_pass_needs_no_pass_per_group(spark, monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(*trees))
     predicted = models.predict(more, samples).collect()
     assert len(predicted) == 3000 and all(r["predicted"] >= 0 for r in predicted)
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    """Nodes with more drawn rows than a task may hold are split over all partitions; the others share tasks up to it."""
+    estimator = models.make_estimator("random_forest", 7, numTrees=6, maxDepth=9)
+    chosen = forest.Settings.of(estimator, 3)
+    blocks = forest.stored_blocks(table(spark), ROWS, [np.arange(100.0, 1000.0, 100.0)] * 2 + [np.array([0.5, 1.5])], 0.0)
+    tops = forest.grow_tops(chosen, blocks, ROWS, range(6), 400)
+    jobs = [forest.Job(t, n, *held) for t, top in tops.items() for n, held in top.open.items()]
+    assert len(jobs) > 6 * ROWS / 400 and all(40 <= j.rows <= 400 for j in jobs)
+    held = {}
+    for job, task in zip(jobs, forest.packed(jobs, 400, 2)):
+        held.setdefault(task, []).append(job.rows)
+    assert sorted(held) == list(range(len(held))) and all(sum(rows) <= 400 for rows in held.values())
+    # Every drawn row is in a job or in a leaf above.
+    assert all(sum(rows for _, rows in top.open.values()) <= 1.1 * ROWS for top in tops.values())
